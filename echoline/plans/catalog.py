@@ -202,6 +202,232 @@ def enriched_sampled_users(spark, sf):
     return _round_doubles(out)
 
 
+# ------------------------------------------------------------------ step 6: group encodings
+
+def _labelled(spark, sf, score=False):
+    df = _ix(spark, sf, score)
+    return df.withColumns({f"has_{t}": S.has_label(c) for t, c in zip(TARGETS, LABEL_COLS)})
+
+
+def te_group_type(spark, sf):
+    df = _labelled(spark, sf).select(*_ids(None), "type", "has_like")
+    out = encoding.group_target_encoding(df, "type", "has_like", "TE_type_like")
+    return _round_doubles(out.select(*_ids(None), "type", "TE_type_like"))
+
+
+def te_group_language(spark, sf):
+    df = _labelled(spark, sf).select(*_ids(None), "language", "has_reply")
+    out = encoding.group_target_encoding(df, "language", "has_reply", "TE_language_reply")
+    return _round_doubles(out.select(*_ids(None), "language", "TE_language_reply"))
+
+
+def te_apply_val(spark, sf):
+    """Statistics fit on train rows (per language x type), applied to validation rows."""
+    df = _labelled(spark, sf)
+    tr, va = clean.train_split(df, DEFAULT_SPLIT_TS), clean.val_split(df, DEFAULT_SPLIT_TS)
+    stats = encoding.group_stats(tr, ["language", "type"], "has_retweet")
+    out = encoding.apply_group_encoding(va.select(*_ids(None), "language", "type"), stats, ["language", "type"], "TE_lang_type_retweet")
+    return _round_doubles(out.select(*_ids(None), "language", "type", "TE_lang_type_retweet"))
+
+
+def cond_prob(spark, sf):
+    df = _labelled(spark, sf).withColumn("bin", S.follower_bin("a_follower_count"))
+    return _round_doubles(encoding.conditional_probability(df, ["has_reply", "has_like"], ["type", "bin"]))
+
+
+# ------------------------------------------------------------------ step 8: dictionaries, profiling
+
+def dict_language(spark, sf):
+    from ..operators.dictionary import build_dictionary
+    return build_dictionary(_ix(spark, sf), "language", null_code=None)
+
+
+def dict_users(spark, sf):
+    from ..operators import profiling
+    from ..operators.dictionary import build_dictionary
+    return build_dictionary(profiling.distinct_users(_ix(spark, sf)), "user_id", null_code=None)
+
+
+def distinct_hashtags(spark, sf):
+    from ..operators import profiling
+    return profiling.distinct_list_items(_ix(spark, sf), "hashtags")
+
+
+def hashtags_encoded(spark, sf):
+    from ..operators import profiling
+    from ..operators.dictionary import encode_list_column
+    ix = _ix(spark, sf)
+    d = dense_dict(profiling.distinct_list_items(ix, "hashtags"), "value")
+    cells = ix.select("hashtags").filter(F.col("hashtags").isNotNull()).distinct()
+    out = encode_list_column(cells, "hashtags", "codes", d, ["hashtags"])
+    return out.select("hashtags", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
+def dense_dict(values: DataFrame, col: str) -> DataFrame:
+    from ..operators.ranking import dense_codes
+    return dense_codes(values, col, "code", None).withColumnRenamed(col, "value")
+
+
+def tokens_decoded(spark, sf):
+    """J12 then E32: tokens -> ids through a learned vocabulary -> text again."""
+    from ..operators import profiling
+    from ..operators.dictionary import decode_tokens, encode_list_column
+    ix = _ix(spark, sf)
+    vocab = dense_dict(profiling.distinct_list_items(ix, "tokens"), "value")
+    cells = ix.select("tokens").distinct()
+    ids = encode_list_column(cells, "tokens", "ids", vocab, ["tokens"])
+    ids = ids.select("tokens", F.array_join(F.col("ids").cast("array<string>"), "\t").alias("token_ids"))
+    v = vocab.select(F.col("code").alias("token_id"), F.col("value").alias("token"))
+    return decode_tokens(ids, "token_ids", v, ["tokens"], "text").select("tokens", "text")
+
+
+def combo_media_codes(spark, sf):
+    from ..operators.dictionary import build_dictionary
+    ix = _ix(spark, sf).select(S.media_combo("medias").alias("media_combo"))
+    return build_dictionary(ix, "media_combo", null_code=None).withColumnRenamed("value", "media_combo")
+
+
+def follower_quintiles(spark, sf):
+    from ..operators import profiling
+    st = profiling.author_follower_stats(_ix(spark, sf))
+    return _round_doubles(profiling.quintile_groups(st))
+
+
+def quintiles_by_part(spark, sf):
+    from ..operators import profiling
+    ix = _ix(spark, sf).withColumn("part", F.year(S.epoch_date("ts")))
+    st = profiling.author_follower_stats(ix, part="part")
+    return _round_doubles(profiling.quintiles_by_part(st, "part"))
+
+
+def class_weights(spark, sf):
+    from ..operators import profiling
+    return _round_doubles(profiling.class_weights(_labelled(spark, sf)))
+
+
+def dup_hashes(spark, sf):
+    from ..operators import profiling
+    return profiling.duplicate_count(_ix(spark, sf).select(S.id_hash32("b_user_id").alias("b_hash")), "b_hash")
+
+
+def time_range(spark, sf):
+    from ..operators import profiling
+    t = profiling.time_range(_ix(spark, sf))
+    return t.withColumns({"min_readable": S.readable_time("min_ts"), "max_readable": S.readable_time("max_ts")})
+
+
+def longest_text(spark, sf):
+    from ..operators import profiling
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return profiling.longest_text(docs, "text", "doc_id", ["lang"])
+
+
+def _full_index(spark, sf):
+    return user_index.build_user_index(_ix(spark, sf))
+
+
+def bins_onehot(spark, sf):
+    from ..operators import profiling
+    oh = profiling.bins_onehot(_full_index(spark, sf))
+    return oh.withColumn("user_id", S.key64_to_unsigned("user_id"))
+
+
+def activity_distribution(spark, sf):
+    from ..operators import profiling
+    return _round_doubles(profiling.activity_distribution(profiling.bins_onehot(_full_index(spark, sf))))
+
+
+def activity_histogram(spark, sf):
+    from ..operators import profiling
+    return profiling.activity_histogram(profiling.bins_onehot(_full_index(spark, sf)))
+
+
+def topk_users(spark, sf):
+    from ..operators import profiling
+    idx = _full_index(spark, sf).select(S.key64_to_unsigned("user_id").alias("user_id"), "n_present_a", "n_present_b")
+    return profiling.top_k(idx, "n_present_a", 10, "user_id")
+
+
+def prior_model(spark, sf):
+    """A32 + L6: train-row label means as constant predictions for validation rows."""
+    from ..operators import profiling
+    df = _labelled(spark, sf)
+    pri = profiling.prior_model(clean.train_split(df, DEFAULT_SPLIT_TS))
+    va = clean.val_split(df, DEFAULT_SPLIT_TS).select("tweet_id", "b_user_id")
+    return _round_doubles(va.crossJoin(F.broadcast(pri)))
+
+
+# ------------------------------------------------------------------ step 7: metrics on synthetic scores
+
+def _metric_rows(spark, sf):
+    from ..operators.metrics import unpivot_targets
+    df = _labelled(spark, sf, score=True).withColumn("bin", S.follower_bin("a_follower_count"))
+    return unpivot_targets(df, ["bin"], "score")
+
+
+def rce_by_bin(spark, sf):
+    from ..operators.metrics import rce
+    return _round_doubles(rce(_metric_rows(spark, sf), ["bin", "target"]))
+
+
+def ap_by_bin(spark, sf):
+    from ..operators.metrics import average_precision
+    return _round_doubles(average_precision(_metric_rows(spark, sf), ["bin", "target"]))
+
+
+def metrics_macro(spark, sf):
+    from ..operators.metrics import macro_mean, metrics_by_group
+    per_bin = metrics_by_group(_metric_rows(spark, sf), ["bin", "target"])
+    return _round_doubles(macro_mean(per_bin, ["target"], ["rce", "ap"]))
+
+
+def metrics_overall(spark, sf):
+    from ..operators.metrics import metrics_by_group
+    m = metrics_by_group(_metric_rows(spark, sf), ["target"])
+    return _round_doubles(m.select("target", "n", "ctr", "log_loss", "rce", "ap", "positives"))
+
+
+def confusion(spark, sf):
+    from ..operators.metrics import confusion as conf
+    return conf(_metric_rows(spark, sf), ["target"])
+
+
+def balanced_accuracy(spark, sf):
+    from ..operators.metrics import classification_scores
+    return _round_doubles(classification_scores(_metric_rows(spark, sf), ["target"]))
+
+
+# ------------------------------------------------------------------ step 9: regularisation
+
+_SCALE_COLS = ["a_follower_count", "b_follower_count", "a_following_count", "b_following_count"]
+
+
+def minmax_scaled(spark, sf):
+    from ..operators.regularize import apply_minmax, fit_minmax
+    df = _ix(spark, sf)
+    stats = fit_minmax(clean.train_split(df, DEFAULT_SPLIT_TS), _SCALE_COLS)
+    va = clean.val_split(df, DEFAULT_SPLIT_TS).select(*_ids(None), *_SCALE_COLS)
+    return _round_doubles(apply_minmax(va, stats, _SCALE_COLS))
+
+
+def mask_columns(spark, sf):
+    from ..operators.regularize import mask_columns as mask
+    df = _ix(spark, sf).select(*_ids(None), *_SCALE_COLS)
+    return mask(df, {"author": ["a_follower_count", "a_following_count"], "consumer": ["b_follower_count", "b_following_count"]},
+                0.75, key=["tweet_id", "b_user_id", "ts"])
+
+
+def hash_split(spark, sf):
+    from ..operators.regularize import hash_split as hs
+    return hs(_ix(spark, sf).select(*_ids(None)), ["tweet_id", "b_user_id", "ts"])
+
+
+def row_ids(spark, sf):
+    from ..operators.ranking import global_row_index
+    df = _ix(spark, sf).select("tweet_id", "b_user_id", "ts", "type")
+    return global_row_index(df, ["ts", "tweet_id", "b_user_id", "type"], "row_id", start=1)
+
+
 QUERIES = {
     "positive_rate_by_bin": positive_rate_by_bin,
     "null_audit": null_audit,
@@ -228,6 +454,37 @@ QUERIES = {
     "te_user": te_user,
     "enriched_interactions": enriched_interactions,
     "enriched_sampled_users": enriched_sampled_users,
+    "te_group_type": te_group_type,
+    "te_group_language": te_group_language,
+    "te_apply_val": te_apply_val,
+    "cond_prob": cond_prob,
+    "dict_language": dict_language,
+    "dict_users": dict_users,
+    "distinct_hashtags": distinct_hashtags,
+    "hashtags_encoded": hashtags_encoded,
+    "tokens_decoded": tokens_decoded,
+    "combo_media_codes": combo_media_codes,
+    "follower_quintiles": follower_quintiles,
+    "quintiles_by_part": quintiles_by_part,
+    "class_weights": class_weights,
+    "dup_hashes": dup_hashes,
+    "time_range": time_range,
+    "longest_text": longest_text,
+    "bins_onehot": bins_onehot,
+    "activity_distribution": activity_distribution,
+    "activity_histogram": activity_histogram,
+    "topk_users": topk_users,
+    "prior_model": prior_model,
+    "rce_by_bin": rce_by_bin,
+    "ap_by_bin": ap_by_bin,
+    "metrics_macro": metrics_macro,
+    "metrics_overall": metrics_overall,
+    "confusion": confusion,
+    "balanced_accuracy": balanced_accuracy,
+    "minmax_scaled": minmax_scaled,
+    "mask_columns": mask_columns,
+    "hash_split": hash_split,
+    "row_ids": row_ids,
 }
 
 _ = BIN_THRESHOLDS_FINAL

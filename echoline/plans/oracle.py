@@ -232,8 +232,177 @@ def _sql() -> dict[str, str]:
     return q
 
 
+def _has_cols() -> str:
+    return ", ".join(f"{has(c)} AS has_{t}" for t, c in zip(TARGETS, LABEL_COLS))
+
+
+def D(b: str) -> str:
+    return f"CAST({b} AS DOUBLE)"
+
+
+def _labelled_cte(score: bool = False) -> str:
+    base = interactions_cte(with_score=score).split("(", 1)[1].rsplit(")", 1)[0]
+    return f"WITH interactions AS (SELECT *, {_has_cols()} FROM ({base}) base)\n"
+
+
+def _quintile_sql(part: bool) -> str:
+    pk = "part, " if part else ""
+    pp = "PARTITION BY part " if part else ""
+    bounds = " + ".join(f"CASE WHEN floor({D(str(j / 5))} * n) <= pos THEN 1 ELSE 0 END" for j in range(1, 6))
+    src = ("(SELECT *, year(" + epoch_date("ts") + ") AS part FROM interactions)") if part else "interactions"
+    return (f", st AS (SELECT {pk}a_user_id, avg(CAST(a_follower_count AS DOUBLE)) AS mean, count(*) AS cnt FROM {src} x GROUP BY ALL),\n"
+            f"r AS (SELECT *, row_number() OVER ({pp}ORDER BY mean, a_user_id) - 1 AS pos, count(*) OVER ({pp}) AS n FROM st),\n"
+            f"g AS (SELECT *, CAST(1 + {bounds} AS INTEGER) AS quintile FROM r),\n"
+            f"pg AS (SELECT {pk}quintile, max(mean) AS gmax, avg(CAST(cnt AS DOUBLE)) AS avg_count, CAST(count(*) AS BIGINT) AS n_users FROM g GROUP BY ALL),\n"
+            f"q AS (SELECT {pk}quintile, avg_count, n_users, max(gmax) OVER ({pp}ORDER BY quintile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upper_mean FROM pg)\n")
+
+
+def _index_onehot() -> str:
+    bins = ", ".join(f"CAST(bin = {b} AS INTEGER) AS bin{b}" for b in range(1, 6))
+    return (f", idx AS ({user_index_sql()}),\n"
+            f"oh AS (SELECT user_id, n_present_a AS n_present, bin, {bins} FROM "
+            f"(SELECT *, {bin_sql('follower_count')} AS bin FROM idx WHERE n_present_a > 0) z)\n")
+
+
+def _metric_rows() -> str:
+    sel = "\nUNION ALL\n".join(
+        f"SELECT {bin_sql('a_follower_count')} AS bin, '{t}' AS target, score, CAST(has_{t} AS INTEGER) AS y FROM interactions"
+        for t in TARGETS)
+    return f", m AS ({sel})\n"
+
+
+def _rce_sql(group: str) -> str:
+    ll = "-(y * ln(greatest(least(score, 1 - 1e-15), 1e-15)) + (1 - y) * ln(1 - greatest(least(score, 1 - 1e-15), 1e-15)))"
+    return (f"SELECT {group}, CAST(count(*) AS BIGINT) AS n, avg(CAST(y AS DOUBLE)) AS ctr, avg({ll}) AS log_loss FROM m GROUP BY ALL")
+
+
+def _rce_select(src: str) -> str:
+    straw = "-(ctr * ln(ctr) + (1 - ctr) * ln(1 - ctr))"
+    return f"SELECT *, CASE WHEN ctr > 0 AND ctr < 1 THEN (1 - log_loss / {straw}) * 100 END AS rce FROM ({src}) rr"
+
+
+def _ap_sql(group: str) -> str:
+    return (f"SELECT {group}, sum(tp * cum_tp / cum_cnt) / NULLIF(sum(tp), 0) AS ap, CAST(sum(tp) AS BIGINT) AS positives FROM ("
+            f"SELECT *, sum(tp) OVER (PARTITION BY {group} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_tp, "
+            f"sum(cnt) OVER (PARTITION BY {group} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_cnt FROM ("
+            f"SELECT {group}, score, CAST(sum(y) AS DOUBLE) AS tp, CAST(count(*) AS DOUBLE) AS cnt FROM m GROUP BY ALL) t) c GROUP BY ALL")
+
+
+def unit_hash_sql(cols: list[str], salt: str) -> str:
+    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols)
+    return f"(CAST(('0x' || substr(md5(concat_ws('|', '{salt}', {parts})), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0)"
+
+
+def _sql2() -> dict[str, str]:
+    q: dict[str, str] = {}
+    L = _labelled_cte()
+    q["te_group_type"] = L + (
+        ", st AS (SELECT type, count(*) AS cnt, avg(CAST(has_like AS DOUBLE)) AS mean FROM interactions GROUP BY 1), "
+        "tot AS (SELECT avg(CAST(has_like AS DOUBLE)) AS total_mean FROM interactions)\n"
+        f"SELECT {IDS}, type, {R('coalesce((cnt * mean + 20.0 * total_mean) / (cnt + 20.0), -1.0)')} AS TE_type_like "
+        "FROM interactions LEFT JOIN st USING (type) CROSS JOIN tot")
+    q["te_group_language"] = L + (
+        ", st AS (SELECT language, count(*) AS cnt, avg(CAST(has_reply AS DOUBLE)) AS mean FROM interactions GROUP BY 1), "
+        "tot AS (SELECT avg(CAST(has_reply AS DOUBLE)) AS total_mean FROM interactions)\n"
+        f"SELECT {IDS}, language, {R('coalesce((cnt * mean + 20.0 * total_mean) / (cnt + 20.0), -1.0)')} AS TE_language_reply "
+        "FROM interactions LEFT JOIN st USING (language) CROSS JOIN tot")
+    q["te_apply_val"] = L + (
+        f", tr AS (SELECT * FROM interactions WHERE {train_pred()}), va AS (SELECT * FROM interactions WHERE {val_pred()}),\n"
+        "st AS (SELECT language, type, count(*) AS cnt, avg(CAST(has_retweet AS DOUBLE)) AS mean FROM tr GROUP BY 1, 2), "
+        "tot AS (SELECT avg(CAST(has_retweet AS DOUBLE)) AS total_mean FROM tr),\n"
+        "enc AS (SELECT language, type, (cnt * mean + 20.0 * total_mean) / (cnt + 20.0) AS e FROM st CROSS JOIN tot)\n"
+        f"SELECT {IDS}, language, type, {R('coalesce(e, -1.0)')} AS TE_lang_type_retweet FROM va LEFT JOIN enc USING (language, type)")
+    q["cond_prob"] = L + (
+        f", b AS (SELECT *, {bin_sql('a_follower_count')} AS bin FROM interactions),\n"
+        "mg AS (SELECT has_reply, has_like, count(*) AS marginal FROM b GROUP BY 1, 2),\n"
+        "jt AS (SELECT has_reply, has_like, type, bin, count(*) AS joint FROM b GROUP BY 1, 2, 3, 4)\n"
+        f"SELECT has_reply, has_like, type, bin, CAST(joint AS BIGINT) AS joint, CAST(marginal AS BIGINT) AS marginal, "
+        f"{R('CAST(joint AS DOUBLE) / marginal')} AS probability FROM jt LEFT JOIN mg USING (has_reply, has_like)")
+    dr = lambda col, src: (f"SELECT {col} AS value, CAST(dense_rank() OVER (ORDER BY {col}) - 1 AS BIGINT) AS code "
+                           f"FROM (SELECT DISTINCT {col} FROM {src} WHERE {col} IS NOT NULL) x")
+    q["dict_language"] = W + dr("language", "interactions")
+    q["dict_users"] = W + ", u AS (SELECT a_user_id AS user_id FROM interactions UNION SELECT b_user_id FROM interactions)\n" + dr("user_id", "u")
+    items = ("SELECT DISTINCT v AS value FROM (SELECT unnest(string_split(hashtags, chr(9))) AS v FROM interactions "
+             "WHERE hashtags IS NOT NULL) x WHERE v <> ''")
+    q["distinct_hashtags"] = W + items
+    q["hashtags_encoded"] = W + (
+        f", it AS ({items}), d AS ({dr('value', 'it')}),\n"
+        "cells AS (SELECT DISTINCT hashtags FROM interactions WHERE hashtags IS NOT NULL),\n"
+        "ex AS (SELECT hashtags, unnest(string_split(hashtags, chr(9))) AS v, generate_subscripts(string_split(hashtags, chr(9)), 1) AS pos FROM cells)\n"
+        "SELECT hashtags, string_agg(CAST(code AS VARCHAR), ',' ORDER BY pos) AS codes FROM ex JOIN d ON ex.v = d.value GROUP BY 1")
+    q["tokens_decoded"] = W + "SELECT DISTINCT tokens, replace(tokens, chr(9), ' ') AS text FROM interactions"
+    combo = "array_to_string(string_split(coalesce(medias, ''), chr(9))[1:3], '_')"
+    q["combo_media_codes"] = W + (
+        f", c AS (SELECT DISTINCT {combo} AS media_combo FROM interactions)\n"
+        "SELECT media_combo, CAST(dense_rank() OVER (ORDER BY media_combo) - 1 AS BIGINT) AS code FROM c")
+    q["follower_quintiles"] = W + _quintile_sql(False) + (
+        f"SELECT quintile, {R('avg_count')} AS avg_count, n_users, {R('upper_mean')} AS upper_mean FROM q")
+    q["quintiles_by_part"] = W + _quintile_sql(True) + (
+        f"SELECT quintile, {R('avg(upper_mean)')} AS upper_mean, {R('avg(avg_count)')} AS avg_count, CAST(count(*) AS BIGINT) AS n_parts FROM q GROUP BY 1")
+    q["class_weights"] = L + ", r AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS target, avg(CAST(has_{t} AS DOUBLE)) AS p FROM interactions" for t in TARGETS) + ")\n" + (
+        f"SELECT target, {R('p')} AS positive_rate, {R('(1 / NULLIF(1 - p, 0)) / (1 / NULLIF(1 - p, 0) + 1 / NULLIF(p, 0))')} AS weight_neg, "
+        f"{R('(1 / NULLIF(p, 0)) / (1 / NULLIF(1 - p, 0) + 1 / NULLIF(p, 0))')} AS weight_pos FROM r")
+    h32 = "CAST(('0x' || right(b_user_id, 8))::UBIGINT AS BIGINT)"
+    q["dup_hashes"] = W + (f"SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT {h32}) AS BIGINT) AS n_distinct, "
+                           f"CAST(count(*) - count(DISTINCT {h32}) AS BIGINT) AS n_duplicates FROM interactions")
+    rd = lambda c: f"strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds({c}), '%Y-%m-%d %H:%M:%S')"
+    q["time_range"] = W + f"SELECT min_ts, max_ts, {rd('min_ts')} AS min_readable, {rd('max_ts')} AS max_readable FROM (SELECT min(ts) AS min_ts, max(ts) AS max_ts FROM interactions) t"
+    q["longest_text"] = ("SELECT lang, doc_id, CAST(n AS BIGINT) AS n_chars FROM (SELECT lang, doc_id, length(text) AS n, "
+                         "row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id ASC) AS rk FROM documents) x WHERE rk = 1")
+    q["bins_onehot"] = W + _index_onehot() + "SELECT * FROM oh"
+    shares = ", ".join(f"{R(f'avg(bin{b})')} AS share_bin{b}, {R(f'avg(bin{b}) * count(*)')} AS users_bin{b}" for b in range(1, 6))
+    q["activity_distribution"] = W + _index_onehot() + f"SELECT n_present, CAST(count(*) AS BIGINT) AS n_users, {shares} FROM oh GROUP BY 1"
+    q["activity_histogram"] = W + _index_onehot() + (
+        ", mm AS (SELECT min(n_present) AS lo, max(n_present) AS hi FROM oh)\n"
+        "SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor(CAST(n_present - lo AS DOUBLE) / (hi - lo) * 130) + 1, 130) END AS INTEGER) AS bucket, "
+        "bin, CAST(count(*) AS BIGINT) AS n_users FROM oh CROSS JOIN mm GROUP BY 1, 2")
+    q["topk_users"] = W + f", idx AS ({user_index_sql()})\nSELECT user_id, n_present_a, n_present_b FROM idx ORDER BY n_present_a DESC, user_id ASC LIMIT 10"
+    q["prior_model"] = L + (
+        f", pri AS (SELECT " + ", ".join(f"avg(CAST(has_{t} AS DOUBLE)) AS prior_{t}" for t in TARGETS)
+        + f" FROM interactions WHERE {train_pred()})\n"
+        f"SELECT tweet_id, b_user_id, " + ", ".join(f"{R(f'prior_{t}')} AS prior_{t}" for t in TARGETS)
+        + f" FROM interactions CROSS JOIN pri WHERE {val_pred()}")
+    M = _labelled_cte(score=True) + _metric_rows()
+    q["rce_by_bin"] = M + f"SELECT bin, target, n, {R('ctr')} AS ctr, {R('log_loss')} AS log_loss, {R('rce')} AS rce FROM ({_rce_select(_rce_sql('bin, target'))}) z"
+    q["ap_by_bin"] = M + f"SELECT bin, target, {R('ap')} AS ap, positives FROM ({_ap_sql('bin, target')}) z"
+    q["metrics_macro"] = M + (
+        f", r AS ({_rce_select(_rce_sql('bin, target'))}), a AS ({_ap_sql('bin, target')})\n"
+        f"SELECT target, {R('avg(rce)')} AS macro_rce, {R('avg(ap)')} AS macro_ap, CAST(count_if(rce IS NULL) AS BIGINT) AS undefined_bins "
+        "FROM r FULL JOIN a USING (bin, target) GROUP BY 1")
+    q["metrics_overall"] = M + (
+        f", r AS ({_rce_select(_rce_sql('target'))}), a AS ({_ap_sql('target')})\n"
+        f"SELECT target, n, {R('ctr')} AS ctr, {R('log_loss')} AS log_loss, {R('rce')} AS rce, {R('ap')} AS ap, positives FROM r FULL JOIN a USING (target)")
+    q["confusion"] = M + "SELECT target, y, CAST(round_even(score, 0) AS INTEGER) AS y_hat, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY ALL"
+    q["balanced_accuracy"] = M + (
+        ", c AS (SELECT target, count_if(y = 1 AND yh = 1) AS tp, count_if(y = 0 AND yh = 0) AS tn, count_if(y = 0 AND yh = 1) AS fp, "
+        "count_if(y = 1 AND yh = 0) AS fn FROM (SELECT *, CAST(round_even(score, 0) AS INTEGER) AS yh FROM m) z GROUP BY 1)\n"
+        f"SELECT target, {R('CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn)')} AS accuracy, "
+        f"{R('(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) + CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0)) / 2')} AS balanced_accuracy, "
+        f"{R('CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0)')} AS precision FROM c")
+    sc = ["a_follower_count", "b_follower_count", "a_following_count", "b_following_count"]
+    q["minmax_scaled"] = W + (
+        ", st AS (SELECT " + ", ".join(f"CAST(min({c}) AS DOUBLE) AS lo_{c}, CAST(max({c}) AS DOUBLE) AS hi_{c}" for c in sc)
+        + f" FROM interactions WHERE {train_pred()})\n"
+        f"SELECT {IDS}, " + ", ".join(f"{R(f'coalesce(({c} - lo_{c}) / NULLIF(hi_{c} - lo_{c}, 0), 0.0)')} AS {c}" for c in sc)
+        + f" FROM interactions CROSS JOIN st WHERE {val_pred()}")
+    key = ["tweet_id", "b_user_id", "ts"]
+    ua, ub = unit_hash_sql(key, "author"), unit_hash_sql(key, "consumer")
+    q["mask_columns"] = W + (
+        f"SELECT {IDS}, CASE WHEN {ua} < 0.75 THEN -1 ELSE a_follower_count END AS a_follower_count, "
+        f"CASE WHEN {ub} < 0.75 THEN -1 ELSE b_follower_count END AS b_follower_count, "
+        f"CASE WHEN {ua} < 0.75 THEN -1 ELSE a_following_count END AS a_following_count, "
+        f"CASE WHEN {ub} < 0.75 THEN -1 ELSE b_following_count END AS b_following_count FROM interactions")
+    q["hash_split"] = W + f"SELECT {IDS}, CASE WHEN {unit_hash_sql(key, 'split')} < 0.85 THEN 'train' ELSE 'test' END AS split FROM interactions"
+    q["row_ids"] = W + ("SELECT tweet_id, b_user_id, ts, type, CAST(row_number() OVER (ORDER BY ts, tweet_id, b_user_id, type) AS BIGINT) AS row_id "
+                        "FROM interactions")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
-    return _sql()
+    out = _sql()
+    out.update(_sql2())
+    return out
 
 
 _ = WS
