@@ -428,6 +428,89 @@ def row_ids(spark, sf):
     return global_row_index(df, ["ts", "tweet_id", "b_user_id", "type"], "row_id", start=1)
 
 
+# ------------------------------------------------------------------ step 9: models (rows-only checks)
+
+def _spec(**kw):
+    from .pipeline import PipelineSpec
+    base = dict(split_ts=DEFAULT_SPLIT_TS, index_cutoff_ts=DEFAULT_SPLIT_TS, model_params={"maxDepth": 3, "maxIter": 3})
+    base.update(kw)
+    return PipelineSpec(**base)
+
+
+def _tables(spark, sf, spec):
+    from .pipeline import build_training_table
+    ix = _ix(spark, sf)
+    idx = user_index.build_user_index(ix, spec.index_cutoff_ts)
+    return build_training_table(ix, spec, "train", idx), build_training_table(ix, spec, "val", idx)
+
+
+def gbt_scores(spark, sf):
+    """L2 + L4 on the full loader table (train before the split time, score after)."""
+    from .pipeline import train
+    spec = _spec()
+    tr, va = _tables(spark, sf, spec)
+    return train(tr, spec).transform(va).select("tweet_id", "b_user_id", "bin", *[f"score_{t}" for t in TARGETS])
+
+
+def rf_importance(spark, sf):
+    """L9 + M11: random-forest importances per target, sorted."""
+    from ..operators.models import TargetModels
+    from .pipeline import feature_columns
+    spec = _spec(model_kind="rf", model_params={"maxDepth": 5, "numTrees": 10})
+    tr, _ = _tables(spark, sf, spec)
+    m = TargetModels(feature_columns(tr), "rf", params=spec.model_params).fit(tr)
+    return m.feature_importances(spark)
+
+
+def stacked_scores(spark, sf):
+    """Two base model sets -> stacked GBT fit on held-out rows (hash split)."""
+    from ..operators.models import StackedModels, TargetModels
+    from ..operators.regularize import hash_split
+    from .pipeline import feature_columns
+    spec = _spec()
+    tr, va = _tables(spark, sf, spec)
+    feats = feature_columns(tr)
+    parts = hash_split(tr, ["tweet_id", "b_user_id", "ts_key"] if "ts_key" in tr.columns else ["tweet_id", "b_user_id"], 0.7)
+    fit_rows, held = parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split")
+    bases = [TargetModels(feats, "gbt", params={"maxDepth": 2, "maxIter": 3}).fit(fit_rows),
+             TargetModels(feats, "tree", params={"maxDepth": 4}).fit(fit_rows)]
+    st = StackedModels(bases, params={"maxDepth": 2, "maxIter": 3}).fit(held)
+    return st.transform(va).select("tweet_id", "b_user_id", *[f"score_{t}" for t in TARGETS])
+
+
+def noise_te(spark, sf):
+    """Gaussian noise on every TE column after the sentinel fill."""
+    spec = _spec(noise_std=0.05, remove_user_counts=True)
+    _, va = _tables(spark, sf, spec)
+    return va.select("tweet_id", "b_user_id", *[c for c in va.columns if c.startswith("TE_")])
+
+
+def random_scores(spark, sf):
+    """Uniform random baseline scores for validation rows."""
+    from ..operators.regularize import random_scores as rs
+    va = clean.val_split(_ix(spark, sf), DEFAULT_SPLIT_TS).select("tweet_id", "b_user_id")
+    return rs(va, TARGETS, seed=7)
+
+
+def streaming_user_index(spark, sf):
+    """The index maintained by Structured Streaming over the interaction
+    files (written as Parquet parts into the checkpoint folder) equals the batch index."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.index_stream import flatten_index, run_index_stream
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/t1-{uuid.uuid4().hex}"
+    ix = _ix(spark, sf)
+    cols = ["a_user_id", "a_follower_count", "a_following_count", "a_is_verified", "a_account_creation",
+            "b_user_id", "b_follower_count", "b_following_count", "b_is_verified", "b_account_creation",
+            *LABEL_COLS, "ts", "type"]
+    from ..schema import LABELLED_SCHEMA
+    full = ix.select(*[F.col(f.name) if f.name in cols else F.lit(None).cast(f.dataType).alias(f.name) for f in LABELLED_SCHEMA.fields])
+    full.repartition(4).write.mode("overwrite").parquet(f"{base}/src")
+    table = f"t1_{uuid.uuid4().hex[:8]}"
+    run_index_stream(spark, f"{base}/src", f"{base}/ckpt", table, max_files_per_trigger=1, fmt="parquet")
+    return _index_out(flatten_index(spark.table(table)))
+
+
 QUERIES = {
     "positive_rate_by_bin": positive_rate_by_bin,
     "null_audit": null_audit,
@@ -485,6 +568,12 @@ QUERIES = {
     "mask_columns": mask_columns,
     "hash_split": hash_split,
     "row_ids": row_ids,
+    "streaming_user_index": streaming_user_index,
+    "gbt_scores": gbt_scores,
+    "rf_importance": rf_importance,
+    "stacked_scores": stacked_scores,
+    "noise_te": noise_te,
+    "random_scores": random_scores,
 }
 
 _ = BIN_THRESHOLDS_FINAL

@@ -402,6 +402,7 @@ def _sql2() -> dict[str, str]:
 def oracle_sql() -> dict[str, str]:
     out = _sql()
     out.update(_sql2())
+    out["streaming_user_index"] = out["user_index"]
     return out
 
 

@@ -25,6 +25,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # small inputs still spread over all cores (cluster: leave at default)
+    "spark.sql.files.openCostInBytes": "1048576",
     "spark.sql.ansi.enabled": "true",
 }
 
