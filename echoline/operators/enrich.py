@@ -65,15 +65,25 @@ def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_sh
 
 def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undefined: str = "zero",
            keep_counts: bool = True, sentinel: float = SENTINEL, skew: str = "aqe",
-           noise_std: float = 0.0, noise_seed: int = 0) -> DataFrame:
+           noise_std: float = 0.0, noise_seed: int = 0, materialize: str = "persist") -> DataFrame:
     """Interactions + ``n_*`` counts and 64 ``TE_*`` columns of both users.
 
     Users missing from the index get ``sentinel`` in every joined column.
     ``noise_std > 0`` adds Gaussian noise to every TE column after the fill
     (R3; also on sentinel values, as the original does).
+    ``materialize``: the index feeds both the prior aggregate and the
+    per-user encodings; after column pruning those two plans differ, so
+    Spark would aggregate the index twice.  ``"persist"`` (default) caches it
+    once (lost blocks recompute from lineage), ``"checkpoint"`` writes it to
+    the shared checkpoint folder, ``"none"`` leaves the plan alone.
     """
     if index is None:
         return interactions
+    if materialize == "persist":
+        index = index.persist()
+    elif materialize == "checkpoint":
+        from ..session import cut_lineage
+        index = cut_lineage(index)
     counts = [c for c in index.columns if c.startswith("n_")]
     te = user_target_encodings(index, priors(index, undefined), smoothing, keep=counts if keep_counts else [])
     out = join_index(interactions, te, skew=skew)
