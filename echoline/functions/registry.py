@@ -40,15 +40,15 @@ def default_features(thresholds=None) -> dict[str, FeatureSpec]:
     from ..schema import BIN_THRESHOLDS_FINAL
     th = thresholds or BIN_THRESHOLDS_FINAL
     return {
-        "bert_token_len": _spec("tokens", lambda: S.token_len_log("tokens"), "float"),
-        "photo_count": _spec("medias", lambda: S.media_count_log("medias", "Photo"), "float"),
-        "video_count": _spec("medias", lambda: S.media_count_log("medias", "Video"), "float"),
-        "gif_count": _spec("medias", lambda: S.media_count_log("medias", "GIF"), "float"),
+        "bert_token_len": _spec("tokens", lambda: S.token_len_log("tokens"), "double"),
+        "photo_count": _spec("medias", lambda: S.media_count_log("medias", "Photo"), "double"),
+        "video_count": _spec("medias", lambda: S.media_count_log("medias", "Video"), "double"),
+        "gif_count": _spec("medias", lambda: S.media_count_log("medias", "GIF"), "double"),
         "type_encoding": _spec("type", lambda: S.type_encoding("type"), "int"),
-        "a_followers": _spec("a_follower_count", lambda: S.save_log("a_follower_count"), "float"),
-        "a_following": _spec("a_following_count", lambda: S.save_log("a_following_count"), "float"),
-        "b_followers": _spec("b_follower_count", lambda: S.save_log("b_follower_count"), "float"),
-        "b_following": _spec("b_following_count", lambda: S.save_log("b_following_count"), "float"),
+        "a_followers": _spec("a_follower_count", lambda: S.save_log("a_follower_count"), "double"),
+        "a_following": _spec("a_following_count", lambda: S.save_log("a_following_count"), "double"),
+        "b_followers": _spec("b_follower_count", lambda: S.save_log("b_follower_count"), "double"),
+        "b_following": _spec("b_following_count", lambda: S.save_log("b_following_count"), "double"),
         "day_of_week": _spec("ts", lambda: S.day_of_week("ts"), "int"),
         "hour_of_day": _spec("ts", lambda: S.hour_of_day("ts"), "int"),
         "bin": _spec("a_follower_count", lambda: S.follower_bin("a_follower_count", th), "int"),

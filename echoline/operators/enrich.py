@@ -31,15 +31,17 @@ def hot_keys(df: DataFrame, key: str, hot_share: float = 0.01) -> DataFrame:
             .filter(F.col("_n") >= F.col("_total") * F.lit(hot_share)).select(key))
 
 
-def skew_split_left_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
-                         hot_share: float = 0.01) -> DataFrame:
-    """Exact left join that sends hot keys through a bounded broadcast join and
-    all other keys through a shuffled join; ``small`` must be unique on its key."""
-    hot = hot_keys(big, big_key, hot_share).withColumnRenamed(big_key, "_hot").cache()
-    hot_small = small.join(F.broadcast(hot), small[small_key] == hot["_hot"], "left_semi")
-    flagged = big.join(F.broadcast(hot), big[big_key] == hot["_hot"], "left").withColumn("_is_hot", F.col("_hot").isNotNull()).drop("_hot")
-    hot_part = flagged.filter("_is_hot").join(F.broadcast(hot_small), F.col(big_key) == hot_small[small_key], "left")
-    cold_part = flagged.filter("NOT _is_hot").join(small, F.col(big_key) == small[small_key], "left")
+def skew_split_left_join(big: DataFrame, small: DataFrame, key: str, hot_share: float = 0.01) -> DataFrame:
+    """Exact left join on ``key`` that sends hot keys through a bounded
+    broadcast join and all other keys through the shuffled join.
+
+    ``small`` must be unique on ``key``, so its hot part has at most
+    ``1 / hot_share`` rows; the shuffled join never sees a hot key."""
+    hot = hot_keys(big, key, hot_share).withColumn("_is_hot", F.lit(True)).cache()
+    flagged = big.join(F.broadcast(hot), key, "left")
+    hot_small = small.join(F.broadcast(hot.select(key)), key, "left_semi")
+    hot_part = flagged.filter(F.col("_is_hot").isNotNull()).join(F.broadcast(hot_small), key, "left")
+    cold_part = flagged.filter(F.col("_is_hot").isNull()).join(small, key, "left")
     return hot_part.unionByName(cold_part).drop("_is_hot")
 
 
@@ -56,8 +58,8 @@ def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_sh
     out = df.withColumns({"_a_key": id_key64(F.col("a_user_id")), "_b_key": id_key64(F.col("b_user_id"))})
     ia, ib = suffixed(index, "A", "_a_key"), suffixed(index, "B", "_b_key")
     if skew == "split":
-        out = skew_split_left_join(out, ia, "_a_key", "_a_key", hot_share)
-        out = skew_split_left_join(out, ib, "_b_key", "_b_key", hot_share)
+        out = skew_split_left_join(out, ia, "_a_key", hot_share)
+        out = skew_split_left_join(out, ib, "_b_key", hot_share)
     else:
         out = out.join(ia, "_a_key", "left").join(ib, "_b_key", "left")
     return out.drop("_a_key", "_b_key")

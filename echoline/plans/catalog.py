@@ -511,6 +511,140 @@ def streaming_user_index(spark, sf):
     return _index_out(flatten_index(spark.table(table)))
 
 
+# ------------------------------------------------------------------ more coverage
+
+def training_table(spark, sf):
+    """2.14 flagship output: validation rows of the full loader (90 features,
+    labels, ids, bin), index and priors from train rows only."""
+    from .pipeline import PipelineSpec, build_training_table
+    spec = PipelineSpec(split_ts=DEFAULT_SPLIT_TS, index_cutoff_ts=DEFAULT_SPLIT_TS)
+    return _round_doubles(build_training_table(_ix(spark, sf), spec, "val"))
+
+
+def enriched_skew_split(spark, sf):
+    """J1/J2 through the hot-key split join (must equal ``enriched_interactions``)."""
+    ix, idx = _train_index(spark, sf)
+    val = clean.val_split(ix, DEFAULT_SPLIT_TS).select(*_ids(None))
+    return _round_doubles(enrich.enrich(val, idx, keep_counts=True, skew="split", materialize="checkpoint"))
+
+
+def prior_baseline_metrics(spark, sf):
+    """L6 + M5: the constant-prior model (train means) scored per bin on validation rows."""
+    from ..operators import profiling
+    from ..operators.metrics import metrics_by_group, unpivot_targets
+    df = _labelled(spark, sf).withColumn("bin", S.follower_bin("a_follower_count"))
+    pri = profiling.prior_model(clean.train_split(df, DEFAULT_SPLIT_TS))
+    va = clean.val_split(df, DEFAULT_SPLIT_TS).crossJoin(F.broadcast(pri))
+    rows = unpivot_targets(va, ["bin"], {t: f"prior_{t}" for t in TARGETS})
+    return _round_doubles(metrics_by_group(rows, ["bin", "target"]))
+
+
+def _events(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet")
+
+
+def events_day_windows(spark, sf):
+    """T3 (batch form of the same plan): events per user and UTC day window."""
+    from ..streaming.index_stream import windowed_day_counts
+    return windowed_day_counts(_events(spark, sf).select("user_id", "ts"))
+
+
+def _ntz_epoch(c):
+    c = F.col(c)
+    return F.unix_date(F.to_date(c)).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c))
+
+
+def events_calendar(spark, sf):
+    """E12/E13 on the events table: counts per type, weekday and hour (UTC)."""
+    ev = _events(spark, sf).withColumn("_s", _ntz_epoch("ts"))
+    return ev.groupBy("event_type", S.day_of_week("_s").alias("day_of_week"), S.hour_of_day("_s").alias("hour_of_day")) \
+        .agg(F.count(F.lit(1)).cast("bigint").alias("n"), rnd(F.sum("value")).alias("value_sum"))
+
+
+def documents_token_len(spark, sf):
+    """E6/E24 on whole documents: ln(1 + #space-separated tokens), character length."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", "lang", rnd(F.log1p(F.size(F.split("text", " ")).cast("double"))).alias("token_len_log"),
+                    S.text_length("text").alias("n_chars"))
+
+
+def labels_metrics(spark, sf):
+    """M3/M4 on the second label set: quality/toxic labels scored by a
+    length-based synthetic score, per language."""
+    from ..operators.metrics import metrics_by_group, unpivot_targets
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    lab = spark.read.parquet(f"{sf}/labels.parquet")
+    j = d.join(lab, "doc_id").select(
+        "lang", F.round(1 / (1 + F.exp(5 - F.log1p(F.size(F.split("text", " ")).cast("double")))), 3).alias("score"),
+        (F.col("quality") == 1).alias("has_quality"), (F.col("toxic") == 1).alias("has_toxic"))
+    rows = unpivot_targets(j, ["lang"], "score", targets=["quality", "toxic"])
+    return _round_doubles(metrics_by_group(rows, ["lang", "target"]))
+
+
+def user_lookup(spark, sf):
+    """all rows of the most active consumer (equality filter on the id)."""
+    ix = _ix(spark, sf)
+    top = ix.groupBy("b_user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("b_user_id")).limit(1)
+    return ix.join(top.select("b_user_id"), "b_user_id", "left_semi").select(*_ids(None), "type", *LABEL_COLS)
+
+
+def head_preview(spark, sf):
+    """the first 10 rows in a stated order (the limit is the feature)."""
+    return _ix(spark, sf).select("ts", "tweet_id", "b_user_id", "type").orderBy("ts", "tweet_id", "b_user_id", "type").limit(10)
+
+
+def batch_sizes(spark, sf):
+    """5000-row batches over the ordered rows; rows per batch."""
+    from ..operators.profiling import batch_sizes as bs
+    from ..sources.readers import with_batches
+    df = _ix(spark, sf).select("ts", "tweet_id", "b_user_id", "type")
+    return bs(with_batches(df, 5000, ["ts", "tweet_id", "b_user_id", "type"]))
+
+
+def distinct_values(spark, sf):
+    """Distinct values of type, language and media combination."""
+    ix = _ix(spark, sf)
+    parts = [ix.select(F.lit(c).alias("column_name"), F.col(c).alias("value")).distinct() for c in ("type", "language")]
+    parts.append(ix.select(F.lit("media_combo").alias("column_name"), S.media_combo("medias").alias("value")).distinct())
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def column_summary(spark, sf):
+    """Non-null count per column (one aggregate, then a narrow unpivot)."""
+    ix = _ix(spark, sf)
+    agg = ix.agg(*[F.count(c).cast("bigint").alias(c) for c in ix.columns])
+    return agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("non_null")) for c in ix.columns])))
+
+
+def score_transforms(spark, sf):
+    """E25, E28-E31 on the synthetic score and counts."""
+    df = _ix(spark, sf, score=True)
+    return df.select(*_ids(None), rnd(S.inverse_log(S.save_log("a_follower_count"))).alias("followers_roundtrip"),
+                     rnd(S.squeeze_probability("score")).alias("squeezed"), S.round_decision("score").alias("decision"),
+                     S.nonzero("reply_ts").alias("nonzero_reply"),
+                     rnd(S.nan_to_num(S.safe_ratio("a_following_count", "b_following_count"))).alias("ratio_or_zero"))
+
+
+def row_weights(spark, sf):
+    """E26 x E27: training-row weights per target (bin weight * class weight)."""
+    df = _labelled(spark, sf).withColumn("bin", S.follower_bin("a_follower_count"))
+    df = clean.train_split(df, DEFAULT_SPLIT_TS)
+    return df.select(*_ids(None), "bin", *[rnd(S.bin_weight("bin") * S.class_weight(t)).alias(f"w_{t}") for t in TARGETS])
+
+
+def index_diff(spark, sf):
+    """Users only in the train index, only in the validation index, or in both."""
+    ix = _ix(spark, sf)
+    tr = user_index.build_user_index(clean.train_split(ix, DEFAULT_SPLIT_TS), with_combined=False).select("user_id")
+    va = user_index.build_user_index(clean.val_split(ix, DEFAULT_SPLIT_TS), with_combined=False).select("user_id")
+    parts = [user_index.index_key_diff(tr, va, how).withColumn("side", F.lit(how)) for how in ("left_only", "right_only", "both")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select(_uid(), "side")
+
+
 QUERIES = {
     "positive_rate_by_bin": positive_rate_by_bin,
     "null_audit": null_audit,
@@ -569,6 +703,21 @@ QUERIES = {
     "hash_split": hash_split,
     "row_ids": row_ids,
     "streaming_user_index": streaming_user_index,
+    "training_table": training_table,
+    "enriched_skew_split": enriched_skew_split,
+    "prior_baseline_metrics": prior_baseline_metrics,
+    "events_day_windows": events_day_windows,
+    "events_calendar": events_calendar,
+    "documents_token_len": documents_token_len,
+    "labels_metrics": labels_metrics,
+    "user_lookup": user_lookup,
+    "head_preview": head_preview,
+    "batch_sizes": batch_sizes,
+    "distinct_values": distinct_values,
+    "column_summary": column_summary,
+    "score_transforms": score_transforms,
+    "row_weights": row_weights,
+    "index_diff": index_diff,
     "gbt_scores": gbt_scores,
     "rf_importance": rf_importance,
     "stacked_scores": stacked_scores,

@@ -399,10 +399,110 @@ def _sql2() -> dict[str, str]:
     return q
 
 
+def _training_table_sql() -> str:
+    te_names = [f"TE_{slot(*s)}" for s in te_slots()]
+    tcase = "CASE type WHEN 'Retweet' THEN 0 WHEN 'Quote' THEN 1 WHEN 'Reply' THEN 2 WHEN 'TopLevel' THEN 3 END"
+    sel = ["v.tweet_id", "v.b_user_id", "a_follower_count", "a_following_count", "a_is_verified", "b_follower_count",
+           "b_following_count", "b_is_verified", "a_follows_b"]
+    sel += [f"coalesce({c}, 0) AS {c}" for c in LABEL_COLS]
+    sel += [f"{R('ln(1 + len(string_split(tokens, chr(9))))')} AS bert_token_len",
+            f"{R(media('Photo'))} AS photo_count", f"{R(media('Video'))} AS video_count", f"{R(media('GIF'))} AS gif_count",
+            f"CAST(coalesce({tcase}, -10) AS INTEGER) AS type_encoding",
+            f"{R('ln(abs(a_follower_count) + 1)')} AS a_followers", f"{R('ln(abs(a_following_count) + 1)')} AS a_following",
+            f"{R('ln(abs(b_follower_count) + 1)')} AS b_followers", f"{R('ln(abs(b_following_count) + 1)')} AS b_following",
+            f"CAST(isodow({epoch_date('ts')}) - 1 AS INTEGER) AS day_of_week",
+            "CAST(((CAST(floor(ts / 3600) AS BIGINT) % 24) + 24) % 24 AS INTEGER) AS hour_of_day",
+            f"{bin_sql('a_follower_count')} AS bin"]
+    sel += [f"{has(c)} AS has_{t}" for t, c in zip(TARGETS, LABEL_COLS)]
+    sel += ["coalesce(d.code, -10) AS language_encoding",
+            f"{R(signed_log1p('(a_account_creation - b_account_creation)'))} AS a_b_creation_delta",
+            f"{R(signed_log1p('(ts - a_account_creation)'))} AS a_creation_delta",
+            f"{R(signed_log1p('(ts - b_account_creation)'))} AS b_creation_delta",
+            f"{R(ratio('a_follower_count', 'b_follower_count'))} AS a_b_follower_ratio",
+            f"{R(ratio('b_follower_count', 'a_follower_count'))} AS b_a_follower_ratio",
+            f"{R(ratio('a_following_count', 'b_following_count'))} AS a_b_following_ratio",
+            f"{R(ratio('b_following_count', 'a_following_count'))} AS b_a_following_ratio"]
+    for side, al in (("A", "ta"), ("B", "tb")):
+        sel += [R(f"coalesce({al}.{c}, -10.0)") + f" AS {c}_{side}" for c in te_names]
+    return (W + f", tr AS (SELECT * FROM interactions WHERE {train_pred()}),\n"
+            f"idx AS ({user_index_sql('tr')}),\npr AS ({priors_sql('idx')}),\nte AS ({te_sql('idx', 'pr')}),\n"
+            "d AS (SELECT language AS value, CAST(dense_rank() OVER (ORDER BY language) - 1 AS BIGINT) AS code "
+            "FROM (SELECT DISTINCT language FROM interactions WHERE language IS NOT NULL) x),\n"
+            f"v AS (SELECT * FROM interactions WHERE {val_pred()})\n"
+            f"SELECT {', '.join(sel)} FROM v LEFT JOIN d ON v.language = d.value "
+            f"LEFT JOIN te ta ON ta.user_id = {uid('v.a_user_id')} LEFT JOIN te tb ON tb.user_id = {uid('v.b_user_id')}")
+
+
+def _sql3() -> dict[str, str]:
+    from ..schema import BIN_WEIGHTS, CLASS_WEIGHTS
+    from ..sources.fixtures import INTERACTION_COLS
+    q: dict[str, str] = {}
+    q["training_table"] = _training_table_sql()
+    L = _labelled_cte()
+    prior_m = "\nUNION ALL\n".join(
+        f"SELECT {bin_sql('a_follower_count')} AS bin, '{t}' AS target, prior_{t} AS score, CAST(has_{t} AS INTEGER) AS y "
+        f"FROM interactions CROSS JOIN pri WHERE {val_pred()}" for t in TARGETS)
+    pri = ("SELECT " + ", ".join(f"avg(CAST(has_{t} AS DOUBLE)) AS prior_{t}" for t in TARGETS)
+           + f" FROM interactions WHERE {train_pred()}")
+    q["prior_baseline_metrics"] = L + (
+        f", pri AS ({pri}), m AS ({prior_m}),\nr AS ({_rce_select(_rce_sql('bin, target'))}), a AS ({_ap_sql('bin, target')})\n"
+        f"SELECT bin, target, n, {R('ctr')} AS ctr, {R('log_loss')} AS log_loss, {R('rce')} AS rce, {R('ap')} AS ap, positives "
+        "FROM r FULL JOIN a USING (bin, target)")
+    q["events_day_windows"] = ("SELECT user_id, CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS day_start, "
+                               "CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+    q["events_calendar"] = (f"SELECT event_type, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week, CAST(hour(ts) AS INTEGER) AS hour_of_day, "
+                            f"CAST(count(*) AS BIGINT) AS n, {R('sum(value)')} AS value_sum FROM events GROUP BY 1, 2, 3")
+    q["documents_token_len"] = (f"SELECT doc_id, lang, {R('ln(1 + len(string_split(text, chr(32))))')} AS token_len_log, "
+                                "CAST(length(text) AS BIGINT) AS n_chars FROM documents")
+    lm = "\nUNION ALL\n".join(
+        f"SELECT lang, '{t}' AS target, score, CAST({t} = 1 AS INTEGER) AS y FROM j" for t in ("quality", "toxic"))
+    q["labels_metrics"] = (
+        "WITH j AS (SELECT d.lang, round(1 / (1 + exp(5 - ln(1 + len(string_split(d.text, chr(32)))))), 3) AS score, l.quality, l.toxic "
+        f"FROM documents d JOIN labels l ON d.doc_id = l.doc_id), m AS ({lm}),\n"
+        f"r AS ({_rce_select(_rce_sql('lang, target'))}), a AS ({_ap_sql('lang, target')})\n"
+        f"SELECT lang, target, n, {R('ctr')} AS ctr, {R('log_loss')} AS log_loss, {R('rce')} AS rce, {R('ap')} AS ap, positives "
+        "FROM r FULL JOIN a USING (lang, target)")
+    q["user_lookup"] = W + (
+        ", top AS (SELECT b_user_id FROM interactions GROUP BY 1 ORDER BY count(*) DESC, b_user_id LIMIT 1)\n"
+        f"SELECT {IDS}, type, {', '.join(LABEL_COLS)} FROM interactions WHERE b_user_id = (SELECT b_user_id FROM top)")
+    q["head_preview"] = W + "SELECT ts, tweet_id, b_user_id, type FROM interactions ORDER BY ts, tweet_id, b_user_id, type LIMIT 10"
+    q["batch_sizes"] = W + ("SELECT CAST(floor((rn - 1) / 5000) AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS n FROM "
+                            "(SELECT row_number() OVER (ORDER BY ts, tweet_id, b_user_id, type) AS rn FROM interactions) x GROUP BY 1")
+    combo = "array_to_string(string_split(coalesce(medias, ''), chr(9))[1:3], '_')"
+    q["distinct_values"] = W + (
+        "SELECT DISTINCT 'type' AS column_name, type AS value FROM interactions UNION ALL "
+        "SELECT DISTINCT 'language', language FROM interactions UNION ALL "
+        f"SELECT DISTINCT 'media_combo', {combo} FROM interactions")
+    q["column_summary"] = W + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS non_null FROM interactions" for c in INTERACTION_COLS)
+    q["score_transforms"] = _labelled_cte(score=True) + (
+        f"SELECT {IDS}, {R('exp(ln(abs(a_follower_count) + 1)) - 1')} AS followers_roundtrip, "
+        f"{R('(score - 0.5) * 0.999 + 0.5')} AS squeezed, CAST(round_even(score, 0) AS INTEGER) AS decision, "
+        "coalesce(reply_ts, 0) <> 0 AS nonzero_reply, "
+        + R("coalesce(CASE WHEN b_following_count = 0 THEN CASE WHEN a_following_count <> 0 THEN 1e7 END "
+            "ELSE CAST(a_following_count AS DOUBLE) / b_following_count END, 0.0)") + " AS ratio_or_zero FROM interactions")
+    bw = "CASE bin " + " ".join(f"WHEN {b} THEN CAST({w!r} AS DOUBLE)" for b, w in BIN_WEIGHTS.items()) + " END"
+    cw = {t: f"CASE WHEN has_{t} THEN CAST({CLASS_WEIGHTS[t][1]!r} AS DOUBLE) ELSE CAST({CLASS_WEIGHTS[t][0]!r} AS DOUBLE) END"
+          for t in TARGETS}
+    q["row_weights"] = L + (
+        f", b AS (SELECT *, {bin_sql('a_follower_count')} AS bin FROM interactions WHERE {train_pred()})\n"
+        f"SELECT {IDS}, bin, " + ", ".join(f"{R(f'({bw}) * ({cw[t]})')} AS w_{t}" for t in TARGETS) + " FROM b")
+    users = lambda pred: (f"SELECT {uid('a_user_id')} AS user_id FROM interactions WHERE {pred} UNION "
+                          f"SELECT {uid('b_user_id')} FROM interactions WHERE {pred}")
+    q["index_diff"] = W + (
+        f", tu AS ({users(train_pred())}), vu AS ({users(val_pred())})\n"
+        "SELECT user_id, 'left_only' AS side FROM (SELECT user_id FROM tu EXCEPT SELECT user_id FROM vu) a UNION ALL "
+        "SELECT user_id, 'right_only' FROM (SELECT user_id FROM vu EXCEPT SELECT user_id FROM tu) b UNION ALL "
+        "SELECT user_id, 'both' FROM (SELECT user_id FROM tu INTERSECT SELECT user_id FROM vu) c")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out = _sql()
     out.update(_sql2())
     out["streaming_user_index"] = out["user_index"]
+    out.update(_sql3())
+    out["enriched_skew_split"] = out["enriched_interactions"]
     return out
 
 

@@ -70,7 +70,14 @@ def score_stream(events: DataFrame, score: Callable[[DataFrame], DataFrame], out
 def windowed_day_counts(events: DataFrame, ts_col: str = "ts", user_col: str = "user_id",
                         watermark: str = "2 days") -> DataFrame:
     """Per (user, UTC day) activity with a watermark for late events."""
-    t = F.timestamp_seconds(F.col(ts_col)) if dict(events.dtypes)[ts_col] in ("bigint", "int") else F.col(ts_col).cast("timestamp")
-    return (events.withColumn("_event_time", t).withWatermark("_event_time", watermark)
+    dtype = dict(events.dtypes)[ts_col]
+    if dtype in ("bigint", "int"):
+        secs = F.col(ts_col)
+    elif dtype == "timestamp_ntz":   # wall-clock time read as UTC, zone free
+        c = F.col(ts_col)
+        secs = F.unix_date(F.to_date(c)).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c))
+    else:
+        secs = F.unix_seconds(F.col(ts_col))
+    return (events.withColumn("_event_time", F.timestamp_seconds(secs)).withWatermark("_event_time", watermark)
             .groupBy(F.col(user_col), F.window("_event_time", "1 day")).agg(F.count(F.lit(1)).alias("n"))
-            .select(user_col, F.col("window.start").alias("day_start"), "n"))
+            .select(user_col, F.unix_seconds(F.col("window.start")).alias("day_start"), F.col("n").cast("bigint")))
