@@ -4,12 +4,15 @@ An unpartitioned ``row_number() over (order by x)`` pulls every row into one
 task.  Instead: range-partition on the order key, number rows inside each
 partition, count rows per partition (a tiny table: one row per partition,
 so its broadcast is bounded by the partition count), turn those counts into
-offsets and add them back.  Both branches read the same range exchange, which
-Spark reuses instead of shuffling twice.
+offsets and add them back.  The range-partitioned frame feeds two branches
+(sizes and rows); Spark does not reuse a range exchange across a self-join,
+so it is persisted once (MEMORY_AND_DISK; lost blocks are recomputed from
+lineage, and range partitioning of the same input is deterministic).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +27,8 @@ def global_row_index(df: DataFrame, order: list[Column | str], name: str = "row_
     """``start``-based row number in ``order`` (ties broken by position)."""
     r = (_ordered(df, order, num_partitions)
          .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+         .persist(StorageLevel.MEMORY_AND_DISK))
     sizes = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
     offs = sizes.select("_pid", (F.sum("_size").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
     out = r.join(F.broadcast(offs), "_pid", "left")

@@ -1,0 +1,56 @@
+"""End-to-end jobs: loader -> models -> metrics row -> submission file."""
+
+from pyspark.sql import functions as F
+
+from echoline.operators.models import TargetModels
+from echoline.plans import pipeline as P
+from echoline.schema import DEFAULT_SPLIT_TS, LABEL_COLS, TARGETS
+from echoline.sources.fixtures import interactions
+from echoline.sources.readers import PREDICTION_SCHEMA, read_results
+
+SF = "/root/testdata/sf0.001"
+
+
+def _spec(**kw):
+    base = dict(split_ts=DEFAULT_SPLIT_TS, index_cutoff_ts=DEFAULT_SPLIT_TS, model_params={"maxDepth": 2, "maxIter": 2})
+    base.update(kw)
+    return P.PipelineSpec(**base)
+
+
+def test_training_table_has_90_features(spark):
+    ix = interactions(spark, SF)
+    tab = P.build_training_table(ix, _spec(), "train")
+    feats = P.feature_columns(tab)
+    assert len(feats) == 90, feats
+    assert sum(c.startswith("TE_") for c in feats) == 64
+    # no nulls left anywhere in the feature columns
+    nulls = tab.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feats]).first().asDict()
+    assert not any(nulls.values())
+
+
+def test_train_evaluate_submit(spark, scratch):
+    ix = interactions(spark, SF)
+    spec = _spec()
+    tr, va = P.build_training_table(ix, spec, "train"), P.build_training_table(ix, spec, "val")
+    model = P.train(tr, spec)
+    row = P.evaluate(model.transform(va)).first().asDict()
+    assert {f"TOTAL_{t}_rce" for t in TARGETS} <= set(row)
+    model.save(f"{scratch}/models")
+    again = TargetModels.load(f"{scratch}/models", P.feature_columns(tr))
+    from echoline.operators.user_index import build_user_index
+    test_rows = ix.drop(*LABEL_COLS)
+    P.submission(spark, test_rows, again, spec, f"{scratch}/pred", index=build_user_index(ix, DEFAULT_SPLIT_TS))
+    pred = read_results(spark, f"{scratch}/pred", schema=PREDICTION_SCHEMA)
+    assert pred.count() == ix.count()
+    assert pred.filter((F.col("like") < 0) | (F.col("like") > 1)).count() == 0
+
+
+def test_prior_model_rce_near_zero_on_training_rows(spark):
+    from echoline.operators import metrics, profiling
+    from echoline.operators.models import prior_scores
+    ix = interactions(spark, SF)
+    tab = P.build_training_table(ix, _spec(use_index=False), "train")
+    scored = prior_scores(tab, profiling.prior_model(tab))
+    rows = metrics.unpivot_targets(scored, [], {t: f"score_{t}" for t in TARGETS})
+    for r in metrics.rce(rows, ["target"]).collect():
+        assert abs(r.rce) < 1e-6
