@@ -92,10 +92,19 @@ def apply_registry(df: DataFrame, registry: dict[str, FeatureSpec], mode: str =
     return out.withColumns(pending) if pending else out
 
 
+def python_feature(inputs, fn, dtype: str = "double") -> FeatureSpec:
+    """Registry entry backed by an Arrow-batched pandas function (X1); use only
+    when no built-in expression can express the feature."""
+    from .udf import series_feature
+    cols = tuple([inputs] if isinstance(inputs, str) else inputs)
+    udf = series_feature(fn, dtype)
+    return FeatureSpec(cols, lambda: udf(*[F.col(c) for c in cols]), dtype)
+
+
 def add_row_features(df: DataFrame) -> DataFrame:
     """E4 deltas and E5 ratios (the vectorised 'prepro 3' step)."""
     return df.withColumns({**S.creation_deltas(), **S.follow_ratios()})
 
 
 __all__ = ["FeatureSpec", "LabelLeakError", "apply_registry", "default_features", "default_targets",
-           "label_derived", "add_row_features", "F"]
+           "label_derived", "add_row_features", "python_feature", "F"]

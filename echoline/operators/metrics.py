@@ -90,3 +90,10 @@ def classification_scores(df: DataFrame, group: list[str]) -> DataFrame:
                     ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
                     ((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("balanced_accuracy"),
                     F.try_divide(tp, tp + fp).alias("precision"))
+
+
+def rank_runs(run_log: DataFrame, metric: str, name_col: str = "method", descending: bool = True) -> DataFrame:
+    """Order logged runs by one metric (ties by name); the log is one row per run."""
+    from .ranking import global_row_index
+    order = [F.col(metric).desc_nulls_last() if descending else F.col(metric).asc_nulls_last(), F.col(name_col)]
+    return global_row_index(run_log.select(name_col, metric), order, "rank", start=1)

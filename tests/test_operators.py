@@ -225,3 +225,48 @@ def test_plans_have_no_python_udf_or_cartesian(spark):
     idx = user_index.build_user_index(df)
     plan = enrich.enrich(df, idx)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_python_feature_matches_builtin(spark):
+    import numpy as np
+    from echoline.functions.registry import python_feature
+    from echoline.functions.udf import batch_map
+    df = _users(spark)
+    reg = {"a_log_py": python_feature("a_follower_count", lambda s: np.log1p(np.abs(s.astype("float64")))),
+           "a_log": FeatureSpec(("a_follower_count",), lambda: S.save_log("a_follower_count"))}
+    out = apply_registry(df, reg).select("a_log_py", "a_log").collect()
+    assert all(r.a_log_py == pytest.approx(r.a_log) for r in out)
+    doubled = batch_map(df.select("ts"), lambda p: p.assign(ts2=p.ts * 2), "ts long, ts2 long")
+    assert all(r.ts2 == 2 * r.ts for r in doubled.collect())
+
+
+def test_rank_runs(spark):
+    log = spark.createDataFrame([("a", 1.5), ("b", 9.0), ("c", None), ("d", 9.0)], "method string, TOTAL_like_rce double")
+    ranked = {r.method: r["rank"] for r in metrics.rank_runs(log, "TOTAL_like_rce").collect()}
+    assert ranked == {"b": 1, "d": 2, "a": 3, "c": 4}
+
+
+def test_sources_small_helpers(spark, scratch):
+    from echoline.sources import readers
+    with open(f"{scratch}/lang.csv", "w") as f:
+        f.write("encode,language_id\n0,AA\n1,BB\n")
+    d = readers.read_dictionary(spark, f"{scratch}/lang.csv")
+    assert sorted((r.value, r.code) for r in d.collect()) == [("AA", 0), ("BB", 1)]
+    df = spark.range(0, 23).withColumn("source_file", F.when(F.col("id") < 10, "p0").otherwise("p1"))
+    order = readers.file_order(df, seed=3).collect()
+    assert sorted(r.file_rank for r in order) == [0, 1]
+    b = readers.with_minibatches(readers.with_batches(df, 10), 4)
+    counts = sorted((r.batch_id, r.minibatch_id, r["count"]) for r in b.groupBy("batch_id", "minibatch_id").count().collect())
+    assert counts == [(0, 0, 4), (0, 1, 4), (0, 2, 2), (1, 0, 4), (1, 1, 4), (1, 2, 2), (2, 0, 3)]
+    parts = clean.split_features_labels(_users(spark).withColumns({"has_like": F.lit(True), "bin": F.lit(1)}))
+    assert "has_like" in parts["labels"].columns and "has_like" not in parts["features"].columns
+
+
+def test_mlp_per_target(spark):
+    from echoline.operators.models import TargetModels
+    rows = [(float(i % 5), float(i % 3), i % 2 == 0, i % 3 == 0, i % 4 == 0, i % 5 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, y double, has_reply boolean, has_retweet boolean, "
+                                     "has_retweet_comment boolean, has_like boolean")
+    m = TargetModels(["x", "y"], "mlp", params={"layers": [2, 4, 2], "maxIter": 5}).fit(df)
+    out = m.transform(df).select("score_like").collect()
+    assert len(out) == 60 and all(0 <= r.score_like <= 1 for r in out)
