@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 
 def _ordered(df: DataFrame, order: list[Column | str], num_partitions: int | None) -> DataFrame:
+    """Range partition on ``order`` plus a deterministic row hash, so rows that
+    tie on the order key (a hot value) still spread over partitions; the
+    hash is a pure function of the row, so recomputation places rows alike."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    keyed = [*order, tie]
+    return df.repartitionByRange(n, *keyed).sortWithinPartitions(*keyed)
 
 
 def global_row_index(df: DataFrame, order: list[Column | str], name: str = "row_id",

@@ -270,3 +270,28 @@ def test_mlp_per_target(spark):
     m = TargetModels(["x", "y"], "mlp", params={"layers": [2, 4, 2], "maxIter": 5}).fit(df)
     out = m.transform(df).select("score_like").collect()
     assert len(out) == 60 and all(0 <= r.score_like <= 1 for r in out)
+
+
+def test_hot_author_both_join_paths_agree(spark):
+    # one author holds a third of all rows
+    rows = []
+    for i in range(90):
+        a = HEX_A if i % 3 == 0 else format(1000 + i % 7, "032X")
+        b = format(5000 + i % 11, "032X")
+        rows.append(_row(a, b, T0 + i, ["TopLevel", "Retweet", "Quote", "Reply"][i % 4],
+                         like=T0 + i + 1 if i % 2 else None))
+    df = frame(spark, rows)
+    idx = user_index.build_user_index(df.filter(F.col("ts") < T0 + 60))
+    hot = enrich.hot_keys(df.withColumn("k", S.id_key64("a_user_id")), "k", 0.2).collect()
+    assert [r.k for r in hot] == [int(HEX_A[-16:], 16)]
+    cols = ["tweet_id", "TE_like_a_A", "TE_like_b_B", "n_present_a_A"]
+    aqe = sorted(enrich.enrich(df, idx, skew="aqe").select(*cols).collect())
+    split = sorted(enrich.enrich(df, idx, skew="split").select(*cols).collect())
+    assert aqe == split and len(aqe) == 90
+
+
+def test_row_index_with_hot_order_value(spark):
+    df = spark.range(0, 300).withColumn("k", F.when(F.col("id") < 100, F.lit(0)).otherwise(F.col("id")))
+    out = ranking.global_row_index(df, ["k"], "rn", num_partitions=6).collect()
+    assert sorted(r.rn for r in out) == list(range(300))
+    assert max(r.rn for r in out if r.k == 0) == 99
