@@ -93,3 +93,34 @@ def test_windowed_day_counts(spark, scratch):
     df = spark.createDataFrame(rows, "user_id long, ts long")
     out = index_stream.windowed_day_counts(df).collect()
     assert sorted((r.user_id, r.n) for r in out) == [(1, 2), (2, 1)]
+
+
+def test_foreach_batch_scoring(spark, scratch):
+    for p in range(2):
+        _write_log(f"{scratch}/in/part-{p}.csv", [_line(i) for i in range(p * 4, p * 4 + 4)])
+    ev = index_stream.interaction_stream(spark, f"{scratch}/in", max_files_per_trigger=1)
+
+    def score(df):
+        return df.withColumns({f"score_{t}": F.lit(0.5) for t in ("reply", "retweet", "retweet_comment", "like")})
+
+    q = index_stream.score_stream(ev, score, f"{scratch}/pred", f"{scratch}/ck")
+    q.awaitTermination()
+    out = readers.read_results(spark, f"{scratch}/pred", schema=readers.PREDICTION_SCHEMA)
+    assert out.count() == 8 and out.first().reply == 0.5
+
+
+def test_column_dump_and_partial_index(spark, scratch):
+    _write_log(f"{scratch}/log/part-0.csv", [_line(i) for i in range(6)])
+    df = readers.read_interactions(spark, f"{scratch}/log")
+    sinks.write_columns(df, f"{scratch}/cols", ["tweet_id", "ts"])
+    assert spark.read.parquet(f"{scratch}/cols").columns == ["tweet_id", "ts"]
+    idx = user_index.build_user_index(df, with_combined=False)
+    sinks.write_partial_index(idx, f"{scratch}/parts", "load1")
+    sinks.write_partial_index(idx, f"{scratch}/parts", "load2")
+    parts = spark.read.parquet(f"{scratch}/parts")
+    merged = user_index.merge_indexes(parts.filter("load_id = 'load1'").drop("load_id"),
+                                      parts.filter("load_id = 'load2'").drop("load_id"))
+    one = {r.user_id: r.n_present_a_Quote for r in idx.collect()}
+    two = {r.user_id: r.n_present_a_Quote for r in merged.collect()}
+    assert two == {k: 2 * v for k, v in one.items()}
+    assert sinks.versioned_path("/x", "7") == "/x/v=7"
