@@ -91,13 +91,14 @@ def combined_counts(types=COMBINED_TYPES) -> dict[str, Column]:
 
 def build_user_index(interactions: DataFrame, cutoff_ts: int | None = None,
                      require_activity: str = "none", with_combined: bool = True,
-                     types=POST_TYPES) -> DataFrame:
+                     types=POST_TYPES, with_first_seen: bool = False) -> DataFrame:
     """One row per user with profile and 40 typed counts.
 
     ``require_activity``: ``"none"`` keeps every user (layout independent);
     ``"global"`` keeps only users that posted or engaged at least once, i.e.
     users with a day count (the inner day-join of the original acts as this
-    semi-join).  Profile = values of the earliest row by (time, values).
+    semi-join).  Profile = values of the earliest row by (time, values);
+    ``with_first_seen`` keeps that time so partial indexes merge exactly.
     """
     src = before_cutoff(interactions, cutoff_ts) if cutoff_ts is not None else interactions
     rows = role_rows(src)
@@ -109,7 +110,8 @@ def build_user_index(interactions: DataFrame, cutoff_ts: int | None = None,
         idx = idx.filter(F.col("_active") > 0)
     elif require_activity != "none":
         raise ValueError(f"require_activity must be 'none' or 'global', not {require_activity!r}")
-    idx = idx.select("user_id", *[F.col(f"_p.{c}").alias(c) for c in PROFILE_FIELDS],
+    idx = idx.select("user_id", *([F.col("_p.first_seen").alias("first_seen")] if with_first_seen else []),
+                     *[F.col(f"_p.{c}").alias(c) for c in PROFILE_FIELDS],
                      *[c for c in idx.columns if c.startswith("n_")])
     if with_combined:
         idx = idx.withColumns(combined_counts())
@@ -132,20 +134,30 @@ def user_day_counts(interactions: DataFrame, cutoff_ts: int | None = None, wide:
 
 def merge_indexes(*indexes: DataFrame) -> DataFrame:
     """Merge partial indexes.  Counts are summed for users present in
-    several parts (missing count columns count as 0); the profile is taken
-    from the earliest part that has the user.  Associative, so the order of
-    parts does not matter beyond the profile rule; one shuffle on user_id.
+    several parts (missing count columns count as 0).  The profile is the
+    one with the earliest ``first_seen`` when the parts carry it (exact for
+    any file layout), else the one from the earliest part.  One shuffle on
+    ``user_id``.
     """
     parts = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(indexes)]
     union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return merge_partials(union, "_part")
+
+
+def merge_partials(union: DataFrame, part_col: str) -> DataFrame:
+    """A6 over a long table of partial indexes tagged by ``part_col``."""
     counts = [c for c in union.columns if c.startswith("n_")]
     prof = [c for c in PROFILE_FIELDS if c in union.columns]
+    has_seen = "first_seen" in union.columns
     aggs = [F.sum(F.coalesce(F.col(c), F.lit(0))).cast("bigint").alias(c) for c in counts]
-    if prof:
-        aggs.insert(0, F.min_by(F.struct(*prof), F.col("_part")).alias("_p"))
+    if prof and has_seen:
+        aggs.insert(0, F.min(F.struct("first_seen", *prof)).alias("_p"))
+    elif prof:
+        aggs.insert(0, F.min_by(F.struct(*prof), F.col(part_col)).alias("_p"))
     out = union.groupBy("user_id").agg(*aggs)
     if prof:
-        out = out.select("user_id", *[F.col(f"_p.{c}").alias(c) for c in prof], *counts)
+        keep = (["first_seen"] if has_seen else []) + prof
+        out = out.select("user_id", *[F.col(f"_p.{c}").alias(c) for c in keep], *counts)
     return out
 
 

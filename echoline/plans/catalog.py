@@ -159,7 +159,8 @@ def index_merge(spark, sf):
     ix = _ix(spark, sf)
     t1, t2 = 757382400, 820454400  # 1994-01-01, 1996-01-01 (UTC)
     parts = [ix.filter(F.col("ts") < t1), ix.filter((F.col("ts") >= t1) & (F.col("ts") < t2)), ix.filter(F.col("ts") >= t2)]
-    return _index_out(user_index.merge_indexes(*[user_index.build_user_index(p, with_combined=False) for p in parts]))
+    partials = [user_index.build_user_index(p, with_combined=False, with_first_seen=True) for p in parts]
+    return _index_out(user_index.merge_indexes(*partials).drop("first_seen"))
 
 
 # ------------------------------------------------------------------ step 3: encodings + enrichment
@@ -494,10 +495,11 @@ def random_scores(spark, sf):
 
 def streaming_user_index(spark, sf):
     """The index maintained by Structured Streaming over the interaction
-    files (written as Parquet parts into the checkpoint folder) equals the batch index."""
+    files (written as Parquet parts into the checkpoint folder): each
+    micro-batch appends a partial index, merged on read; equals the batch index."""
     import uuid
     from ..session import ensure_checkpoint_dir
-    from ..streaming.index_stream import flatten_index, run_index_stream
+    from ..streaming.index_stream import read_incremental_index, run_incremental_index
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/t1-{uuid.uuid4().hex}"
     ix = _ix(spark, sf)
     cols = ["a_user_id", "a_follower_count", "a_following_count", "a_is_verified", "a_account_creation",
@@ -506,9 +508,8 @@ def streaming_user_index(spark, sf):
     from ..schema import LABELLED_SCHEMA
     full = ix.select(*[F.col(f.name) if f.name in cols else F.lit(None).cast(f.dataType).alias(f.name) for f in LABELLED_SCHEMA.fields])
     full.repartition(4).write.mode("overwrite").parquet(f"{base}/src")
-    table = f"t1_{uuid.uuid4().hex[:8]}"
-    run_index_stream(spark, f"{base}/src", f"{base}/ckpt", table, max_files_per_trigger=1, fmt="parquet")
-    return _index_out(flatten_index(spark.table(table)))
+    run_incremental_index(spark, f"{base}/src", f"{base}/parts", f"{base}/ckpt", max_files_per_trigger=1, fmt="parquet")
+    return _index_out(read_incremental_index(spark, f"{base}/parts"))
 
 
 # ------------------------------------------------------------------ more coverage

@@ -27,9 +27,17 @@ def write_index_bucketed(index: DataFrame, table: str, buckets: int, mode: str =
     index.write.mode(mode).bucketBy(buckets, "user_id").sortBy("user_id").saveAsTable(table)
 
 
-def write_partial_index(index: DataFrame, path: str, load_id: str) -> None:
-    """K2 (incremental): append one partial index per load."""
-    index.withColumn("load_id", F.lit(load_id)).write.mode("append").partitionBy("load_id").parquet(path)
+def write_partial_index(index: DataFrame, path: str, load_id: str, mode: str = "append") -> None:
+    """K2 (incremental): one partial index per load under ``load_id=...``.
+
+    ``mode="overwrite_partition"`` replaces only this load's partition
+    (dynamic partition overwrite), so re-running a load is idempotent."""
+    w = index.withColumn("load_id", F.lit(load_id)).write.partitionBy("load_id")
+    if mode == "overwrite_partition":
+        w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        w = w.mode(mode)
+    w.parquet(path)
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:

@@ -56,6 +56,31 @@ def run_index_stream(spark: SparkSession, src_path: str, checkpoint: str, table:
     q.awaitTermination()
 
 
+def run_incremental_index(spark: SparkSession, src_path: str, out_path: str, checkpoint: str,
+                          max_files_per_trigger: int | None = None, fmt: str = "csv",
+                          cutoff_ts: int | None = None) -> None:
+    """T1, scale form: each micro-batch (a set of new files) becomes a partial
+    index appended under ``load_id = batch_id`` (K2).  No state store and
+    nothing on the driver; the checkpoint makes a restarted job skip files it
+    already indexed, and a re-run batch overwrites its own ``load_id``."""
+    from ..sources.sinks import write_partial_index
+
+    def _batch(df: DataFrame, batch_id: int) -> None:
+        part = ui.build_user_index(df, cutoff_ts, with_combined=False, with_first_seen=True)
+        write_partial_index(part, out_path, f"{batch_id:012d}", mode="overwrite_partition")
+
+    q = (interaction_stream(spark, src_path, max_files_per_trigger, fmt).writeStream.foreachBatch(_batch)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_incremental_index(spark: SparkSession, out_path: str, with_combined: bool = True) -> DataFrame:
+    """A6 over all partial indexes: one ``groupBy(user_id)``; counts summed,
+    profile of the earliest row (partials carry ``first_seen``)."""
+    out = ui.merge_partials(spark.read.parquet(out_path), "load_id").drop("first_seen")
+    return out.withColumns(ui.combined_counts()) if with_combined else out
+
+
 def score_stream(events: DataFrame, score: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str):
     """Score every micro-batch and append predictions (``foreachBatch``)."""
     from ..sources.sinks import write_predictions
