@@ -116,3 +116,28 @@ def conditional_probability(df: DataFrame, labels: list[str], features: list[str
             .select(*labels, *features, F.col("joint").cast("bigint").alias("joint"),
                     F.col("marginal").cast("bigint").alias("marginal"),
                     (F.col("joint") / F.col("marginal")).alias("probability")))
+
+
+def out_of_fold_encoding(df: DataFrame, category: str | list[str], target: str, key: list[str], name: str,
+                         k: int = 5, weight: float = DEFAULT_SMOOTHING, fill: float = -1.0) -> DataFrame:
+    """Group TE without target leakage (our option for the original's
+    fit-on-self behaviour): rows are split into ``k`` deterministic folds by
+    an md5 hash of ``key``; each row is encoded with statistics of the other
+    folds only.  Per (category, fold) partial sums are aggregated once and
+    subtracted from the category totals, so there is no per-fold re-scan."""
+    from .regularize import unit_hash
+    cats = [category] if isinstance(category, str) else list(category)
+    y = F.col(target).cast("double")
+    rows = df.withColumn("_fold", F.floor(unit_hash(*key, salt="fold") * k).cast("int"))
+    per = rows.groupBy(*cats, "_fold").agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"))
+    tot = per.groupBy(*cats).agg(F.sum("_n").alias("_cat_n"), F.sum("_s").alias("_cat_s"))
+    fold_tot = rows.groupBy("_fold").agg(F.count(F.lit(1)).alias("_fn"), F.sum(y).alias("_fs"))
+    all_tot = rows.agg(F.count(F.lit(1)).alias("_an"), F.sum(y).alias("_as"))
+    prior = fold_tot.crossJoin(F.broadcast(all_tot)).select(
+        "_fold", F.try_divide(F.col("_as") - F.col("_fs"), F.col("_an") - F.col("_fn")).alias("_pm"))
+    w = F.lit(float(weight))
+    enc = (per.join(tot, cats).join(F.broadcast(prior), "_fold")
+           .select(*cats, "_fold", F.try_divide((F.col("_cat_s") - F.col("_s")) + w * F.col("_pm"),
+                                                (F.col("_cat_n") - F.col("_n")) + w).alias(name)))
+    out = rows.join(enc, [*cats, "_fold"], "left")
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(fill))).drop("_fold")

@@ -231,6 +231,13 @@ def te_apply_val(spark, sf):
     return _round_doubles(out.select(*_ids(None), "language", "type", "TE_lang_type_retweet"))
 
 
+def te_group_oof(spark, sf):
+    """Q9 option: out-of-fold group TE of language on like (5 md5 folds)."""
+    df = _labelled(spark, sf).select(*_ids(None), "language", "has_like")
+    out = encoding.out_of_fold_encoding(df, "language", "has_like", ["tweet_id", "b_user_id", "ts"], "TE_language_like_oof")
+    return _round_doubles(out.select(*_ids(None), "language", "TE_language_like_oof"))
+
+
 def cond_prob(spark, sf):
     df = _labelled(spark, sf).withColumn("bin", S.follower_bin("a_follower_count"))
     return _round_doubles(encoding.conditional_probability(df, ["has_reply", "has_like"], ["type", "bin"]))
@@ -675,6 +682,7 @@ QUERIES = {
     "te_group_type": te_group_type,
     "te_group_language": te_group_language,
     "te_apply_val": te_apply_val,
+    "te_group_oof": te_group_oof,
     "cond_prob": cond_prob,
     "dict_language": dict_language,
     "dict_users": dict_users,

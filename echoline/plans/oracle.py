@@ -438,6 +438,16 @@ def _sql3() -> dict[str, str]:
     from ..sources.fixtures import INTERACTION_COLS
     q: dict[str, str] = {}
     q["training_table"] = _training_table_sql()
+    fold = f"CAST(floor({unit_hash_sql(['tweet_id', 'b_user_id', 'ts'], 'fold')} * 5) AS INTEGER)"
+    q["te_group_oof"] = _labelled_cte() + (
+        f", r AS (SELECT *, {fold} AS fold, CAST(has_like AS DOUBLE) AS y FROM interactions),\n"
+        "per AS (SELECT language, fold, count(*) AS n, sum(y) AS s FROM r GROUP BY 1, 2),\n"
+        "tot AS (SELECT language, sum(n) AS nn, sum(s) AS ss FROM per GROUP BY 1),\n"
+        "ft AS (SELECT fold, count(*) AS fn, sum(y) AS fs FROM r GROUP BY 1), allr AS (SELECT count(*) AS an, sum(y) AS als FROM r),\n"
+        "pm AS (SELECT fold, (als - fs) / NULLIF(an - fn, 0) AS pm FROM ft CROSS JOIN allr),\n"
+        "enc AS (SELECT per.language, per.fold, ((ss - s) + 20.0 * pm) / NULLIF((nn - n) + 20.0, 0) AS e "
+        "FROM per JOIN tot USING (language) JOIN pm USING (fold))\n"
+        f"SELECT {IDS}, language, {R('coalesce(e, -1.0)')} AS TE_language_like_oof FROM r LEFT JOIN enc USING (language, fold)")
     L = _labelled_cte()
     prior_m = "\nUNION ALL\n".join(
         f"SELECT {bin_sql('a_follower_count')} AS bin, '{t}' AS target, prior_{t} AS score, CAST(has_{t} AS INTEGER) AS y "

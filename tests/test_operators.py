@@ -295,3 +295,22 @@ def test_row_index_with_hot_order_value(spark):
     out = ranking.global_row_index(df, ["k"], "rn", num_partitions=6).collect()
     assert sorted(r.rn for r in out) == list(range(300))
     assert max(r.rn for r in out if r.k == 0) == 99
+
+
+def test_out_of_fold_excludes_own_fold(spark):
+    rows = [(i, "a" if i % 2 else "b", int(i % 3 == 0)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, cat string, y int")
+    out = encoding.out_of_fold_encoding(df, "cat", "y", ["id"], "enc", k=4, weight=0.0).collect()
+    from echoline.operators.regularize import unit_hash
+    folds = {r.id: r.f for r in df.select("id", F.floor(unit_hash("id", salt="fold") * 4).alias("f")).collect()}
+    for r in out:
+        others = [q for q in rows if q[1] == r.cat and folds[q[0]] != folds[r.id]]
+        assert r.enc == pytest.approx(sum(q[2] for q in others) / len(others))
+
+
+def test_noise_reaches_sentinel_values(spark):
+    df = _users(spark)
+    idx = user_index.build_user_index(df.filter(F.col("ts") < T0 + 2))
+    out = enrich.enrich(df, idx, keep_counts=False, noise_std=0.05, noise_seed=3)
+    v = out.filter(F.col("b_user_id") == HEX_D).first()["TE_like_b_B"]
+    assert v != -10.0 and abs(v + 10.0) < 0.5
