@@ -314,3 +314,16 @@ def test_noise_reaches_sentinel_values(spark):
     out = enrich.enrich(df, idx, keep_counts=False, noise_std=0.05, noise_seed=3)
     v = out.filter(F.col("b_user_id") == HEX_D).first()["TE_like_b_B"]
     assert v != -10.0 and abs(v + 10.0) < 0.5
+
+
+def test_small_cleaning_helpers(spark):
+    from echoline.sources.readers import coload
+    df = _users(spark)
+    wide = clean.widen_unsigned(df, ["a_follower_count"], bits=64)
+    assert dict(wide.dtypes)["a_follower_count"] == "decimal(20,0)"
+    assert "tokens" not in clean.drop_features(df, ["tokens"]).columns
+    assert clean.drop_null_label(df, "like_ts").count() == 1
+    assert not any(c.startswith("n_") for c in clean.drop_prefixed(user_index.build_user_index(df)).columns)
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "idx long, new string")
+    b = spark.createDataFrame([(1, "p"), (3, "q")], "idx long, old string")
+    assert [(r.idx, r.new, r.old) for r in coload(a, b).collect()] == [(1, "x", "p")]

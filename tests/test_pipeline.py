@@ -54,3 +54,13 @@ def test_prior_model_rce_near_zero_on_training_rows(spark):
     rows = metrics.unpivot_targets(scored, [], {t: f"score_{t}" for t in TARGETS})
     for r in metrics.rce(rows, ["target"]).collect():
         assert abs(r.rce) < 1e-6
+
+
+def test_ablation_runs_log(spark, scratch):
+    ix = interactions(spark, SF)
+    specs = {"no_index": _spec(use_index=False, model_params={"maxDepth": 2, "maxIter": 1}),
+             "index": _spec(model_params={"maxDepth": 2, "maxIter": 1})}
+    rows = P.ablation_runs(spark, ix, specs, f"{scratch}/runs").collect()
+    assert sorted(r.run for r in rows) == ["index", "no_index"]
+    log = read_results(spark, f"{scratch}/runs", header=True)
+    assert log.count() == 2
