@@ -51,7 +51,7 @@ def rce(df: DataFrame, group: list[str]) -> DataFrame:
     return g.withColumn("rce", F.when(ok, (1 - F.col("log_loss") / F.when(ok, straw)) * 100))
 
 
-def average_precision(df: DataFrame, group: list[str], num_buckets: int = 64) -> DataFrame:
+def average_precision(df: DataFrame, group: list[str], num_buckets: int | None = None) -> DataFrame:
     """M4: AP = sum over distinct thresholds (desc) of (R_k - R_{k-1}) * P_k."""
     ties = df.groupBy(*group, "score").agg(F.sum("y").cast("double").alias("tp"),
                                            F.count(F.lit(1)).cast("double").alias("cnt"))

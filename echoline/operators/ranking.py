@@ -55,24 +55,35 @@ def dense_codes(df: DataFrame, col: str, name: str = "code", null_code: int | No
 
 
 def prefix_sums(df: DataFrame, partition: list[str], key: str, cols: list[str], descending: bool = True,
-                num_buckets: int = 64, relative_error: float = 1e-3) -> DataFrame:
-    """Running sums of ``cols`` per ``partition`` in ``order`` (inclusive of the
-    current row), computed as bucket totals + a windowed sum inside buckets.
+                num_buckets: int | None = None, rows_per_bucket: int = 1_000_000,
+                max_broadcast_groups: int = 100_000) -> DataFrame:
+    """Running sums of ``cols`` per ``partition`` in ``key`` order (inclusive of
+    the current row), computed as bucket totals + a windowed sum inside buckets.
 
-    Buckets are ranges of the order key taken from ``percentile_approx`` per
-    group, so no task holds a whole group (a group may be a third of all rows).
-    ``key`` is a numeric column; rows should be unique per (partition, key)
-    (aggregate ties first), otherwise ties are summed in arbitrary order.
+    Buckets are ranges of the key from ``percentile_approx`` per group, so no
+    task holds a whole group (a group may be a third of all rows).  The bucket
+    count adapts to the largest group (``rows_per_bucket``) unless given.  The
+    per-group cut table is broadcast only when the group count is checked to
+    be at most ``max_broadcast_groups``.  Rows should be unique per
+    (partition, key) (aggregate ties first).
     """
-    desc = descending
-    order = F.col(key).desc() if desc else F.col(key).asc()
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    sizes = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_rows")).persist()
+    n_groups = sizes.count()
+    if num_buckets is None:
+        biggest = sizes.agg(F.max("_rows")).first()[0] or 0
+        num_buckets = int(min(max(16, -(-biggest // rows_per_bucket)), 200_000))
+    sizes.unpersist()
     probs = [i / num_buckets for i in range(1, num_buckets)]
-    cuts = df.groupBy(*partition).agg(F.percentile_approx(key, probs, int(1 / relative_error)).alias("_cuts"))
-    b = (df.join(F.broadcast(cuts) if not partition else cuts, partition, "left") if partition
-         else df.crossJoin(F.broadcast(cuts)))
+    accuracy = max(1000, 10 * num_buckets)
+    cuts = df.groupBy(*partition).agg(F.percentile_approx(key, probs, accuracy).alias("_cuts"))
+    if not partition:
+        b = df.crossJoin(F.broadcast(cuts))
+    else:
+        b = df.join(F.broadcast(cuts) if n_groups <= max_broadcast_groups else cuts, partition, "left")
     # bucket index: number of cut points strictly below the key
     b = b.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
-    if desc:
+    if descending:
         b = b.withColumn("_bucket", F.lit(num_buckets) - F.col("_bucket"))
     totals = b.groupBy(*partition, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w_b = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
