@@ -87,13 +87,19 @@ def group_stats(df: DataFrame, category: str | list[str], target: str) -> DataFr
 
 
 def apply_group_encoding(df: DataFrame, stats: DataFrame, category: str | list[str],
-                         name: str, weight: float = DEFAULT_SMOOTHING, fill: float = -1.0) -> DataFrame:
+                         name: str, weight: float = DEFAULT_SMOOTHING, fill: float = -1.0,
+                         broadcast_max_rows: int = 1_000_000) -> DataFrame:
     """A10/A11 apply: ``(count * mean + w * total_mean) / (count + w)`` joined on
-    the category (J8); unseen categories get ``fill`` in the new column only."""
+    the category (J8); unseen categories get ``fill`` in the new column only.
+
+    The statistics (one row per category) are materialised and counted; at
+    most ``broadcast_max_rows`` categories are broadcast (a hot category then
+    costs nothing), more go through a shuffled join with AQE skew handling."""
     cats = [category] if isinstance(category, str) else list(category)
     enc = stats.select(*cats, ((F.col("count") * F.col("mean") + F.lit(float(weight)) * F.col("total_mean"))
-                               / (F.col("count") + F.lit(float(weight)))).alias(name))
-    return df.join(enc, cats, "left").withColumn(name, F.coalesce(F.col(name), F.lit(fill)))
+                               / (F.col("count") + F.lit(float(weight)))).alias(name)).persist()
+    side = F.broadcast(enc) if enc.count() <= broadcast_max_rows else enc
+    return df.join(side, cats, "left").withColumn(name, F.coalesce(F.col(name), F.lit(fill)))
 
 
 def group_target_encoding(df: DataFrame, category: str | list[str], target: str, name: str | None = None,

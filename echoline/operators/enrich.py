@@ -51,13 +51,28 @@ def suffixed(index: DataFrame, side: str, key: str) -> DataFrame:
                         *[F.col(c).alias(f"{c}_{side}") for c in index.columns if c != "user_id"])
 
 
-def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_share: float = 0.01) -> DataFrame:
-    """J1 + J2 (+ J3: returns ``df`` untouched when there is no index)."""
+def index_fits_broadcast(index: DataFrame, max_bytes: int) -> bool:
+    """Size check for broadcasting the (materialised) index: rows x 8 bytes
+    per column, counted, so the bound is proven rather than estimated."""
+    if max_bytes <= 0:
+        return False
+    return index.count() * 8 * (len(index.columns) + 2) <= max_bytes
+
+
+def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_share: float = 0.01,
+               broadcast_max_bytes: int = 0) -> DataFrame:
+    """J1 + J2 (+ J3: returns ``df`` untouched when there is no index).
+
+    When the counted index fits ``broadcast_max_bytes`` both joins are
+    broadcast (no shuffle of the interactions, skew irrelevant); otherwise
+    shuffled joins with AQE skew handling or the explicit hot-key split."""
     if index is None:
         return df
     out = df.withColumns({"_a_key": id_key64(F.col("a_user_id")), "_b_key": id_key64(F.col("b_user_id"))})
     ia, ib = suffixed(index, "A", "_a_key"), suffixed(index, "B", "_b_key")
-    if skew == "split":
+    if index_fits_broadcast(index, broadcast_max_bytes):
+        out = out.join(F.broadcast(ia), "_a_key", "left").join(F.broadcast(ib), "_b_key", "left")
+    elif skew == "split":
         out = skew_split_left_join(out, ia, "_a_key", hot_share)
         out = skew_split_left_join(out, ib, "_b_key", hot_share)
     else:
@@ -67,7 +82,8 @@ def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_sh
 
 def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undefined: str = "zero",
            keep_counts: bool = True, sentinel: float = SENTINEL, skew: str = "aqe",
-           noise_std: float = 0.0, noise_seed: int = 0, materialize: str = "persist") -> DataFrame:
+           noise_std: float = 0.0, noise_seed: int = 0, materialize: str = "persist",
+           broadcast_max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """Interactions + ``n_*`` counts and 64 ``TE_*`` columns of both users.
 
     Users missing from the index get ``sentinel`` in every joined column.
@@ -78,6 +94,8 @@ def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undef
     Spark would aggregate the index twice.  ``"persist"`` (default) caches it
     once (lost blocks recompute from lineage), ``"checkpoint"`` writes it to
     the shared checkpoint folder, ``"none"`` leaves the plan alone.
+    ``broadcast_max_bytes``: broadcast the encodings when the counted index
+    is at most this size (64 MB default); ``skew`` applies beyond it.
     """
     if index is None:
         return interactions
@@ -88,7 +106,9 @@ def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undef
         index = cut_lineage(index)
     counts = [c for c in index.columns if c.startswith("n_")]
     te = user_target_encodings(index, priors(index, undefined), smoothing, keep=counts if keep_counts else [])
-    out = join_index(interactions, te, skew=skew)
+    if materialize == "none":
+        broadcast_max_bytes = 0          # no materialised index to count cheaply
+    out = join_index(interactions, te, skew=skew, broadcast_max_bytes=broadcast_max_bytes)
     joined_cols = [c for c in out.columns if c.endswith(("_A", "_B")) and (c.startswith("TE_") or c.startswith("n_"))]
     out = sentinel_fill(out, sentinel, subset=joined_cols)
     if noise_std > 0:

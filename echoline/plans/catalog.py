@@ -533,7 +533,8 @@ def enriched_skew_split(spark, sf):
     """J1/J2 through the hot-key split join (must equal ``enriched_interactions``)."""
     ix, idx = _train_index(spark, sf)
     val = clean.val_split(ix, DEFAULT_SPLIT_TS).select(*_ids(None))
-    return _round_doubles(enrich.enrich(val, idx, keep_counts=True, skew="split", materialize="checkpoint"))
+    return _round_doubles(enrich.enrich(val, idx, keep_counts=True, skew="split", materialize="checkpoint",
+                                        broadcast_max_bytes=0))
 
 
 def prior_baseline_metrics(spark, sf):

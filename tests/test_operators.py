@@ -285,9 +285,10 @@ def test_hot_author_both_join_paths_agree(spark):
     hot = enrich.hot_keys(df.withColumn("k", S.id_key64("a_user_id")), "k", 0.2).collect()
     assert [r.k for r in hot] == [int(HEX_A[-16:], 16)]
     cols = ["tweet_id", "TE_like_a_A", "TE_like_b_B", "n_present_a_A"]
-    aqe = sorted(enrich.enrich(df, idx, skew="aqe").select(*cols).collect())
-    split = sorted(enrich.enrich(df, idx, skew="split").select(*cols).collect())
-    assert aqe == split and len(aqe) == 90
+    aqe = sorted(enrich.enrich(df, idx, skew="aqe", broadcast_max_bytes=0).select(*cols).collect())
+    split = sorted(enrich.enrich(df, idx, skew="split", broadcast_max_bytes=0).select(*cols).collect())
+    bcast = sorted(enrich.enrich(df, idx).select(*cols).collect())
+    assert aqe == split == bcast and len(aqe) == 90
 
 
 def test_row_index_with_hot_order_value(spark):
