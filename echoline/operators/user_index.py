@@ -91,7 +91,7 @@ def combined_counts(types=COMBINED_TYPES) -> dict[str, Column]:
 
 def build_user_index(interactions: DataFrame, cutoff_ts: int | None = None,
                      require_activity: str = "none", with_combined: bool = True,
-                     types=POST_TYPES, with_first_seen: bool = False) -> DataFrame:
+                     types=POST_TYPES, with_first_seen: bool = False, with_day_counts: bool = False) -> DataFrame:
     """One row per user with profile and 40 typed counts.
 
     ``require_activity``: ``"none"`` keeps every user (layout independent);
@@ -115,6 +115,11 @@ def build_user_index(interactions: DataFrame, cutoff_ts: int | None = None,
                      *[c for c in idx.columns if c.startswith("n_")])
     if with_combined:
         idx = idx.withColumns(combined_counts())
+    if with_day_counts:
+        # both sides are aggregates keyed by user_id, so the join reuses their
+        # hash partitioning; users without day rows get 0 (Q1: no silent drop)
+        days = user_day_counts(interactions, cutoff_ts, wide=True)
+        idx = idx.join(days, "user_id", "left").na.fill(0, subset=[f"n_day_{d}" for d in range(1, 367)])
     return idx
 
 

@@ -328,3 +328,14 @@ def test_small_cleaning_helpers(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "idx long, new string")
     b = spark.createDataFrame([(1, "p"), (3, "q")], "idx long, old string")
     assert [(r.idx, r.new, r.old) for r in coload(a, b).collect()] == [(1, "x", "p")]
+
+
+def test_index_with_day_counts(spark):
+    df = _users(spark)
+    idx = user_index.build_user_index(df, with_day_counts=True)
+    assert sum(c.startswith("n_day_") for c in idx.columns) == 366
+    day = 1 + (T0 // 86400) % 365  # T0 is in January 1970, so day of year = days since epoch + 1
+    by = _by_user(idx)
+    a = str(int(HEX_A, 16) % 2**64)
+    assert by[a][f"n_day_{day}"] == 3          # three posts by A on that day
+    assert "n_day_1" not in user_index.drop_day_counts(idx).columns
