@@ -40,11 +40,18 @@ def write_partial_index(index: DataFrame, path: str, load_id: str, mode: str = "
     w.parquet(path)
 
 
-def write_predictions(pred: DataFrame, path: str) -> None:
-    """K4: ``tweet_id, user_id, reply, retweet, retweet_comment, like``; no header; append."""
-    pred.select("tweet_id", F.col("b_user_id").alias("user_id"), *[F.col(f"score_{t}") for t in
-                                                                   ("reply", "retweet", "retweet_comment", "like")]) \
-        .write.mode("append").option("header", "false").csv(path)
+def write_predictions(pred: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """K4: ``tweet_id, user_id, reply, retweet, retweet_comment, like``; no header; append.
+
+    With ``batch_id`` (streaming) each batch replaces only its own
+    ``batch_id=`` folder, so a batch replayed after a failure is idempotent."""
+    out = pred.select("tweet_id", F.col("b_user_id").alias("user_id"),
+                      *[F.col(f"score_{t}") for t in ("reply", "retweet", "retweet_comment", "like")])
+    if batch_id is None:
+        out.write.mode("append").option("header", "false").csv(path)
+        return
+    (out.withColumn("batch_id", F.lit(int(batch_id))).write.partitionBy("batch_id").mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").option("header", "false").csv(path))
 
 
 def append_run_log(spark: SparkSession, metrics_row: DataFrame, path: str, run_name: str | None = None) -> None:

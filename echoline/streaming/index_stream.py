@@ -86,7 +86,7 @@ def score_stream(events: DataFrame, score: Callable[[DataFrame], DataFrame], out
     from ..sources.sinks import write_predictions
 
     def _batch(df: DataFrame, batch_id: int) -> None:
-        write_predictions(score(df), out_path)
+        write_predictions(score(df), out_path, batch_id)   # idempotent per batch
 
     return (events.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -107,6 +107,9 @@ def test_foreach_batch_scoring(spark, scratch):
     q.awaitTermination()
     out = readers.read_results(spark, f"{scratch}/pred", schema=readers.PREDICTION_SCHEMA)
     assert out.count() == 8 and out.first().reply == 0.5
+    # replaying a batch (as after a failure) rewrites its own folder only
+    sinks.write_predictions(score(readers.read_interactions(spark, f"{scratch}/in/part-0.csv", glob=None)), f"{scratch}/pred", 0)
+    assert readers.read_results(spark, f"{scratch}/pred", schema=readers.PREDICTION_SCHEMA).count() == 8
 
 
 def test_column_dump_and_partial_index(spark, scratch):
