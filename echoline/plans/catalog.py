@@ -439,14 +439,14 @@ def row_ids(spark, sf):
 # ------------------------------------------------------------------ step 9: models (rows-only checks)
 
 def _spec(**kw):
-    from .pipeline import PipelineSpec
+    from .jobs import PipelineSpec
     base = dict(split_ts=DEFAULT_SPLIT_TS, index_cutoff_ts=DEFAULT_SPLIT_TS, model_params={"maxDepth": 3, "maxIter": 3})
     base.update(kw)
     return PipelineSpec(**base)
 
 
 def _tables(spark, sf, spec):
-    from .pipeline import build_training_table
+    from .jobs import build_training_table
     ix = _ix(spark, sf)
     idx = user_index.build_user_index(ix, spec.index_cutoff_ts)
     return build_training_table(ix, spec, "train", idx), build_training_table(ix, spec, "val", idx)
@@ -454,7 +454,7 @@ def _tables(spark, sf, spec):
 
 def gbt_scores(spark, sf):
     """L2 + L4 on the full loader table (train before the split time, score after)."""
-    from .pipeline import train
+    from .jobs import train
     spec = _spec()
     tr, va = _tables(spark, sf, spec)
     return train(tr, spec).transform(va).select("tweet_id", "b_user_id", "bin", *[f"score_{t}" for t in TARGETS])
@@ -463,7 +463,7 @@ def gbt_scores(spark, sf):
 def rf_importance(spark, sf):
     """L9 + M11: random-forest importances per target, sorted."""
     from ..operators.models import TargetModels
-    from .pipeline import feature_columns
+    from .jobs import feature_columns
     spec = _spec(model_kind="rf", model_params={"maxDepth": 5, "numTrees": 10})
     tr, _ = _tables(spark, sf, spec)
     m = TargetModels(feature_columns(tr), "rf", params=spec.model_params).fit(tr)
@@ -474,7 +474,7 @@ def stacked_scores(spark, sf):
     """Two base model sets -> stacked GBT fit on held-out rows (hash split)."""
     from ..operators.models import StackedModels, TargetModels
     from ..operators.regularize import hash_split
-    from .pipeline import feature_columns
+    from .jobs import feature_columns
     spec = _spec()
     tr, va = _tables(spark, sf, spec)
     feats = feature_columns(tr)
@@ -524,7 +524,7 @@ def streaming_user_index(spark, sf):
 def training_table(spark, sf):
     """2.14 flagship output: validation rows of the full loader (90 features,
     labels, ids, bin), index and priors from train rows only."""
-    from .pipeline import PipelineSpec, build_training_table
+    from .jobs import PipelineSpec, build_training_table
     spec = PipelineSpec(split_ts=DEFAULT_SPLIT_TS, index_cutoff_ts=DEFAULT_SPLIT_TS)
     return _round_doubles(build_training_table(_ix(spark, sf), spec, "val"))
 

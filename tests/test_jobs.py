@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from echoline.operators.models import TargetModels
-from echoline.plans import pipeline as P
+from echoline.plans import jobs as P
 from echoline.schema import DEFAULT_SPLIT_TS, LABEL_COLS, TARGETS
 from echoline.sources.fixtures import interactions
 from echoline.sources.readers import PREDICTION_SCHEMA, read_results
