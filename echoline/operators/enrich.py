@@ -83,7 +83,7 @@ def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_sh
 def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undefined: str = "zero",
            keep_counts: bool = True, sentinel: float = SENTINEL, skew: str = "aqe",
            noise_std: float = 0.0, noise_seed: int = 0, materialize: str = "persist",
-           broadcast_max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+           broadcast_max_bytes: int = 0) -> DataFrame:
     """Interactions + ``n_*`` counts and 64 ``TE_*`` columns of both users.
 
     Users missing from the index get ``sentinel`` in every joined column.
@@ -94,8 +94,10 @@ def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undef
     Spark would aggregate the index twice.  ``"persist"`` (default) caches it
     once (lost blocks recompute from lineage), ``"checkpoint"`` writes it to
     the shared checkpoint folder, ``"none"`` leaves the plan alone.
-    ``broadcast_max_bytes``: broadcast the encodings when the counted index
-    is at most this size (64 MB default); ``skew`` applies beyond it.
+    ``broadcast_max_bytes``: opt-in; broadcast the encodings when the
+    counted index is at most this size (saves the interaction shuffle when
+    the index is known to be small, at the price of one counting job).  By
+    default AQE decides from measured shuffle sizes; ``skew`` applies otherwise.
     """
     if index is None:
         return interactions

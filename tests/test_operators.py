@@ -287,7 +287,7 @@ def test_hot_author_both_join_paths_agree(spark):
     cols = ["tweet_id", "TE_like_a_A", "TE_like_b_B", "n_present_a_A"]
     aqe = sorted(enrich.enrich(df, idx, skew="aqe", broadcast_max_bytes=0).select(*cols).collect())
     split = sorted(enrich.enrich(df, idx, skew="split", broadcast_max_bytes=0).select(*cols).collect())
-    bcast = sorted(enrich.enrich(df, idx).select(*cols).collect())
+    bcast = sorted(enrich.enrich(df, idx, broadcast_max_bytes=64 * 2**20).select(*cols).collect())
     assert aqe == split == bcast and len(aqe) == 90
 
 
