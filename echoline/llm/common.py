@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,30 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a Spark context: they need not have it installed."""
+    import echoline
+
+    top = os.path.dirname(os.path.abspath(echoline.__file__))
+    name = f"echoline-{spark.sparkContext.applicationId}.zip"
+    if any(os.path.basename(f) == name for f in spark.sparkContext._python_includes or []):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="echoline-"), name)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(top):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("echoline", os.path.relpath(full, top)))
+    spark.sparkContext.addPyFile(path)
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, UPPER.lower())
@@ -52,3 +81,33 @@ def ascii_folded(col: Column) -> Column:
     different texts meet.  Much faster than ``ascii_lower`` on long texts.
     """
     return F.lower(F.decode(col.cast("binary"), "ISO-8859-1"))
+
+
+def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], dict]], schema: str, slice_bytes: int = 4_000_000) -> DataFrame:
+    """All columns of ``df`` but ``column``, and those that ``make()(texts)`` returns (null is passed as empty).
+
+    ``make`` runs once a task.  Arrow batches are handed on in slices of about ``slice_bytes``
+    of text, so that long texts don't add up; the other columns pass through as they are.
+    """
+    kept = [c for c in df.columns if c != column]
+    fields = df.select(*kept).schema
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            texts = batch.column(at).to_pylist()
+            start = size = 0
+            for end, text in enumerate(texts, 1):
+                size += len(text or "")
+                if size >= slice_bytes or end == len(texts):
+                    made = work([t or "" for t in texts[start:end]])
+                    part = batch.slice(start, end - start)
+                    columns = [part.column(i) for i in range(part.num_columns) if i != at]
+                    names = [n for i, n in enumerate(part.schema.names) if i != at]
+                    new = [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
+                    yield pa.RecordBatch.from_arrays(columns + new, names + list(made))
+                    start, size = end, 0
+
+    return arrow_map(df, run, out)

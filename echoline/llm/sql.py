@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from echoline.llm.url_filter import SOFT_HITS, SOFT_TERMS, STRICT_TERMS
+
 OP10 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
@@ -20,4 +22,36 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM judged GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op10_line_dedup": OP10}
+
+
+def _term(term: str) -> str:
+    return f"regexp_matches(low, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')::INT"
+
+
+OP4 = f"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), split AS (
+  SELECT page_id, low, regexp_extract(rest, '^([^/?#]*)', 1) AS raw_host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), hosted AS (
+  SELECT *, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM split
+), ruled AS (
+  SELECT *, CASE
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/'
+    END AS rule,
+    ({" + ".join(map(_term, STRICT_TERMS))})::INT AS strict_hits,
+    ({" + ".join(map(_term, SOFT_TERMS))})::INT AS soft_hits
+  FROM hosted
+)
+SELECT page_id, host, path, rule, strict_hits, soft_hits,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN strict_hits * {SOFT_HITS} + soft_hits >= {SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+ORACLE_SQL = {"op4_url_filter": OP4, "op10_line_dedup": OP10}
