@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoline.llm import bpe_reuse, decontaminate, id_files, language_id, line_dedup, ngram_join, quality_rules, url_filter
+from echoline.llm import bpe_reuse, decontaminate, html_text, id_files, language_id, line_dedup, ngram_join, quality_rules, url_filter
 from echoline.llm.common import scratch_path, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -39,6 +39,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_url_filter": op4_url_filter,
     "op6_decontaminate": op6_decontaminate,
+    "op7_html_text": op7_html_text,
     "op8_language_id": op8_language_id,
     "op9_id_files": op9_id_files,
     "op10_line_dedup": op10_line_dedup,
