@@ -43,6 +43,8 @@ PRIOR_BOILERPLATE, BOILERPLATE_WORDS = -8.0, "ad ads advert advertisement advert
 BLUR = 0.1
 #: Learned weights count half: an element's features go along with each other.
 TEMPER = 0.5
+#: A part of an article may be no content, also where the labelled pages have none such.
+MOST_ALIKE = 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<]*\Z", re.S)
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -318,7 +320,7 @@ def model_of(counts: dict[tuple[str, bool], int]) -> Model:
     share = {}
     for p, (good, bad) in {"content": (15, 5), "boilerplate": (1, 50)}.items():
         good, bad = good + counts.get((f"child of {p}", True), 0), bad + counts.get((f"child of {p}", False), 0)
-        share[p] = good / (good + bad)
+        share[p] = min(max(good / (good + bad), 0.002), MOST_ALIKE)
     t = ((1 - share["boilerplate"], share["boilerplate"]), (1 - share["content"], share["content"]))
     return Model(weights, t, 0.9)
 
