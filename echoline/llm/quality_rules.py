@@ -218,7 +218,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bins:
     kept = with_features(text_statistics(few, "quality")).persist()
     try:
         rows = kept.where(~base_failed()).select("doc_id", "quality", *FEATURES)
-        at = [i / bins for i in range(1, bins)]
+        at = [i / bins for i in range(bins + 1)]
         bad = rows.where("quality = 0")
         both = lambda df: df.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).first()
         q, qb = both(rows), both(bad)
