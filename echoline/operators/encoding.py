@@ -82,24 +82,21 @@ def group_stats(df: DataFrame, category: str | list[str], target: str) -> DataFr
     cats = [category] if isinstance(category, str) else list(category)
     y = F.col(target).cast("double")
     stats = df.groupBy(*cats).agg(F.count(F.lit(1)).cast("bigint").alias("count"), F.avg(y).alias("mean"))
-    total = df.agg(F.avg(y).alias("total_mean"))
+    total = df.agg(F.avg(y).alias("total_mean"))  # A12
     return stats.crossJoin(F.broadcast(total))
 
 
 def apply_group_encoding(df: DataFrame, stats: DataFrame, category: str | list[str],
-                         name: str, weight: float = DEFAULT_SMOOTHING, fill: float = -1.0,
-                         broadcast_max_rows: int = 1_000_000) -> DataFrame:
+                         name: str, weight: float = DEFAULT_SMOOTHING, fill: float = -1.0) -> DataFrame:
     """A10/A11 apply: ``(count * mean + w * total_mean) / (count + w)`` joined on
     the category (J8); unseen categories get ``fill`` in the new column only.
 
-    The statistics (one row per category) are materialised and counted; at
-    most ``broadcast_max_rows`` categories are broadcast (a hot category then
-    costs nothing), more go through a shuffled join with AQE skew handling."""
+    The statistics have one row per category; AQE decides from measured bytes
+    whether they are broadcast (a hot category then costs nothing) or shuffled."""
     cats = [category] if isinstance(category, str) else list(category)
     enc = stats.select(*cats, ((F.col("count") * F.col("mean") + F.lit(float(weight)) * F.col("total_mean"))
-                               / (F.col("count") + F.lit(float(weight)))).alias(name)).persist()
-    side = F.broadcast(enc) if enc.count() <= broadcast_max_rows else enc
-    return df.join(side, cats, "left").withColumn(name, F.coalesce(F.col(name), F.lit(fill)))
+                               / (F.col("count") + F.lit(float(weight)))).alias(name))
+    return df.join(enc, cats, "left").withColumn(name, F.coalesce(F.col(name), F.lit(fill)))
 
 
 def group_target_encoding(df: DataFrame, category: str | list[str], target: str, name: str | None = None,
@@ -109,11 +106,6 @@ def group_target_encoding(df: DataFrame, category: str | list[str], target: str,
     return apply_group_encoding(df, group_stats(df, category, target), category, name, weight, fill)
 
 
-def global_mean(df: DataFrame, target: str) -> DataFrame:
-    """A12."""
-    return df.agg(F.avg(F.col(target).cast("double")).alias(f"mean_{target}"))
-
-
 def conditional_probability(df: DataFrame, labels: list[str], features: list[str]) -> DataFrame:
     """P(features | labels) = joint count / marginal count."""
     marg = df.groupBy(*labels).agg(F.count(F.lit(1)).alias("marginal"))
@@ -137,8 +129,8 @@ def out_of_fold_encoding(df: DataFrame, category: str | list[str], target: str,
     rows = df.withColumn("_fold", F.floor(unit_hash(*key, salt="fold") * k).cast("int"))
     per = rows.groupBy(*cats, "_fold").agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"))
     tot = per.groupBy(*cats).agg(F.sum("_n").alias("_cat_n"), F.sum("_s").alias("_cat_s"))
-    fold_tot = rows.groupBy("_fold").agg(F.count(F.lit(1)).alias("_fn"), F.sum(y).alias("_fs"))
-    all_tot = rows.agg(F.count(F.lit(1)).alias("_an"), F.sum(y).alias("_as"))
+    fold_tot = per.groupBy("_fold").agg(F.sum("_n").alias("_fn"), F.sum("_s").alias("_fs"))
+    all_tot = fold_tot.agg(F.sum("_fn").alias("_an"), F.sum("_fs").alias("_as"))
     prior = fold_tot.crossJoin(F.broadcast(all_tot)).select(
         "_fold", F.try_divide(F.col("_as") - F.col("_fs"), F.col("_an") - F.col("_fn")).alias("_pm"))
     w = F.lit(float(weight))

@@ -7,7 +7,7 @@ user key.  The index side has one row per user, so:
 * the index is shuffled once and its exchange is reused by both joins;
 * a hot key (an author holding a third of all rows) only skews the
   interaction side: AQE's skew-join splits that partition at run time, or
-  ``skew="split"`` routes the few hot keys through a broadcast join whose
+  ``skew="split"`` takes the rows of the few hot keys from a broadcast whose
   size is bounded by construction (at most ``1 / hot_share`` keys).
 """
 
@@ -31,18 +31,23 @@ def hot_keys(df: DataFrame, key: str, hot_share: float = 0.01) -> DataFrame:
             .filter(F.col("_n") >= F.col("_total") * F.lit(hot_share)).select(key))
 
 
-def skew_split_left_join(big: DataFrame, small: DataFrame, key: str, hot_share: float = 0.01) -> DataFrame:
-    """Exact left join on ``key`` that sends hot keys through a bounded
-    broadcast join and all other keys through the shuffled join.
+def skew_split_left_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Exact left join on ``key`` that takes the rows of ``hot`` keys from a bounded
+    broadcast and all others from the shuffled join, in one pass over ``big``.
 
-    ``small`` must be unique on ``key``, so its hot part has at most
-    ``1 / hot_share`` rows; the shuffled join never sees a hot key."""
-    hot = hot_keys(big, key, hot_share).withColumn("_is_hot", F.lit(True)).cache()
-    flagged = big.join(F.broadcast(hot), key, "left")
-    hot_small = small.join(F.broadcast(hot.select(key)), key, "left_semi")
-    hot_part = flagged.filter(F.col("_is_hot").isNotNull()).join(F.broadcast(hot_small), key, "left")
-    cold_part = flagged.filter(F.col("_is_hot").isNull()).join(small, key, "left")
-    return hot_part.unionByName(cold_part).drop("_is_hot")
+    ``small`` is unique on ``key`` and ``hot`` has at most ``1 / hot_share`` rows.  For the
+    shuffled join a hot key is replaced by null (which matches nothing) and a salt of the
+    row's own columns, so hot rows spread over all tasks."""
+    values = [c for c in small.columns if c != key]
+    hot_small = small.join(F.broadcast(hot), key, "left_semi").select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot"))
+    flagged = big.join(F.broadcast(hot.select(F.col(key).alias("_flag"))), F.col(key) == F.col("_flag"), "left")
+    salt = F.when(F.col("_flag").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*big.columns), F.lit(1 << 16)).cast("int"))
+    flagged = flagged.withColumns({"_cold": F.when(F.col("_flag").isNull(), F.col(key)), "_salt": salt})
+    cold = small.select(F.col(key).alias("_ck"), F.lit(0).alias("_zero"), F.struct(*values).alias("_val"))
+    out = flagged.join(cold, (F.col("_cold") == F.col("_ck")) & (F.col("_salt") == F.col("_zero")), "left")
+    out = out.join(F.broadcast(hot_small), F.col("_flag") == F.col("_hk"), "left")
+    both = F.coalesce("_hot", "_val")
+    return out.select(*big.columns, *[both[c].alias(c) for c in values])
 
 
 def suffixed(index: DataFrame, side: str, key: str) -> DataFrame:
@@ -51,30 +56,19 @@ def suffixed(index: DataFrame, side: str, key: str) -> DataFrame:
                         *[F.col(c).alias(f"{c}_{side}") for c in index.columns if c != "user_id"])
 
 
-def index_fits_broadcast(index: DataFrame, max_bytes: int) -> bool:
-    """Size check for broadcasting the (materialised) index: rows x 8 bytes
-    per column, counted, so the bound is proven rather than estimated."""
-    if max_bytes <= 0:
-        return False
-    return index.count() * 8 * (len(index.columns) + 2) <= max_bytes
-
-
-def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_share: float = 0.01,
-               broadcast_max_bytes: int = 0) -> DataFrame:
-    """J1 + J2 (+ J3: returns ``df`` untouched when there is no index).
-
-    When the counted index fits ``broadcast_max_bytes`` both joins are
-    broadcast (no shuffle of the interactions, skew irrelevant); otherwise
-    shuffled joins with AQE skew handling or the explicit hot-key split."""
+def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_share: float = 0.01) -> DataFrame:
+    """J1 + J2 (+ J3: returns ``df`` untouched when there is no index): joins
+    with AQE skew handling (and AQE's broadcast from measured bytes), or the
+    explicit hot-key split."""
     if index is None:
         return df
     out = df.withColumns({"_a_key": id_key64(F.col("a_user_id")), "_b_key": id_key64(F.col("b_user_id"))})
     ia, ib = suffixed(index, "A", "_a_key"), suffixed(index, "B", "_b_key")
-    if index_fits_broadcast(index, broadcast_max_bytes):
-        out = out.join(F.broadcast(ia), "_a_key", "left").join(F.broadcast(ib), "_b_key", "left")
-    elif skew == "split":
-        out = skew_split_left_join(out, ia, "_a_key", hot_share)
-        out = skew_split_left_join(out, ib, "_b_key", hot_share)
+    if skew == "split":
+        # Both hot sets come from the narrow key columns, before any join.
+        hot_a, hot_b = (hot_keys(out.select(k), k, hot_share) for k in ("_a_key", "_b_key"))
+        out = skew_split_left_join(out, ia, "_a_key", hot_a)
+        out = skew_split_left_join(out, ib, "_b_key", hot_b)
     else:
         out = out.join(ia, "_a_key", "left").join(ib, "_b_key", "left")
     return out.drop("_a_key", "_b_key")
@@ -82,35 +76,25 @@ def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_sh
 
 def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undefined: str = "zero",
            keep_counts: bool = True, sentinel: float = SENTINEL, skew: str = "aqe",
-           noise_std: float = 0.0, noise_seed: int = 0, materialize: str = "persist",
-           broadcast_max_bytes: int = 0) -> DataFrame:
+           noise_std: float = 0.0, noise_seed: int = 0, materialize: str = "none") -> DataFrame:
     """Interactions + ``n_*`` counts and 64 ``TE_*`` columns of both users.
 
     Users missing from the index get ``sentinel`` in every joined column.
     ``noise_std > 0`` adds Gaussian noise to every TE column after the fill
     (R3; also on sentinel values, as the original does).
-    ``materialize``: the index feeds both the prior aggregate and the
-    per-user encodings; after column pruning those two plans differ, so
-    Spark would aggregate the index twice.  ``"persist"`` (default) caches it
-    once (lost blocks recompute from lineage), ``"checkpoint"`` writes it to
-    the shared checkpoint folder, ``"none"`` leaves the plan alone.
-    ``broadcast_max_bytes``: opt-in; broadcast the encodings when the
-    counted index is at most this size (saves the interaction shuffle when
-    the index is known to be small, at the price of one counting job).  By
-    default AQE decides from measured shuffle sizes; ``skew`` applies otherwise.
+    ``materialize``: the index feeds the priors and the per-user encodings.
+    ``"none"`` (default) leaves that to Spark's exchange reuse; ``"checkpoint"``
+    writes the index to the shared checkpoint folder first, for an index that is
+    dear to build.  Nothing is persisted in executor storage.
     """
     if index is None:
         return interactions
-    if materialize == "persist":
-        index = index.persist()
-    elif materialize == "checkpoint":
+    if materialize == "checkpoint":
         from ..session import cut_lineage
         index = cut_lineage(index)
     counts = [c for c in index.columns if c.startswith("n_")]
     te = user_target_encodings(index, priors(index, undefined), smoothing, keep=counts if keep_counts else [])
-    if materialize == "none":
-        broadcast_max_bytes = 0          # no materialised index to count cheaply
-    out = join_index(interactions, te, skew=skew, broadcast_max_bytes=broadcast_max_bytes)
+    out = join_index(interactions, te, skew=skew)
     joined_cols = [c for c in out.columns if c.endswith(("_A", "_B")) and (c.startswith("TE_") or c.startswith("n_"))]
     out = sentinel_fill(out, sentinel, subset=joined_cols)
     if noise_std > 0:

@@ -2,7 +2,7 @@
 
 Nothing is collected: RCE is one aggregate pass per (group, target); average
 precision collapses tied scores first, then takes exact running sums through
-``ranking.prefix_sums`` (range buckets + bounded offsets), so even a group
+``ranking.prefix_sums`` (range partitions + offsets), so even a group
 holding a third of all rows is spread across many tasks.
 """
 
@@ -51,11 +51,11 @@ def rce(df: DataFrame, group: list[str]) -> DataFrame:
     return g.withColumn("rce", F.when(ok, (1 - F.col("log_loss") / F.when(ok, straw)) * 100))
 
 
-def average_precision(df: DataFrame, group: list[str], num_buckets: int | None = None) -> DataFrame:
+def average_precision(df: DataFrame, group: list[str], num_partitions: int | None = None) -> DataFrame:
     """M4: AP = sum over distinct thresholds (desc) of (R_k - R_{k-1}) * P_k."""
     ties = df.groupBy(*group, "score").agg(F.sum("y").cast("double").alias("tp"),
                                            F.count(F.lit(1)).cast("double").alias("cnt"))
-    run = prefix_sums(ties, group, "score", ["tp", "cnt"], descending=True, num_buckets=num_buckets)
+    run = prefix_sums(ties, group, "score", ["tp", "cnt"], descending=True, num_partitions=num_partitions)
     return run.groupBy(*group).agg(
         F.try_divide(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_cnt")), F.sum("tp")).alias("ap"),
         F.sum("tp").cast("bigint").alias("positives"))

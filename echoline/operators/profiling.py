@@ -29,6 +29,7 @@ def quintile_groups(stats: DataFrame, user: str = "a_user_id", part: str | None
     keys = [part] if part else []
     ranked = global_row_index(stats, [*(F.col(c) for c in keys), F.col("mean"), F.col(user)], "_pos")
     if part:
+        # Windows over a part's rows or a join on it would put a part into one task.
         starts = ranked.groupBy(part).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
         ranked = ranked.join(starts, part).withColumn("_pos", F.col("_pos") - F.col("_start"))
     else:

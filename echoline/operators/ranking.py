@@ -5,14 +5,13 @@ task.  Instead: range-partition on the order key, number rows inside each
 partition, count rows per partition (a tiny table: one row per partition,
 so its broadcast is bounded by the partition count), turn those counts into
 offsets and add them back.  The range-partitioned frame feeds two branches
-(sizes and rows); Spark does not reuse a range exchange across a self-join,
-so it is persisted once (MEMORY_AND_DISK; lost blocks are recomputed from
-lineage, and range partitioning of the same input is deterministic).
+(sizes and rows).  Both must see the same partitions: all columns take part in
+the partitioning, so both branches need the same exchange and Spark runs it
+once (``spark.sql.exchange.reuse``, checked; nothing is persisted).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +20,8 @@ def _ordered(df: DataFrame, order: list[Column | str], num_partitions: int | Non
     """Range partition on ``order`` plus a deterministic row hash, so rows that
     tie on the order key (a hot value) still spread over partitions; the
     hash is a pure function of the row, so recomputation places rows alike."""
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        raise ValueError("ranks need spark.sql.exchange.reuse: rows and their counts share one exchange")
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
     keyed = [*order, tie]
@@ -32,8 +33,7 @@ def global_row_index(df: DataFrame, order: list[Column | str], name: str = "row_
     """``start``-based row number in ``order`` (ties broken by position)."""
     r = (_ordered(df, order, num_partitions)
          .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-         .persist(StorageLevel.MEMORY_AND_DISK))
+         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
     sizes = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
     offs = sizes.select("_pid", (F.sum("_size").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
     out = r.join(F.broadcast(offs), "_pid", "left")
@@ -55,40 +55,25 @@ def dense_codes(df: DataFrame, col: str, name: str = "code", null_code: int | No
 
 
 def prefix_sums(df: DataFrame, partition: list[str], key: str, cols: list[str], descending: bool = True,
-                num_buckets: int | None = None, rows_per_bucket: int = 1_000_000,
-                max_broadcast_groups: int = 100_000) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """Running sums of ``cols`` per ``partition`` in ``key`` order (inclusive of
-    the current row), computed as bucket totals + a windowed sum inside buckets.
+    the current row).
 
-    Buckets are ranges of the key from ``percentile_approx`` per group, so no
-    task holds a whole group (a group may be a third of all rows).  The bucket
-    count adapts to the largest group (``rows_per_bucket``) unless given.  The
-    per-group cut table is broadcast only when the group count is checked to
-    be at most ``max_broadcast_groups``.  Rows should be unique per
-    (partition, key) (aggregate ties first).
+    Rows are range-partitioned once on (partition, key), so a group of any size
+    spreads over as many tasks as its share of the rows.  Sums per Spark partition
+    and group (a row each) give the offsets; running sums stay inside a Spark
+    partition.  Rows must be unique per (partition, key): aggregate ties first.
     """
     order = F.col(key).desc() if descending else F.col(key).asc()
-    sizes = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_rows")).persist()
-    n_groups = sizes.count()
-    if num_buckets is None:
-        biggest = sizes.agg(F.max("_rows")).first()[0] or 0
-        num_buckets = int(min(max(16, -(-biggest // rows_per_bucket)), 200_000))
-    sizes.unpersist()
-    probs = [i / num_buckets for i in range(1, num_buckets)]
-    accuracy = max(1000, 10 * num_buckets)
-    cuts = df.groupBy(*partition).agg(F.percentile_approx(key, probs, accuracy).alias("_cuts"))
-    if not partition:
-        b = df.crossJoin(F.broadcast(cuts))
-    else:
-        b = df.join(F.broadcast(cuts) if n_groups <= max_broadcast_groups else cuts, partition, "left")
-    # bucket index: number of cut points strictly below the key
-    b = b.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
-    if descending:
-        b = b.withColumn("_bucket", F.lit(num_buckets) - F.col("_bucket"))
-    totals = b.groupBy(*partition, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    w_b = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*partition, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(w_b), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    w_in = Window.partitionBy(*partition, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    b = b.join(offs, [*partition, "_bucket"], "left")
-    return b.withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(w_in) for c in cols}) \
-        .drop("_bucket", *[f"_o_{c}" for c in cols])
+    r = _ordered(df, [*[F.col(c) for c in partition], order], num_partitions).withColumn("_pid", F.spark_partition_id())
+    sums = r.groupBy("_pid", *partition).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.partitionBy(*partition).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_g_{c}") for c in partition],
+                          *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    on = F.col("_pid") == F.col("_p")
+    for c in partition:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    out = r.join(offsets, on).drop("_p", *[f"_g_{c}" for c in partition])
+    inside = Window.partitionBy("_pid", *partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(inside) for c in cols}) \
+        .drop("_pid", *[f"_o_{c}" for c in cols])

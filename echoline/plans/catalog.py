@@ -262,13 +262,13 @@ def distinct_hashtags(spark, sf):
 
 
 def hashtags_encoded(spark, sf):
+    """J12 on every interaction; null lists give no codes."""
     from ..operators import profiling
-    from ..operators.dictionary import encode_list_column
+    from ..operators.dictionary import map_list_column
     ix = _ix(spark, sf)
     d = dense_dict(profiling.distinct_list_items(ix, "hashtags"), "value")
-    cells = ix.select("hashtags").filter(F.col("hashtags").isNotNull()).distinct()
-    out = encode_list_column(cells, "hashtags", "codes", d, ["hashtags"])
-    return out.select("hashtags", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+    out = map_list_column(ix.select("tweet_id", "b_user_id", "ts", "hashtags"), "hashtags", "codes", d)
+    return out.withColumn("codes", F.array_join(F.col("codes").cast("array<string>"), ","))
 
 
 def dense_dict(values: DataFrame, col: str) -> DataFrame:
@@ -277,16 +277,15 @@ def dense_dict(values: DataFrame, col: str) -> DataFrame:
 
 
 def tokens_decoded(spark, sf):
-    """J12 then E32: tokens -> ids through a learned vocabulary -> text again."""
+    """J12 then E32 on every interaction: tokens -> ids through a learned vocabulary -> text again."""
     from ..operators import profiling
-    from ..operators.dictionary import decode_tokens, encode_list_column
+    from ..operators.dictionary import decode_tokens, map_list_column
     ix = _ix(spark, sf)
     vocab = dense_dict(profiling.distinct_list_items(ix, "tokens"), "value")
-    cells = ix.select("tokens").distinct()
-    ids = encode_list_column(cells, "tokens", "ids", vocab, ["tokens"])
-    ids = ids.select("tokens", F.array_join(F.col("ids").cast("array<string>"), "\t").alias("token_ids"))
+    ids = map_list_column(ix.select("tweet_id", "b_user_id", "ts", "tokens"), "tokens", "ids", vocab)
+    ids = ids.withColumn("token_ids", F.array_join(F.col("ids").cast("array<string>"), "\t")).drop("ids")
     v = vocab.select(F.col("code").alias("token_id"), F.col("value").alias("token"))
-    return decode_tokens(ids, "token_ids", v, ["tokens"], "text").select("tokens", "text")
+    return decode_tokens(ids, "token_ids", v, "text")
 
 
 def combo_media_codes(spark, sf):
@@ -478,7 +477,7 @@ def stacked_scores(spark, sf):
     spec = _spec()
     tr, va = _tables(spark, sf, spec)
     feats = feature_columns(tr)
-    parts = hash_split(tr, ["tweet_id", "b_user_id", "ts_key"] if "ts_key" in tr.columns else ["tweet_id", "b_user_id"], 0.7)
+    parts = hash_split(tr, ["tweet_id", "b_user_id"], 0.7)
     fit_rows, held = parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split")
     bases = [TargetModels(feats, "gbt", params={"maxDepth": 2, "maxIter": 3}).fit(fit_rows),
              TargetModels(feats, "tree", params={"maxDepth": 4}).fit(fit_rows)]
@@ -487,10 +486,10 @@ def stacked_scores(spark, sf):
 
 
 def noise_te(spark, sf):
-    """Gaussian noise on every TE column after the sentinel fill."""
+    """Gaussian noise on every TE column of the training rows after the sentinel fill."""
     spec = _spec(noise_std=0.05, remove_user_counts=True)
-    _, va = _tables(spark, sf, spec)
-    return va.select("tweet_id", "b_user_id", *[c for c in va.columns if c.startswith("TE_")])
+    tr, _ = _tables(spark, sf, spec)
+    return tr.select("tweet_id", "b_user_id", *[c for c in tr.columns if c.startswith("TE_")])
 
 
 def random_scores(spark, sf):
@@ -514,8 +513,8 @@ def streaming_user_index(spark, sf):
             *LABEL_COLS, "ts", "type"]
     from ..schema import LABELLED_SCHEMA
     full = ix.select(*[F.col(f.name) if f.name in cols else F.lit(None).cast(f.dataType).alias(f.name) for f in LABELLED_SCHEMA.fields])
-    full.repartition(4).write.mode("overwrite").parquet(f"{base}/src")
-    run_incremental_index(spark, f"{base}/src", f"{base}/parts", f"{base}/ckpt", max_files_per_trigger=1, fmt="parquet")
+    full.write.mode("overwrite").parquet(f"{base}/src")
+    run_incremental_index(spark, f"{base}/src", f"{base}/parts", f"{base}/ckpt", max_files_per_trigger=8, fmt="parquet")
     return _index_out(read_incremental_index(spark, f"{base}/parts"))
 
 
@@ -533,8 +532,7 @@ def enriched_skew_split(spark, sf):
     """J1/J2 through the hot-key split join (must equal ``enriched_interactions``)."""
     ix, idx = _train_index(spark, sf)
     val = clean.val_split(ix, DEFAULT_SPLIT_TS).select(*_ids(None))
-    return _round_doubles(enrich.enrich(val, idx, keep_counts=True, skew="split", materialize="checkpoint",
-                                        broadcast_max_bytes=0))
+    return _round_doubles(enrich.enrich(val, idx, keep_counts=True, skew="split", materialize="checkpoint"))
 
 
 def prior_baseline_metrics(spark, sf):
@@ -734,5 +732,3 @@ QUERIES = {
     "noise_te": noise_te,
     "random_scores": random_scores,
 }
-
-_ = BIN_THRESHOLDS_FINAL

@@ -328,9 +328,18 @@ def _sql2() -> dict[str, str]:
     q["hashtags_encoded"] = W + (
         f", it AS ({items}), d AS ({dr('value', 'it')}),\n"
         "cells AS (SELECT DISTINCT hashtags FROM interactions WHERE hashtags IS NOT NULL),\n"
-        "ex AS (SELECT hashtags, unnest(string_split(hashtags, chr(9))) AS v, generate_subscripts(string_split(hashtags, chr(9)), 1) AS pos FROM cells)\n"
-        "SELECT hashtags, string_agg(CAST(code AS VARCHAR), ',' ORDER BY pos) AS codes FROM ex JOIN d ON ex.v = d.value GROUP BY 1")
-    q["tokens_decoded"] = W + "SELECT DISTINCT tokens, replace(tokens, chr(9), ' ') AS text FROM interactions"
+        "ex AS (SELECT hashtags, unnest(string_split(hashtags, chr(9))) AS v, generate_subscripts(string_split(hashtags, chr(9)), 1) AS pos FROM cells),\n"
+        "m AS (SELECT hashtags, string_agg(CAST(code AS VARCHAR), ',' ORDER BY pos) AS codes FROM ex JOIN d ON ex.v = d.value GROUP BY 1)\n"
+        "SELECT i.tweet_id, i.b_user_id, i.ts, i.hashtags, coalesce(m.codes, '') AS codes FROM interactions i LEFT JOIN m ON i.hashtags = m.hashtags")
+    tok = "SELECT DISTINCT v AS value FROM (SELECT unnest(string_split(tokens, chr(9))) AS v FROM interactions WHERE tokens IS NOT NULL) x WHERE v <> ''"
+    q["tokens_decoded"] = W + (
+        f", it AS ({tok}), d AS ({dr('value', 'it')}),\n"
+        "cells AS (SELECT DISTINCT tokens FROM interactions WHERE tokens IS NOT NULL),\n"
+        "ex AS (SELECT tokens, unnest(string_split(tokens, chr(9))) AS v, generate_subscripts(string_split(tokens, chr(9)), 1) AS pos FROM cells),\n"
+        "m AS (SELECT tokens, string_agg(CAST(code AS VARCHAR), chr(9) ORDER BY pos) AS token_ids, string_agg(value, ' ' ORDER BY pos) AS text "
+        "FROM ex JOIN d ON ex.v = d.value GROUP BY 1)\n"
+        "SELECT i.tweet_id, i.b_user_id, i.ts, i.tokens, coalesce(m.token_ids, '') AS token_ids, coalesce(m.text, '') AS text "
+        "FROM interactions i LEFT JOIN m ON i.tokens = m.tokens")
     combo = "array_to_string(string_split(coalesce(medias, ''), chr(9))[1:3], '_')"
     q["combo_media_codes"] = W + (
         f", c AS (SELECT DISTINCT {combo} AS media_combo FROM interactions)\n"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for local runs and tests.  On a cluster these come from the
@@ -32,38 +33,39 @@ LOCAL_DEFAULTS = {
 
 
 def get_session(master: str | None = None, app_name: str = "echoline", **conf: str) -> SparkSession:
-    """Return the active session or build one with local defaults."""
+    """Return the active session or build one.  A key that the job was submitted
+    with (``spark-submit``, its properties file, ``PYSPARK_SUBMIT_ARGS``) is kept;
+    ``master``, ``conf`` and then the local defaults fill what is unset."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    builder = SparkSession.builder.appName(app_name)
-    if master is None:
-        master = os.environ.get("SPARK_MASTER", f"local[{os.environ.get('BENCH_CPUS', '8')}]")
-    builder = builder.master(master)
-    settings = dict(LOCAL_DEFAULTS)
-    settings.setdefault("spark.driver.memory", "16g")
-    settings.update(conf)
-    for key, value in settings.items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    wanted = {**LOCAL_DEFAULTS, **conf, "spark.app.name": app_name}
+    wanted["spark.master"] = master or os.environ.get("SPARK_MASTER", f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+    # The driver's memory must be known when its JVM starts; under spark-submit it runs already.
+    launch = SparkConf().set("spark.driver.memory", conf.get("spark.driver.memory", "16g"))
+    SparkContext._ensure_initialized(conf=launch)
+    submitted = SparkConf()
+    for key, value in wanted.items():
+        submitted.setIfMissing(key, value)
+    spark = SparkSession.builder.config(conf=submitted).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
+    """The shared folder in ``spark.checkpoint.dir``, also set as Spark's own checkpoint folder.
 
-    On a cluster the job submitter names a shared folder; a machine-local
-    folder is only chosen here for local runs and tests.
+    Where it is unset a local run (tests, bench) gets a scratch folder; a cluster job
+    fails, since executors would write to disks of their own.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="echoline-ckpt-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="echoline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 

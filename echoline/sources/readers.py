@@ -18,9 +18,10 @@ SEP = "\u0001"
 
 def read_interactions(spark: SparkSession, path: str, mode: str = "train", columns: list[str] | None = None,
                       glob: str | None = "*.{csv,tsv}", recursive: bool = False) -> DataFrame:
-    """Typed scan of the delimited log (labelled unless ``mode='test'``)."""
+    """Typed scan of the delimited log (labelled unless ``mode='test'``).
+    A malformed line fails the job: read as nulls it would count as "no engagement"."""
     reader = (spark.read.schema(schema_for(mode)).option("sep", SEP).option("header", "false")
-              .option("quote", "").option("escape", "").option("mode", "PERMISSIVE"))
+              .option("quote", "").option("escape", "").option("mode", "FAILFAST"))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
@@ -37,7 +38,7 @@ def read_user_columns(spark: SparkSession, path: str, glob: str | None = "*.{csv
 def read_lines(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
     """Untyped line scan: strip, split on \\x01, every field a string."""
     names = names or ALL_COLS
-    parts = F.split(F.trim(F.col("value")), SEP)
+    parts = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), SEP)
     return spark.read.text(path).select(*[F.try_element_at(parts, F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +82,6 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("header", str(header).lower()).csv(path)
 
 
-def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
-    """K9: cut lineage with a reliable checkpoint (shared checkpoint dir), or persist."""
-    if how == "persist":
-        return df.persist()
-    from ..session import cut_lineage
-    return cut_lineage(df)
-
-
 def versioned_path(base: str, version: str | None = None) -> str:
     """A fresh output location instead of moving old output away."""
     return f"{base}/v={version or time.strftime('%Y%m%dT%H%M%S')}"
@@ -98,6 +91,8 @@ def missing_columns(spark: SparkSession, path: str, wanted: list[str]) -> list[s
     """Columns not yet stored (additive mode skips the rest)."""
     try:
         have = set(spark.read.parquet(path).columns)
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        have = set()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        have = set()  # nothing stored yet
     return [c for c in wanted if c not in have]

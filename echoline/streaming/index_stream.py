@@ -45,17 +45,6 @@ def flatten_index(state: DataFrame, with_combined: bool = True) -> DataFrame:
     return out.withColumns(ui.combined_counts()) if with_combined else out
 
 
-def run_index_stream(spark: SparkSession, src_path: str, checkpoint: str, table: str,
-                     max_files_per_trigger: int | None = None, fmt: str = "csv") -> None:
-    """Run T1 to completion over the files present now (``availableNow``)
-    into an in-memory table ``table`` (complete mode; the checkpoint folder
-    holds offsets and state so a restarted job resumes)."""
-    q = (streaming_user_index(interaction_stream(spark, src_path, max_files_per_trigger, fmt))
-         .writeStream.outputMode("complete").format("memory").queryName(table)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
 def run_incremental_index(spark: SparkSession, src_path: str, out_path: str, checkpoint: str,
                           max_files_per_trigger: int | None = None, fmt: str = "csv",
                           cutoff_ts: int | None = None) -> None:

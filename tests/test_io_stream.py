@@ -81,7 +81,10 @@ def test_manifest_and_stats(spark, scratch):
 def test_streaming_index_equals_batch(spark, scratch):
     for p in range(3):
         _write_log(f"{scratch}/stream/part-{p}.csv", [_line(i) for i in range(p * 5, p * 5 + 5)])
-    index_stream.run_index_stream(spark, f"{scratch}/stream", f"{scratch}/ckpt", "t1_test", max_files_per_trigger=1)
+    q = (index_stream.streaming_user_index(index_stream.interaction_stream(spark, f"{scratch}/stream", 1))
+         .writeStream.outputMode("complete").format("memory").queryName("t1_test")
+         .option("checkpointLocation", f"{scratch}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
     streamed = index_stream.flatten_index(spark.table("t1_test"))
     batch = user_index.build_user_index(readers.read_interactions(spark, f"{scratch}/stream"))
     cols = batch.columns

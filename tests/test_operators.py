@@ -149,7 +149,7 @@ def test_average_precision_with_ties(spark):
     scores = [0.9, 0.8, 0.8, 0.5, 0.3, 0.3]
     ys = [1, 0, 1, 1, 0, 0]
     df = spark.createDataFrame([("g", s, y) for s, y in zip(scores, ys)] + [("empty", 0.5, 0)], "grp string, score double, y int")
-    ap = {r.grp: r.ap for r in metrics.average_precision(df, ["grp"], num_buckets=3).collect()}
+    ap = {r.grp: r.ap for r in metrics.average_precision(df, ["grp"], num_partitions=3).collect()}
     # brute force over distinct thresholds
     s, y = np.array(scores), np.array(ys)
     exp = 0.0
@@ -185,7 +185,7 @@ def test_global_row_index_contiguous(spark):
 def test_prefix_sums_match_window(spark):
     df = spark.range(0, 500).select((F.col("id") % 3).alias("g"), (F.col("id") * 13 % 500).cast("double").alias("x"),
                                     F.lit(1.0).alias("v"))
-    out = ranking.prefix_sums(df, ["g"], "x", ["v"], descending=True, num_buckets=5).collect()
+    out = ranking.prefix_sums(df, ["g"], "x", ["v"], descending=True, num_partitions=5).collect()
     for r in out:
         # rank from the top within group g
         assert r.cum_v == sum(1 for q in out if q.g == r.g and q.x >= r.x)
@@ -285,10 +285,9 @@ def test_hot_author_both_join_paths_agree(spark):
     hot = enrich.hot_keys(df.withColumn("k", S.id_key64("a_user_id")), "k", 0.2).collect()
     assert [r.k for r in hot] == [int(HEX_A[-16:], 16)]
     cols = ["tweet_id", "TE_like_a_A", "TE_like_b_B", "n_present_a_A"]
-    aqe = sorted(enrich.enrich(df, idx, skew="aqe", broadcast_max_bytes=0).select(*cols).collect())
-    split = sorted(enrich.enrich(df, idx, skew="split", broadcast_max_bytes=0).select(*cols).collect())
-    bcast = sorted(enrich.enrich(df, idx, broadcast_max_bytes=64 * 2**20).select(*cols).collect())
-    assert aqe == split == bcast and len(aqe) == 90
+    aqe = sorted(enrich.enrich(df, idx, skew="aqe").select(*cols).collect())
+    split = sorted(enrich.enrich(df, idx, skew="split").select(*cols).collect())
+    assert aqe == split and len(aqe) == 90
 
 
 def test_row_index_with_hot_order_value(spark):

@@ -44,3 +44,27 @@ def test_row_level_windows_are_partitioned(spark):
     for line in plan.splitlines():
         if "Window [" in line and ", []," in line:
             assert "_size" in line
+
+
+def test_ranks_share_one_exchange(spark):
+    """Rows and their counts must see the same range partitions."""
+    from echoline.operators.ranking import global_row_index, prefix_sums
+    df = spark.range(1000).selectExpr("id % 3 AS g", "id * 7 % 1000 AS x", "id AS v")
+    for out in (global_row_index(df, ["x"]), prefix_sums(df, ["g"], "x", ["v"])):
+        out.collect()
+        text = out._jdf.queryExecution().executedPlan().toString()
+        final = text.split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in final and final.count("Exchange rangepartitioning") - final.count("ReusedExchange") <= 1, text
+        assert "InMemoryTableScan" not in text
+
+
+def test_submitted_settings_win(tmp_path):
+    import os
+    import subprocess
+    import sys
+    code = ("from echoline.session import get_session\n"
+            "s = get_session(master='local[3]', **{'spark.sql.shuffle.partitions': '5'})\n"
+            "print('GOT', s.sparkContext.master, s.conf.get('spark.sql.shuffle.partitions'), s.conf.get('spark.sql.adaptive.enabled'))")
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=77 pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert "GOT local[2] 77 true" in out.stdout, out.stderr[-800:]
