@@ -40,8 +40,8 @@ def seeds(hashed: DataFrame, key: str, masks=MASKS) -> DataFrame:
             last = f"m{k}_{n}"
         whole = F.slice(last, F.lit(1), F.greatest(F.size("h") - (mask[-1]), F.lit(0)))
         df = df.withColumn(f"s{k}", F.transform(whole, lambda x: F.xxhash64(x, F.lit(k))))
-    each = df.select(key, F.explode(F.array(*[f"s{k}" for k in range(len(masks))])).alias("s"))
-    return each.select(key, F.posexplode("s").alias("at", "seed"))
+    each = df.select(key, F.explode_outer(F.array(*[f"s{k}" for k in range(len(masks))])).alias("s"))
+    return each.select(key, F.posexplode_outer("s").alias("at", "seed"))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks=MASKS, max_broadcast: int = 1_000_000) -> DataFrame:
@@ -49,8 +49,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     A document overlaps an item if, laid over each other at some shift, ``window`` words in a
     row agree but for at most ``substitutions`` (words: runs of non-white-space, A-Z as a-z).
-    n_same is the best window's number of equal words, doc_word where the first such window
-    starts in the document.  An item of fewer words counts as one window if a mask fits in it.
+    n_same is the best window's number of equal words, doc_word where the first window with
+    so many starts in the document.  An item of fewer words counts as one window if a mask fits in it.
 
     Null texts have no words; rows with a null doc_id or item_id can't be named and are left out.
     Repeated rows give one row.  Empty tables give an empty result.  Extra columns are not looked at.
@@ -74,21 +74,31 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         .join(docs.select("doc_id", "text"), "doc_id")
         .select("doc_id", "item_id", "shift", "item_h", _word_hashes(F.col("text")).alias("doc_h"))
     )
-    place = lambda t: F.col("shift") + t
-    same = F.transform("item_h", lambda x, t: F.coalesce(F.get("doc_h", place(t)) == x, F.lit(False)).cast("int"))
+    # Named twice, the hashes stay a column of their own; named once, Spark would work them out
+    # anew for every word of the item.
+    inside = lambda i: (i >= 0) & (i < F.size("doc_h"))
+    same = F.transform(
+        "item_h",
+        lambda x, t: F.when(inside(F.col("shift") + t), F.get("doc_h", F.col("shift") + t) == x).otherwise(F.lit(False)).cast("int"),
+    )
     found = found.select("doc_id", "item_id", "shift", same.alias("same"))
     size = F.least(F.size("same"), F.lit(window))
     sums = F.transform(
         F.sequence(F.lit(0), F.size("same") - size),
         lambda s: F.struct(F.aggregate(F.slice("same", s + 1, size), F.lit(0), lambda a, x: a + x).alias("n"), (-s).alias("back")),
     )
-    best = found.select("doc_id", "item_id", "shift", size.alias("size"), F.array_max(sums).alias("best"))
-    # A short item allows as many fewer substitutions.
-    enough = F.col("best.n") >= F.col("size") - F.floor(F.col("size") * substitutions / window)
-    return (
-        best.where(enough)
+    # Of all shifts the best window; the filter comes after the aggregate, as below it Spark
+    # would write out all of the above once more.
+    best = (
+        found.select("doc_id", "item_id", "shift", size.alias("size"), F.array_max(sums).alias("w"))
+        .select("doc_id", "item_id", "size", F.struct(F.col("w.n"), (F.col("w.back") - F.col("shift")).alias("back")).alias("w"))
         .groupBy("doc_id", "item_id")
-        .agg(F.max("best.n").cast("long").alias("n_same"), F.min(F.greatest(F.col("shift") - F.col("best.back"), F.lit(0))).cast("long").alias("doc_word"))
+        .agg(F.max("w").alias("w"), F.max("size").alias("size"))
+    )
+    # A short item allows as many fewer substitutions.
+    enough = F.col("w.n") >= F.col("size") - F.floor(F.col("size") * substitutions / window)
+    return best.where(enough).select(
+        "doc_id", "item_id", F.col("w.n").cast("long").alias("n_same"), F.greatest(-F.col("w.back"), F.lit(0)).cast("long").alias("doc_word")
     )
 
 

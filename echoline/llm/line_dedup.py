@@ -38,7 +38,7 @@ def line_occurrences(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     folded = ascii_folded(F.coalesce("text", F.lit("")))
     keyed = (
         docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), _lines(folded).alias("lines"))
-        .select("k", F.posexplode("lines").alias("pos", "line"))
+        .select("k", F.posexplode_outer("lines").alias("pos", "line"))
         .select("k", "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("key"))
     )
     points = F.length(F.regexp_replace("key", "[\x80-\xBF]", ""))
