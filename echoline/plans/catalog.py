@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..operators import clean, encoding, enrich, user_index
-from ..schema import (BIN_THRESHOLDS_FINAL, DEFAULT_SPLIT_TS, LABEL_COLS, TARGETS)
+from ..schema import DEFAULT_SPLIT_TS, LABEL_COLS, TARGETS
+from . import roundtrips
 from ..sources.fixtures import interactions
 
 R = 6
@@ -528,6 +529,13 @@ def training_table(spark, sf):
     return _round_doubles(build_training_table(_ix(spark, sf), spec, "val"))
 
 
+def training_table_train(spark, sf):
+    """The same for the training rows: what models are fit on."""
+    from .jobs import PipelineSpec, build_training_table
+    spec = PipelineSpec(split_ts=DEFAULT_SPLIT_TS, index_cutoff_ts=DEFAULT_SPLIT_TS)
+    return _round_doubles(build_training_table(_ix(spark, sf), spec, "train"))
+
+
 def enriched_skew_split(spark, sf):
     """J1/J2 through the hot-key split join (must equal ``enriched_interactions``)."""
     ix, idx = _train_index(spark, sf)
@@ -712,6 +720,7 @@ QUERIES = {
     "row_ids": row_ids,
     "streaming_user_index": streaming_user_index,
     "training_table": training_table,
+    "training_table_train": training_table_train,
     "enriched_skew_split": enriched_skew_split,
     "prior_baseline_metrics": prior_baseline_metrics,
     "events_day_windows": events_day_windows,
@@ -732,3 +741,4 @@ QUERIES = {
     "noise_te": noise_te,
     "random_scores": random_scores,
 }
+QUERIES.update(roundtrips.QUERIES)

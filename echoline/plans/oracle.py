@@ -408,7 +408,32 @@ def _sql2() -> dict[str, str]:
     return q
 
 
-def _training_table_sql() -> str:
+def _roundtrips(q: dict[str, str]) -> dict[str, str]:
+    """Oracles of ``roundtrips``: what was written is what the view has."""
+    from ..schema import ALL_COLS, TARGETS, USER_CENTRIC_COLS
+    from .roundtrips import BATCH, FIRST
+    text = lambda c: f"coalesce(CAST({c} AS VARCHAR), '') AS {c}"
+    out = {
+        "log_roundtrip": W + f"SELECT {', '.join(ALL_COLS)} FROM interactions",
+        "user_columns_roundtrip": W + f"SELECT {', '.join(USER_CENTRIC_COLS)} FROM interactions",
+        "lines_roundtrip": W + f"SELECT tokens, {', '.join(map(text, ('hashtags', 'tweet_id', 'ts', 'a_is_verified', 'retweet_ts')))} FROM interactions",
+        "index_roundtrip": W + user_index_sql("interactions"),
+        "predictions_roundtrip": interactions_cte(True) + "SELECT tweet_id, b_user_id AS user_id, " + ", ".join(f"score AS {t}" for t in TARGETS) + " FROM interactions",
+        "dictionary_roundtrip": q["dict_language"],
+        "stats_roundtrip": W + (
+            f", s AS (SELECT type, count(*) AS n, avg(CAST(like_ts IS NOT NULL AS DOUBLE)) AS m FROM interactions WHERE {train_pred()} GROUP BY 1),\n"
+            f"t AS (SELECT avg(CAST(like_ts IS NOT NULL AS DOUBLE)) AS tm FROM interactions WHERE {train_pred()})\n"
+            "SELECT tweet_id, b_user_id, ts, i.type, round(coalesce((n * m + 20.0 * tm) / (n + 20.0), -1.0), 6) AS te\n"
+            f"FROM (SELECT * FROM interactions WHERE {val_pred()}) i LEFT JOIN (SELECT * FROM s CROSS JOIN t) st ON i.type = st.type"),
+        "first_batches_rows": W + (
+            f"SELECT tweet_id, b_user_id, ts, type, CAST(floor(rn / {BATCH}) AS BIGINT) AS batch_id FROM (SELECT *, "
+            f"row_number() OVER (ORDER BY ts, tweet_id, b_user_id, type) - 1 AS rn FROM interactions) x WHERE rn < {BATCH * FIRST}"),
+    }
+    out["training_table_train"] = _training_table_sql(train_pred())
+    return out
+
+
+def _training_table_sql(rows: str | None = None) -> str:
     te_names = [f"TE_{slot(*s)}" for s in te_slots()]
     tcase = "CASE type WHEN 'Retweet' THEN 0 WHEN 'Quote' THEN 1 WHEN 'Reply' THEN 2 WHEN 'TopLevel' THEN 3 END"
     sel = ["v.tweet_id", "v.b_user_id", "a_follower_count", "a_following_count", "a_is_verified", "b_follower_count",
@@ -437,7 +462,7 @@ def _training_table_sql() -> str:
             f"idx AS ({user_index_sql('tr')}),\npr AS ({priors_sql('idx')}),\nte AS ({te_sql('idx', 'pr')}),\n"
             "d AS (SELECT language AS value, CAST(dense_rank() OVER (ORDER BY language) - 1 AS BIGINT) AS code "
             "FROM (SELECT DISTINCT language FROM interactions WHERE language IS NOT NULL) x),\n"
-            f"v AS (SELECT * FROM interactions WHERE {val_pred()})\n"
+            f"v AS (SELECT * FROM interactions WHERE {rows or val_pred()})\n"
             f"SELECT {', '.join(sel)} FROM v LEFT JOIN d ON v.language = d.value "
             f"LEFT JOIN te ta ON ta.user_id = {uid('v.a_user_id')} LEFT JOIN te tb ON tb.user_id = {uid('v.b_user_id')}")
 
@@ -522,7 +547,5 @@ def oracle_sql() -> dict[str, str]:
     out["streaming_user_index"] = out["user_index"]
     out.update(_sql3())
     out["enriched_skew_split"] = out["enriched_interactions"]
+    out.update(_roundtrips(out))
     return out
-
-
-_ = WS
