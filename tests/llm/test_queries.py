@@ -85,4 +85,4 @@ def test_rest_works_without_this_package():
         "print('LEFT', len(e.queries()), any(q.startswith('op') for q in e.queries()), 'pipeline' in e.oracle_sql())\n"
     )
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT)
-    assert "LEFT 78 False False" in out.stdout, out.stdout + out.stderr[-500:]
+    assert "LEFT 87 False False" in out.stdout, out.stdout + out.stderr[-500:]
