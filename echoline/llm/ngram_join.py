@@ -36,6 +36,9 @@ from echoline.llm.components import connected_components
 
 GROWTH = 1.25
 SKETCH_WORDS = 8
+SKETCH = [f"w{k}" for k in range(SKETCH_WORDS)]
+#: Documents whose sets are fetched by a broadcast of their ids; more are fetched by a shuffle.
+MAX_BROADCAST = 1_000_000
 _SPLIT = bytes(range(9, 14)) + b" "
 
 
@@ -111,7 +114,12 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, how: Similarity) -> np.ndarray:
-    """The signatures of a set in its band, and in the next one if it may have partners there."""
+    """The signatures of a set in its band, and in the next one if it may have partners there.
+
+    Two smaller parts that are both empty say nothing about a set.  All that the part has is
+    then in the third one, where similar sets differ in one element at most: they share what
+    is there, or that but for one element, and these are the signatures instead.
+    """
     out = []
     size = len(s)
     bands = how.bands(size)
@@ -120,21 +128,28 @@ def signatures(s: np.ndarray, how: Similarity) -> np.ndarray:
     above = high + 1
     if 100 * size >= how.percent * above:
         entered.append((len(bands) + 1, max(above, int(above * GROWTH))))
+    mixed = _mix(s)
     for band, largest in entered:
         most = how.most_differing(2 * largest)
         n1 = most // 2 + 1  # n1 parts with two differing elements each would make more than ``most``
-        place = (s >> np.uint64(20)) % np.uint64(3 * n1)
+        place = ((s >> np.uint64(20)) % np.uint64(3 * n1)).astype(np.int64)
         # A smaller part's hash is the sum of its mixed elements.
         sums = np.zeros(3 * n1, np.uint64)
-        np.add.at(sums, place.astype(np.int64), _mix(s))
+        np.add.at(sums, place, mixed)
+        full = (np.bincount(place, minlength=3 * n1) > 0).reshape(n1, 3)
         sums = sums.reshape(n1, 3)
-        part = np.arange(n1, dtype=np.uint64)
+        tag = _mix(np.arange(n1, dtype=np.uint64) * np.uint64(8) + np.uint64(band << 40))
         for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-            tag = _mix(part * np.uint64(8) + np.uint64(k) + np.uint64(band << 40))
-            sig = _mix(_mix(sums[:, a] + tag) + sums[:, b])
-            # An empty pair of parts is a signature as well: it is shared only by sets with nothing there.
-            out.append(sig)
-    return np.concatenate(out)
+            told = full[:, a] | full[:, b]
+            out.append(_mix(_mix(sums[told, a] + tag[told] + np.uint64(k)) + sums[told, b]))
+        # At most one of the three is not empty: the part's whole content, and that without each element.
+        sparse = full.sum(axis=1) <= 1
+        whole = sums.sum(axis=1, dtype=np.uint64)
+        out.append(_mix(whole[sparse] + tag[sparse] + np.uint64(3)))
+        part = place // 3
+        own = sparse[part]
+        out.append(_mix(whole[part[own]] - mixed[own] + tag[part[own]] + np.uint64(3)))
+    return np.unique(np.concatenate(out))
 
 
 def _each_text(batches: Iterator[pa.RecordBatch], how: Similarity):
@@ -145,23 +160,22 @@ def _each_text(batches: Iterator[pa.RecordBatch], how: Similarity):
 
 
 def text_sets(docs: DataFrame, how: Similarity) -> DataFrame:
-    """(doc_id, n_shingles, a, b): size and 128-bit hash of each document's set."""
+    """(doc_id, n_shingles, a, b, w0..): size, 128-bit hash and sketch of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, hashes = [], []
-            for text in batch.column(1):
+            sizes, hashes, sketches = [], [], np.zeros((batch.num_rows, SKETCH_WORDS), np.int64)
+            for k, text in enumerate(batch.column(1)):
                 s = shingle_set(text.as_py(), how.words)
                 sizes.append(len(s))
                 hashes.append(set_hash(s) if len(s) else None)
+                sketches[k] = sketch(s)
             a = [None if h is None else int.from_bytes(h[:8], "little", signed=True) for h in hashes]
             b = [None if h is None else int.from_bytes(h[8:], "little", signed=True) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "n_shingles", "a", "b"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(x)) for x in sketches.T], ["doc_id", "n_shingles", "a", "b", *SKETCH])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, a long, b long")
-
-
-SKETCH = [f"w{k}" for k in range(SKETCH_WORDS)]
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, a long, b long, " + ", ".join(f"{w} long" for w in SKETCH))
 
 
 def _signature_rows(docs: DataFrame, how: Similarity) -> DataFrame:
@@ -235,18 +249,17 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity) -> DataFrame:
-    """(a, n, s, w0..): sets and sketches of the wanted documents, by the hash of the set."""
+    """(a, s): the sets of the wanted documents, by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), how.words) for t in batch.column(0)]
             own = [int.from_bytes(set_hash(s)[:8], "little", signed=True) for s in sets]
-            sketches = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH_WORDS), np.int64)
-            columns = [pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(SKETCH_WORDS)], ["a", "n", "s", *SKETCH])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["a", "s"])
 
-    few = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
-    return arrow_map(few, run, "a long, n long, s array<long>, " + ", ".join(f"{w} long" for w in SKETCH))
+    ids = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+    few = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
+    return arrow_map(few, run, "a long, s array<long>")
 
 
 def _may_link(how: Similarity) -> Column:
@@ -256,13 +269,18 @@ def _may_link(how: Similarity) -> Column:
     return (100 * F.least(n, m) >= how.percent * F.greatest(n, m)) & (differ * (100 + how.percent) <= (100 - how.percent) * (n + m))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """(a, b) of those pairs whose sets are similar enough."""
-    one = sets.select(F.col("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    two = sets.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+def _verified(docs: DataFrame, pairs: DataFrame, brief: DataFrame, how: Similarity, name: str) -> DataFrame:
+    """(a, b) of those pairs whose sets are similar enough; the sets are made anew for these documents alone."""
+    pairs = store(pairs, name)
+    members = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    wanted = store(brief.join(members, "a").select("doc_id").where("doc_id is not null").distinct(), name)
+    sets = store(_sets_of(docs, wanted, how), name)
+    one = sets.select("a", F.col("s").alias("sa"))
+    two = sets.select(F.col("a").alias("b"), F.col("s").alias("sb"))
     joined = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(100 * common >= how.percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    found = joined.where(100 * common >= how.percent * (F.size("sa") + F.size("sb") - common))
+    return store(found.select("a", "b").distinct(), name)
 
 
 def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
@@ -276,18 +294,16 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
     * Columns besides doc_id and text are not looked at.  An empty table gives an empty result.
     """
     rows = store(text_sets(docs, how), "sets")
-    classes = rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
-    # Hash halves are taken for classes here; one that stands for two sets (64 bits) only joins buckets.
+    same = [F.max(w).alias(w) for w in SKETCH]
+    classes = store(rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), *same), "classes")
+    # Buckets know classes by half of the hash; should two have that half in common (64 bits), one stands for both.
+    brief = classes.groupBy("a").agg(F.min("rep").alias("doc_id"), F.max("n").alias("n"), *same)
     buckets = store(_buckets(_signature_rows(docs, how)), "buckets")
-    used = buckets.select("a").distinct()
-    named = classes.join(used, "a").groupBy("a").agg(F.min("rep").alias("doc_id")).where("doc_id is not null")
-    sets = store(_sets_of(docs, named.select("doc_id"), how).dropDuplicates(["a"]), "shingles")
-    brief = sets.drop("s")
 
     pairs = buckets.where("a <> first").select(F.col("first").alias("a"), F.col("a").alias("b")).distinct()
     may = pairs.join(brief.alias("x"), F.col("x.a") == pairs["a"]).join(brief.alias("y"), F.col("y.a") == pairs["b"])
     near = may.where(_may_link(how)).select(pairs["a"], pairs["b"])
-    links = store(_verified(near, sets, how), "links")
+    links = _verified(docs, near, brief, how, "near")
 
     roots = connected_components(links)
     labelled = buckets.join(roots, buckets["a"] == roots["node"], "left").select("sig", "first", "a", F.coalesce("root", "a").alias("root"))
@@ -299,7 +315,7 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
     x, y = members.where("root <> head").alias("x"), members.alias("y")
     cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & _may_link(how))
     cross = cross.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
-    links = links.unionByName(store(_verified(cross, sets, how), "links"))
+    links = links.unionByName(_verified(docs, cross, brief, how, "cross"))
 
     roots = connected_components(links)
     linked = classes.join(roots, classes["a"] == roots["node"], "left").select("a", "b", "rep", F.coalesce("root", "a").alias("root"))
@@ -309,7 +325,7 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
     linked = linked.join(touched, linked["root"] == touched["hub"], "left").withColumn("own", F.when(F.col("hub").isNull(), lone))
     groups = linked.groupBy("root", "own").agg(F.min("rep").alias("component_id"))
     named = linked.alias("l").join(groups.alias("g"), (F.col("l.root") == F.col("g.root")) & F.col("l.own").eqNullSafe(F.col("g.own"))).select("l.a", "l.b", "g.component_id")
-    full = rows.where("n_shingles > 0").join(named, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
+    full = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "a", "b").join(named, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
