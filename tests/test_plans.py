@@ -35,10 +35,12 @@ def test_no_python_and_no_cartesian_in_builtin_queries(spark):
 
 def test_row_level_windows_are_partitioned(spark):
     plan = _plan(E.queries()["ap_by_bin"](spark, SF))
-    # the running sum over (score-tied) rows is partitioned by group and bucket
-    row_windows = [line for line in plan.splitlines() if "Window [" in line and "cum_" in line or
-                   ("Window [" in line and "_bucket" in line and "score" in line)]
-    assert row_windows and all("_bucket" in line for line in row_windows)
+    # the running sum over (score-tied) rows is partitioned by Spark partition and group
+    row_windows = [line for line in plan.splitlines() if "Window [" in line and "score" in line]
+    assert row_windows
+    for line in row_windows:
+        by = line.split("windowspecdefinition(", 1)[1].split(" ASC", 1)[0].split(" DESC", 1)[0]
+        assert "_pid" in by, line
     # ranks: the only unpartitioned window runs over per-partition sizes
     plan = _plan(E.queries()["row_ids"](spark, SF))
     for line in plan.splitlines():
