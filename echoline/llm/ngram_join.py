@@ -113,6 +113,17 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_sketches(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``sketch``, with as many bits as the set has elements (a power of two, 512 at least), and
+    with half as many: of two sets of similar size one pair of these has equally many bits."""
+    out = []
+    power = max(9, int(len(s)).bit_length())
+    for k in (power, max(9, power - 1)):
+        odd = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+    return out[0], out[1]
+
+
 def signatures(s: np.ndarray, how: Similarity) -> np.ndarray:
     """The signatures of a set in its band, and in the next one if it may have partners there.
 
@@ -248,18 +259,20 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.repartition("sig").sortWithinPartitions("sig", "a"), run, "sig long, first long, a long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity) -> DataFrame:
-    """(a, s): the sets of the wanted documents, by their hash."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity, wide: bool) -> DataFrame:
+    """(a, s, t) of the wanted documents, by the set's hash: the set (and nothing), or its wide sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), how.words) for t in batch.column(0)]
             own = [int.from_bytes(set_hash(s)[:8], "little", signed=True) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["a", "s"])
+            told = [wide_sketches(s) if wide else (s.view(np.int64), None) for s in sets]
+            columns = [pa.array([x[k] for x in told], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *columns], ["a", "s", "t"])
 
     ids = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     few = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
-    return arrow_map(few, run, "a long, s array<long>")
+    return arrow_map(few, run, "a long, s array<long>, t array<long>")
 
 
 def _may_link(how: Similarity) -> Column:
@@ -269,16 +282,31 @@ def _may_link(how: Similarity) -> Column:
     return (100 * F.least(n, m) >= how.percent * F.greatest(n, m)) & (differ * (100 + how.percent) <= (100 - how.percent) * (n + m))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, brief: DataFrame, how: Similarity, name: str) -> DataFrame:
-    """(a, b) of those pairs whose sets are similar enough; the sets are made anew for these documents alone."""
-    pairs = store(pairs, name)
+def _with_sets(docs: DataFrame, pairs: DataFrame, brief: DataFrame, how: Similarity, wide: bool, name: str) -> DataFrame:
+    """Pairs (a, b) with their sizes na, nb, and sets or wide sketches sa, ta, sb, tb."""
     members = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     wanted = store(brief.join(members, "a").select("doc_id").where("doc_id is not null").distinct(), name)
-    sets = store(_sets_of(docs, wanted, how), name)
-    one = sets.select("a", F.col("s").alias("sa"))
-    two = sets.select(F.col("a").alias("b"), F.col("s").alias("sb"))
-    joined = pairs.join(one, "a").join(two, "b")
+    sets = store(_sets_of(docs, wanted, how, wide).join(brief.select("a", "n"), "a"), name)
+    one = sets.select("a", F.col("n").alias("na"), F.col("s").alias("sa"), F.col("t").alias("ta"))
+    two = sets.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("t").alias("tb"))
+    return pairs.join(one, "a").join(two, "b")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, brief: DataFrame, how: Similarity, name: str) -> DataFrame:
+    """(a, b) of those pairs whose sets are similar enough.  Wide sketches (a 64th of a set) go
+    first; the sets are made for the documents of the pairs that are left."""
+    pairs = store(pairs, name)
+    bits = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    differ = (
+        F.when(F.size("sa") == F.size("sb"), bits("sa", "sb"))
+        .when(F.size("ta") == F.size("sb"), bits("ta", "sb"))
+        .when(F.size("sa") == F.size("tb"), bits("sa", "tb"))
+        .otherwise(F.lit(0))
+    )
+    sketched = _with_sets(docs, pairs, brief, how, True, name)
+    left = store(sketched.where(differ * (100 + how.percent) <= (100 - how.percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), name)
     common = F.size(F.array_intersect("sa", "sb"))
+    joined = _with_sets(docs, left, brief, how, False, name).drop("ta", "tb")
     found = joined.where(100 * common >= how.percent * (F.size("sa") + F.size("sb") - common))
     return store(found.select("a", "b").distinct(), name)
 
