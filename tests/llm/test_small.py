@@ -252,6 +252,8 @@ def test_signatures_miss_nothing():
                 assert set(ngram_join.signatures(x, how)) & set(ngram_join.signatures(y, how))
                 bits = np.unpackbits((ngram_join.sketch(x) ^ ngram_join.sketch(y)).view(np.uint8)).sum()
                 assert bits <= how.most_differing(len(x) + len(y))
+                wide = [(p, q) for p in ngram_join.wide_sketches(x) for q in ngram_join.wide_sketches(y) if len(p) == len(q)]
+                assert wide and all(np.unpackbits((p ^ q).view(np.uint8)).sum() <= how.most_differing(len(x) + len(y)) for p, q in wide)
 
 
 def test_similar_groups_odd(odd, empty, texts):
