@@ -92,7 +92,7 @@ def test_noise_reaches_training_rows_only(spark):
 def test_unweighted_trees_are_calibrated(spark):
     from echoline.operators import metrics
     ix = interactions(spark, SF)
-    spec = _spec(model_params={"maxDepth": 3, "maxIter": 20, "stepSize": 0.3})
+    spec = _spec(use_index=False, model_params={"maxDepth": 3, "maxIter": 12, "stepSize": 0.3})
     tr = P.build_training_table(ix, spec, "train")
     scored = P.train(tr, spec).transform(tr)
     rows = metrics.unpivot_targets(scored, ["bin"], {t: f"score_{t}" for t in TARGETS})
