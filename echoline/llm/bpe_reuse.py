@@ -21,7 +21,7 @@ from echoline.llm.common import map_texts
 from echoline.llm.pieces import SAFE_CUT, PieceEncoder, Recent, split_pieces
 
 MEAN_CHUNK, MIN_CHUNK = 256, 64
-KEPT_CHUNKS = 60_000
+KEPT_CHUNKS = 20_000
 
 
 def cut_points(text: str, mean: int = MEAN_CHUNK, least: int = MIN_CHUNK) -> list[int]:

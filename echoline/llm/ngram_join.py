@@ -70,7 +70,7 @@ _WORDS: dict[bytes, int] = {}
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; those of recent words are kept."""
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 150_000:
         _WORDS.clear()
     get = _WORDS.get
     out = [get(w) for w in words]

@@ -67,7 +67,7 @@ class PieceEncoder:
         self.tokenizer, self.finish, self.cache = load_tokenizer(path), finish, Recent(size)
 
     @classmethod
-    def shared(cls, path: str, finish, size: int = 400_000) -> PieceEncoder:
+    def shared(cls, path: str, finish, size: int = 150_000) -> PieceEncoder:
         key = (path, finish.__module__, finish.__qualname__, size)
         if key not in cls._kept:
             cls._kept[key] = cls(path, finish, size)
