@@ -22,6 +22,14 @@ from echoline.llm.common import SPACE_CHARS, ascii_folded, store
 
 LAST_ID = (1 << 63) - 1
 KEY = ["ha", "hb"]
+ROW = ["k", "ra", "rb"]
+
+
+def _row_key() -> list[Column]:
+    """What tells a row from all others but its copies: k (the doc_id; null counts as last) and two hashes of the text."""
+    return [
+        F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), F.xxhash64("text").alias("ra"), F.xxhash64(F.lit(1), F.col("text")).alias("rb")
+    ]
 
 
 def _lines(text: Column) -> Column:
@@ -29,22 +37,22 @@ def _lines(text: Column) -> Column:
 
 
 def line_occurrences(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(k, pos, ha, hb): the lines whose key has at least ``min_chars`` code points.
+    """(k, ra, rb, pos, ha, hb): the lines whose key has at least ``min_chars`` code points.
 
     A line's key is the line without white space at its ends, A-Z lower-cased; it is hashed
     in its folded form (``ascii_folded``), where a code point is one byte that is no
-    continuation byte.  k is the doc_id; null counts as last.
+    continuation byte.  k, ra and rb are the row's key.
     """
     folded = ascii_folded(F.coalesce("text", F.lit("")))
     keyed = (
-        docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), _lines(folded).alias("lines"))
-        .select("k", F.posexplode_outer("lines").alias("pos", "line"))
-        .select("k", "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("key"))
+        docs.select(*_row_key(), _lines(folded).alias("lines"))
+        .select(*ROW, F.posexplode_outer("lines").alias("pos", "line"))
+        .select(*ROW, "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("key"))
     )
     points = F.length(F.regexp_replace("key", "[\x80-\xBF]", ""))
     long_enough = (F.length("key") >= min_chars) & ((F.length("key") >= 4 * min_chars) | (points >= min_chars))
     return keyed.where(long_enough).select(
-        "k", "pos", F.xxhash64("key").alias("ha"), F.xxhash64(F.lit(1), F.col("key")).alias("hb")
+        *ROW, "pos", F.xxhash64("key").alias("ha"), F.xxhash64(F.lit(1), F.col("key")).alias("hb")
     )
 
 
@@ -105,8 +113,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     * Lines repeated inside the smallest document that holds them all stay.
     * Null text stays null and counts as one empty line; a document whose lines
       all go has empty text.
-    * Rows with the same doc_id count as one document; rows with a null doc_id
-      count as one document after all others.
+    * Rows with the same doc_id count as one document, whatever their texts: they
+      don't take each other's lines.  Rows with a null doc_id count as one document
+      after all others.  Each row loses its own lines only.
     * Extra columns are carried along; columns named like those added are replaced.
     * An empty table gives an empty table.
     """
@@ -115,11 +124,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     dropped = (
         occurrences.join(runs, KEY)
         .where(F.col("first") < F.col("k"))
-        .groupBy("k")
-        .agg(F.array_distinct(F.collect_list("pos")).alias("__gone"))
+        .groupBy(*ROW)
+        .agg(F.collect_set("pos").alias("__gone"))
+        .withColumnsRenamed({c: f"__{c}" for c in ROW})
     )
-    body = docs.drop("n_lines", "n_dropped").withColumn("__k", F.coalesce("doc_id", F.lit(LAST_ID)))
-    joined = body.join(dropped, body["__k"] == dropped["k"], "left").drop("k", "__k")
+    body = docs.drop("n_lines", "n_dropped").select("*", *[c.alias(f"__{name}") for c, name in zip(_row_key(), ROW)])
+    joined = body.join(dropped, [f"__{c}" for c in ROW], "left").drop(*[f"__{c}" for c in ROW])
     lines = joined.withColumn("__lines", _lines(F.col("text")))
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.transform(places, lambda i: F.get(F.col("__lines"), i))

@@ -103,6 +103,16 @@ def test_line_dedup_odd(odd, empty, texts):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_rows_lose_their_own_lines(spark):
+    line = ["the first line of all", "the second line of all"]
+    own = [f"a line of row {k} alone" for k in range(5)]
+    rows = [(1, "\n".join(line)), (None, f"{line[0]}\n{own[0]}"), (None, f"{own[1]}\n{line[1]}"), (None, f"{own[2]}\n{own[2]}")]
+    rows += [(7, f"{line[0]}\n{own[3]}"), (7, f"{own[4]}\n{line[0]}"), (7, f"{own[4]}\n{line[0]}"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.n_dropped, r.text or "") for r in line_dedup.dedup_lines(df).collect()))
+    assert got == sorted([(0, 1, own[0]), (0, 1, own[1]), (0, 0, f"{own[2]}\n{own[2]}"), (1, 0, "\n".join(line)), (7, 0, ""), (7, 1, own[3]), (7, 1, own[4]), (7, 1, own[4])])
+
+
 def test_runs_are_merged_by_level(docs):
     runs = line_dedup.build_runs(line_dedup.line_occurrences(docs), [4, 9, 14], 2)
     assert [len(level) for level in runs.levels] == [0, 0, 1]
