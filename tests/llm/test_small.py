@@ -510,6 +510,15 @@ def test_id_files(spark, docs, odd, empty, texts, tmp_path):
     assert id_files.document_sums(spark, f"{tmp_path}/c").count() == 0
 
 
+def test_id_files_keep_what_lowering_would_change(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = ["x <|ENDOFTEXT|> y", "x<|EndOfText|>Y <|endoftext|> <|STARTOFTEXT|>", "H\u0331 T\u0308 W\u030a Y\u030a J\u030c", "J\u0323\u030cA h\u0331A\u0301", "İI\u0307 ΑΣ ΑΣA \u212aK\u2003<|ENDOFTEXT|>\u2003T\u0308X", "A B\x1c<|ENDOFtext|> C"]
+    ids, _ = brute_bpe(own, "word_bpe_49k.json")
+    id_files.write_ids(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), path, f"{tmp_path}/d")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in id_files.document_sums(spark, f"{tmp_path}/d").collect()}
+    assert got == {k: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for k, x in enumerate(ids)}
+
+
 def test_blocks():
     rng = np.random.default_rng(0)
     blocks = [rng.zipf(1.3, int(rng.integers(0, 300))) % 49408 for _ in range(80)] + [np.tile([5, 7, 0, 1], 80), np.array([id_coder.MAX_ID, 0, 1, 65535, 65536]), np.zeros(0, np.int64)]
