@@ -366,6 +366,33 @@ def test_repeats_odd(odd, empty, texts):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    rng = random.Random(12)
+    shared, lone = prose(rng, 40), [prose(rng, 25) for _ in range(8)]
+    rows = [(1, shared), (None, prose(rng, 300) + shared), (None, lone[0] + shared[:90]), (None, shared[20:150] + lone[1]), (None, lone[2]), (None, lone[2])]
+    rows += [(5, lone[3] * 4 + shared), (5, lone[4]), (5, shared[:70] + lone[5]), (5, shared[:70] + lone[5]), (5, None), (9, lone[6] + lone[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = {None: 1 << 62}
+    # One row at a time beside those of other documents: rows of one document don't meet.
+    want = []
+    for k, t in rows:
+        others = [(key.get(d, d), x) for d, x in rows if d != k]
+        firsts = {}
+        for d, x in others:
+            b = (x or "").encode()
+            for i in range(len(b) - 49):
+                firsts[b[i : i + 50]] = min(firsts.get(b[i : i + 50], d), d)
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49):
+            if firsts.get(b[i : i + 50], 1 << 63) < key.get(k, k):
+                gone[i : i + 50] = True
+        want.append((k or 0, len(b), int(gone.sum()), np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    for how in ({}, {"max_broadcast": 0}):
+        got = [(r.doc_id or 0, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, **how).collect()]
+        assert sorted(got) == sorted(want)
+
+
 # 6: decontamination
 def test_masks_hit_every_window():
     import itertools
