@@ -83,13 +83,13 @@ def ascii_folded(col: Column) -> Column:
     return F.lower(F.decode(col.cast("binary"), "ISO-8859-1"))
 
 
-def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], dict]], schema: str, slice_bytes: int = 4_000_000) -> DataFrame:
-    """All columns of ``df`` but ``column``, and those that ``make()(texts)`` returns (null is passed as empty).
+def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], dict]], schema: str, slice_bytes: int = 4_000_000, keep: bool = False) -> DataFrame:
+    """All columns of ``df`` but ``column`` (with ``keep``: that too), and those that ``make()(texts)`` returns (null is passed as empty).
 
     ``make`` runs once a task.  Arrow batches are handed on in slices of about ``slice_bytes``
     of text, so that long texts don't add up; the other columns pass through as they are.
     """
-    kept = [c for c in df.columns if c != column]
+    kept = [c for c in df.columns if keep or c != column]
     fields = df.select(*kept).schema
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [schema])
 
@@ -104,8 +104,8 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]
                 if size >= slice_bytes or end == len(texts):
                     made = work([t or "" for t in texts[start:end]])
                     part = batch.slice(start, end - start)
-                    columns = [part.column(i) for i in range(part.num_columns) if i != at]
-                    names = [n for i, n in enumerate(part.schema.names) if i != at]
+                    columns = [part.column(i) for i in range(part.num_columns) if keep or i != at]
+                    names = [n for i, n in enumerate(part.schema.names) if keep or i != at]
                     new = [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
                     yield pa.RecordBatch.from_arrays(columns + new, names + list(made))
                     start, size = end, 0

@@ -294,17 +294,34 @@ def _calibrate(model: Model, tune: pd.DataFrame) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score (0 to 1), entropy (nats a symbol), rejected.
-
-    Null and empty texts and texts without a letter get ``und``, score 0, no entropy, and are
-    rejected.  Only text decides; repeated rows are judged each, a null doc_id stays null.
-    """
+def _predictor(docs: DataFrame, model: Model):
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def make():
         own = pickle.loads(packed.value)
         return lambda texts: {c: v.tolist() for c, v in own.predict(texts).items()}
 
+    return make
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row: doc_id, held_out, lang_pred, score (0 to 1), entropy (nats a symbol), rejected.
+
+    Null and empty texts and texts without a letter get ``und``, score 0, no entropy, and are
+    rejected.  Only text decides; repeated rows are judged each, a null doc_id stays null.
+    """
+    make = _predictor(docs, model)
     asked = docs.select("doc_id", held_out().alias("held_out"), "text")
     return map_texts(asked, "text", make, "lang_pred string, score double, entropy double, rejected boolean").withColumn("entropy", F.nanvl("entropy", F.lit(None).cast("double")))
+
+
+def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows that ``identify`` rejects.  Each row goes or stays by its own text,
+    whatever its doc_id and those of other rows are."""
+    make = _predictor(docs, model)
+
+    def judge():
+        predict = make()
+        return lambda texts: {"__rejected": predict(texts)["rejected"]}
+
+    return map_texts(docs, "text", judge, "__rejected boolean", keep=True).where("not __rejected").drop("__rejected")

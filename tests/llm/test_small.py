@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -506,6 +507,18 @@ def test_language(spark, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_rejection_is_by_row(spark):
+    rng = random.Random(7)
+    kinds = {"en": ["the", "and", "with", "this"], "de": ["der", "und", "nicht", "über"]}
+    rows = [(k, prose(rng, 40, kinds[lang]), lang) for k in range(300) for lang in [rng.choice(list(kinds))]]
+    clean = [(None, rows[0][1], None), (None, rows[1][1], None), (500, rows[2][1], None)]
+    df = spark.createDataFrame([(*r, "p") for r in [*rows, *clean, (None, "", None), (None, None, None), (500, "12 !!", None)]], "doc_id long, text string, lang string, rejected string")
+    out = corpus_pipeline.identify_language(spark, df, "")
+    assert out.columns == df.columns and {r.rejected for r in out.collect()} == {"p"}
+    got = [(r.doc_id or 0, r.text) for r in out.where("doc_id is null or doc_id = 500").collect()]
+    assert sorted(got) == sorted((k or 0, t) for k, t, _ in clean)
+
+
 def test_probabilities_sum_to_one():
     import pandas as pd
 
