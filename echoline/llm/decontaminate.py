@@ -44,13 +44,35 @@ def seeds(hashed: DataFrame, key: str, masks=MASKS) -> DataFrame:
     return each.select(key, F.posexplode_outer("s").alias("at", "seed"))
 
 
+def short_runs(size: int, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> list[tuple[int, int]]:
+    """(start, length) of the runs that an item of ``size`` words, fewer than ``window``, is cut into:
+    one more than the substitutions that it allows, so that one run at least is free of them."""
+    parts = size * substitutions // window + 1
+    edges = [size * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def run_seeds(hashed: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """(key, seed, at): the hash of every run of so many words of the word hashes ``h``."""
+    df, arrays = hashed.select(key, "h").withColumn("r1", F.transform("h", lambda x: F.xxhash64(x, F.lit(-1)))), []
+    for n in range(1, max(lengths) + 1):
+        if n > 1:
+            later = F.slice("h", F.lit(n), F.greatest(F.size("h"), F.lit(1)))
+            df = df.withColumn(f"r{n}", F.zip_with(f"r{n - 1}", later, lambda a, b: F.xxhash64(a, b)))
+        if n in lengths:
+            arrays.append(F.slice(f"r{n}", F.lit(1), F.greatest(F.size("h") - (n - 1), F.lit(0))))
+    each = df.select(key, F.explode(F.array(*arrays)).alias("s"))
+    return each.select(key, F.posexplode("s").alias("at", "seed"))
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks=MASKS, max_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, n_same, doc_word): documents that overlap a benchmark item.
 
     A document overlaps an item if, laid over each other at some shift, ``window`` words in a
     row agree but for at most ``substitutions`` (words: runs of non-white-space, A-Z as a-z).
     n_same is the best window's number of equal words, doc_word where the first window with
-    so many starts in the document.  An item of fewer words counts as one window if a mask fits in it.
+    so many starts in the document.  An item of fewer words counts as one window, and allows as many
+    fewer substitutions: one from 7 to 12 words, none below.  An item without words overlaps nothing.
 
     Null texts have no words; rows with a null doc_id or item_id can't be named and are left out.
     Repeated rows give one row.  Empty tables give an empty result.  Extra columns are not looked at.
@@ -60,13 +82,28 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     doc_h = docs.where("doc_id is not null").select("doc_id", _word_hashes(F.col("text")).alias("h"))
     items = benchmark.where("item_id is not null").select("item_id", _word_hashes(F.col("text")).alias("h")).distinct()
     items = store(items, "items")
-    item_seeds = store(seeds(items, "item_id", masks).withColumnRenamed("at", "item_at"), "seeds")
+    # At most window - 1 sizes; run lengths that no short item has cost the documents nothing.
+    short = items.withColumn("size", F.size("h")).where((F.col("size") > 0) & (F.col("size") < window))
+    runs = {r["size"]: short_runs(r["size"], window, substitutions) for r in short.select("size").distinct().collect()}
+    item_seeds = seeds(items.where(F.size("h") >= window), "item_id", masks).withColumn("whole", F.lit(False))
+    doc_seeds = seeds(doc_h, "doc_id", masks)
+    if runs:
+        lengths = sorted({n for parts in runs.values() for _, n in parts})
+        wanted = F.array(*[F.struct(F.lit(size).alias("size"), F.lit(a).alias("at"), F.lit(n).alias("n"), F.lit(len(parts) == 1).alias("whole")) for size, parts in runs.items() for a, n in parts])
+        cut = short.select("item_id", "h", "size", F.explode(wanted).alias("w")).where(F.col("w.size") == F.col("size"))
+        first = F.xxhash64(F.get("h", F.col("w.at")), F.lit(-1))
+        seed = F.aggregate(F.slice("h", F.col("w.at") + 2, F.col("w.n") - 1), first, lambda a, x: F.xxhash64(a, x))
+        item_seeds = item_seeds.unionByName(cut.select("item_id", "w.at", seed.alias("seed"), "w.whole"))
+        doc_seeds = doc_seeds.unionByName(run_seeds(doc_h, "doc_id", lengths))
+    item_seeds = store(item_seeds.withColumnRenamed("at", "item_at"), "seeds")
     side = F.broadcast(item_seeds) if item_seeds.count() <= max_broadcast else item_seeds
+    # Where the seed is the whole item all hits are alike, and the first in the document will do.
     hits = (
-        seeds(doc_h, "doc_id", masks)
-        .join(side, "seed")
-        .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-        .distinct()
+        doc_seeds.join(side, "seed")
+        .select("doc_id", "item_id", "whole", (F.col("at") - F.col("item_at")).alias("shift"))
+        .groupBy("doc_id", "item_id", F.when(~F.col("whole"), F.col("shift")).alias("each"))
+        .agg(F.min("shift").alias("shift"))
+        .drop("each")
     )
     hits = store(hits, "hits")
     found = (

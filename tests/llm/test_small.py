@@ -440,6 +440,30 @@ def test_overlaps(spark, odd, empty):
     assert decontaminate.find_overlaps(empty, bench).count() == 0
 
 
+def test_overlaps_of_short_items(spark):
+    rows, want, k = [], {}, 0
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in range(1, 14)]
+    for n, text in items:
+        words, allowed = text.split(), n * 2 // 13
+        spots = [()] + [(j,) for j in range(n)] + [(j, j2) for j in range(n) for j2 in range(j)]
+        for wrong in spots:
+            body = ["other" if j in wrong else w for j, w in enumerate(words)]
+            rows.append((k, " ".join(["lead", *body, "tail"])))
+            if len(wrong) <= allowed:
+                want[k, n] = (n - len(wrong), 1)
+            k += 1
+        rows += [(k, " ".join(words[1:])), (k + 1, " ".join(words[:-1])), (k + 2, " ".join(["x", *words, "y", *words]).upper())]
+        if allowed:
+            want[k, n], want[k + 1, n] = (n - 1, 0), (n - 1, 0)
+        want[k + 2, n] = (n, 1)
+        k += 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([*items, (50, ""), (51, None)], "item_id long, text string")
+    for most in (1_000_000, 0):
+        out = decontaminate.find_overlaps(docs, bench, max_broadcast=most).collect()
+        assert {(r.doc_id, r.item_id): (r.n_same, r.doc_word) for r in out} == want and len(out) == len(want)
+
+
 # 7: html
 def test_html(spark):
     nav = "<nav><ul><li><a href=/x>Menu</a></li><li><a href=/y>More</a></li></ul></nav>"
