@@ -54,4 +54,54 @@ SELECT page_id, host, path, rule, strict_hits, soft_hits,
 FROM ruled
 """
 
-ORACLE_SQL = {"op4_url_filter": OP4, "op10_line_dedup": OP10}
+#: Escapes add a character to each control string in a text; a turn has two controls, a turn of another role three and the role's name.
+OP11 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, length(regexp_replace(regexp_replace(text, '<(\\*/s>)', '<\\\1', 'g'), '\[(\\*(/?(SYS|INST|ROLE)|ANS|TEXT)\])', '[\\\1', 'g')) AS chars,
+         CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 19 + length(role) END AS around
+  FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars + around)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), totals AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM split GROUP BY lang
+), grams AS (
+  SELECT lang, unnest(flatten([[ws[i : i + k - 1] for i in range(1, greatest(len(ws) - k + 2, 1))] for k in [1, 2, 3, 4]])) AS p FROM split
+), counted AS (
+  SELECT lang, p, count(*)::BIGINT AS f FROM grams GROUP BY lang, p HAVING count(*) >= 30
+), cuts AS (
+  SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM counted WHERE len(p) > 1
+), scored AS (
+  SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.p = c.p[1 : c.k] JOIN counted y ON y.lang = c.lang AND y.p = c.p[c.k + 1 : ]
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, f, unnest(flatten([[p[i : i + m - 1] for i in range(1, len(p) - m + 2)] for m in range(2, len(p))])) AS p FROM counted WHERE len(p) > 2
+), longer AS (
+  SELECT lang, p, max(f) AS longest FROM inner_phrases GROUP BY lang, p
+), kept AS (
+  SELECT s.*, list_aggregate(s.p, 'string_agg', ' ') AS phrase FROM lowest s LEFT JOIN longer g ON g.lang = s.lang AND g.p = s.p
+  WHERE g.longest IS NULL OR 100::HUGEINT * g.longest < 80::HUGEINT * s.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT ranked.lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op4_url_filter": OP4, "op10_line_dedup": OP10, "op11_chat_format": OP11, "op13_collocations": OP13}
