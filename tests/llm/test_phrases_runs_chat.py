@@ -220,6 +220,7 @@ def test_phrases_agree_with_brute_force(spark, phrase_rows, monkeypatch, block):
     if block:
         monkeypatch.setattr(collocations, "BLOCK", block)
         monkeypatch.setattr(collocations, "HELD", 10)
+        monkeypatch.setattr(collocations, "WINDOW", 13)
     rows = phrase_rows if not block else [r for r in phrase_rows[:25] if r[1]]
     df = spark.createDataFrame([(k, *r, "f", 1) for k, r in enumerate(rows)], "doc_id long, lang string, text string, phrase string, n int").repartition(3)
     got = collocations.mine_phrases(df, least=6).collect()
