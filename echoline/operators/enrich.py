@@ -76,12 +76,12 @@ def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_sh
 
 def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undefined: str = "zero",
            keep_counts: bool = True, sentinel: float = SENTINEL, skew: str = "aqe",
-           noise_std: float = 0.0, noise_seed: int = 0, materialize: str = "none") -> DataFrame:
+           noise_std: float = 0.0, noise_seed: int = 0, materialize: str = "none", noise_key: list[str] | None = None) -> DataFrame:
     """Interactions + ``n_*`` counts and 64 ``TE_*`` columns of both users.
 
     Users missing from the index get ``sentinel`` in every joined column.
     ``noise_std > 0`` adds Gaussian noise to every TE column after the fill
-    (R3; also on sentinel values, as the original does).
+    (R3; also on sentinel values, as the original does), reproducible by row with ``noise_key``.
     ``materialize``: the index feeds the priors and the per-user encodings.
     ``"none"`` (default) leaves that to Spark's exchange reuse; ``"checkpoint"``
     writes the index to the shared checkpoint folder first, for an index that is
@@ -99,5 +99,25 @@ def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undef
     out = sentinel_fill(out, sentinel, subset=joined_cols)
     if noise_std > 0:
         from .regularize import gaussian_noise
-        out = gaussian_noise(out, [c for c in out.columns if c.startswith("TE_")], noise_std, noise_seed)
+        out = gaussian_noise(out, [c for c in out.columns if c.startswith("TE_")], noise_std, noise_seed, noise_key)
     return out
+
+
+def write_encodings(index: DataFrame, table: str, path: str, buckets: int | None = None, smoothing=20,
+                    undefined: str = "zero", keep_counts: bool = True) -> None:
+    """J1/J2, index side: counts and encodings of every index user as a table bucketed and sorted by
+    ``user_id``, computed and moved once.  ``buckets``: as many as shuffle partitions if left out, so
+    that a join shuffles the interactions into the table's own buckets."""
+    counts = [c for c in index.columns if c.startswith("n_")]
+    te = user_target_encodings(index, priors(index, undefined), smoothing, keep=counts if keep_counts else [])
+    n = buckets or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out by the bucket key first: one file a bucket, not one a task and bucket.
+    te.repartition(n, "user_id").write.option("path", path).bucketBy(n, "user_id").sortBy("user_id").saveAsTable(table)
+
+
+def enrich_from_table(interactions: DataFrame, table: str, sentinel: float = SENTINEL) -> DataFrame:
+    """J1 + J2 against a table of ``write_encodings``: both joins read its buckets where they are, no
+    exchange moves the index.  Users that the table lacks get ``sentinel``."""
+    te = interactions.sparkSession.table(table)
+    out = join_index(interactions, te)
+    return sentinel_fill(out, sentinel, subset=[c for c in out.columns if c.endswith(("_A", "_B")) and c.startswith(("TE_", "n_"))])

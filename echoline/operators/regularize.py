@@ -8,6 +8,8 @@ answer regardless of partitioning.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,38 @@ def mask_columns(df: DataFrame, groups: dict[str, list[str]], share: float = 0.7
     return out
 
 
-def gaussian_noise(df: DataFrame, cols: list[str], std: float, seed: int = 0) -> DataFrame:
-    """``col + N(0, std)`` independently per column (std=0 is the identity)."""
+def counter_uniforms(key: list[str], block: int, seed: int = 0) -> list[Column]:
+    """Four uniforms in (0, 1) of a row: a counter-based generator whose counter is (seed, block, row
+    key).  The same row gives the same numbers wherever and whenever it is computed."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+    h = F.md5(F.concat_ws("|", F.lit(f"u{seed}.{block}"), *parts))
+    return [(F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0) for i in range(4)]
+
+
+def counter_normals(key: list[str], block: int, seed: int = 0) -> list[Column]:
+    """Four standard normals of a row (Box-Muller on two pairs of ``counter_uniforms``)."""
+    u = counter_uniforms(key, block, seed)
+    out = []
+    for a, b in ((u[0], u[1]), (u[2], u[3])):
+        radius, angle = F.sqrt(F.lit(-2.0) * F.log(a)), F.lit(2 * math.pi) * b
+        out += [radius * F.cos(angle), radius * F.sin(angle)]
+    return out
+
+
+def gaussian_noise(df: DataFrame, cols: list[str], std: float, seed: int = 0, key: list[str] | None = None) -> DataFrame:
+    """``col + N(0, std)`` independently per column (std=0 is the identity).
+
+    With ``key`` (columns that tell rows apart) the noise comes from ``counter_normals``, one
+    hash for four columns; without, from ``randn`` by partition and position."""
     if std == 0:
         return df
-    return df.withColumns({c: F.col(c) + F.randn(seed + i) * F.lit(std) for i, c in enumerate(cols)})
+    if key is None:
+        return df.withColumns({c: F.col(c) + F.randn(seed + i) * F.lit(std) for i, c in enumerate(cols)})
+    noisy = {}
+    for block in range(0, len(cols), 4):
+        normals = counter_normals(key, block // 4, seed)
+        noisy.update({c: F.col(c) + z * F.lit(std) for c, z in zip(cols[block : block + 4], normals)})
+    return df.withColumns(noisy)
 
 
 def fit_minmax(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -67,6 +96,21 @@ def random_split(df: DataFrame, weights=(0.85, 0.15), seed: int = 0) -> list[Dat
     return df.randomSplit(list(weights), seed)
 
 
-def random_scores(df: DataFrame, targets: list[str], seed: int = 0) -> DataFrame:
-    """Uniform random score per target."""
+def random_scores(df: DataFrame, targets: list[str], seed: int = 0, key: list[str] | None = None) -> DataFrame:
+    """Uniform random score per target; with ``key`` reproducible by row (``counter_uniforms``)."""
+    if key is not None:
+        draws = {t: counter_uniforms(key, i // 4, seed)[i % 4] for i, t in enumerate(targets)}
+        return df.withColumns({f"score_{t}": u for t, u in draws.items()})
     return df.withColumns({f"score_{t}": F.rand(seed + i) for i, t in enumerate(targets)})
+
+
+def replicate_by_weight(df: DataFrame, weight: str, key: list[str], scale: float = 1.0, seed: int = 0) -> DataFrame:
+    """Rows repeated so that their expected number is ``weight * scale``, in one pass.
+
+    A row of weight w stands ``floor(w)`` times and once more with probability ``w - floor(w)``,
+    drawn from the row's key: a learner without row weights then minimises the weighted loss
+    in expectation, and a recomputed partition repeats the same rows.  Null or negative
+    weights are 0 (the row goes)."""
+    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) * F.lit(float(scale))
+    copies = (F.floor(w) + (counter_uniforms(key, 0, seed)[0] < w - F.floor(w)).cast("long")).cast("int")
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).drop("_copy")

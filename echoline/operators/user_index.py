@@ -9,6 +9,7 @@ aggregate collapses it to one row per input partition before the shuffle.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from operator import add
 
@@ -21,6 +22,52 @@ from ..schema import (ACTIONS, COMBINED_TYPES, LABEL_COLS, POST_TYPES, PROFILE_F
 from .clean import before_cutoff
 
 
+#: What a packed profile can hold: times up to 2074, counts and creation times below 2**31.
+PACKED_TIMES, PACKED_COUNTS = 3_300_000_000, 2**31
+
+
+def pack_profile(verified: str = "verified") -> Column:
+    """``(first_seen, *PROFILE_FIELDS)`` as one decimal that orders like the struct (nulls first).
+
+    A minimum over it has a buffer of fixed width, so the aggregate stays a hash aggregate; a
+    minimum over a struct sorts all rows first.  Fields out of range fail the job."""
+    def part(name: str, limit: int) -> tuple[Column, Column]:
+        c = F.col(name)
+        return F.coalesce(c + 1, F.lit(0).cast("long")), c.isNull() | ((c >= 0) & (c < limit - 1))
+
+    (seen, a), (followers, b), (following, c), (created, d) = (part("first_seen", PACKED_TIMES), *(part(x, PACKED_COUNTS) for x in ("follower_count", "following_count", "account_creation")))
+    flag = F.when(F.col(verified).isNull(), 0).when(F.col(verified), 2).otherwise(1)
+    high = (seen * PACKED_COUNTS + followers).cast("decimal(19,0)") * F.lit(Decimal(3 * 2**62))
+    low = (following * 3 + flag).cast("decimal(11,0)") * F.lit(Decimal(PACKED_COUNTS)) + created.cast("decimal(10,0)")
+    packed = (high + low).cast("decimal(38,0)")
+    return F.when(a & b & c & d, packed).otherwise(F.raise_error(F.lit("a profile field is out of range: build the index with profile='struct'")).cast("decimal(38,0)"))
+
+
+def unpack_profile(packed: str) -> dict[str, Column]:
+    """The fields of ``pack_profile``."""
+    high = F.expr(f"cast({packed} div cast({3 * 2**62} as decimal(20,0)) as bigint)")
+    rest = f"({packed} - cast({packed} div cast({3 * 2**62} as decimal(20,0)) as decimal(19,0)) * cast({3 * 2**62} as decimal(20,0)))"
+    middle, created = F.expr(f"{rest} div cast({PACKED_COUNTS} as decimal(10,0))"), F.expr(f"cast({rest} % cast({PACKED_COUNTS} as decimal(10,0)) as bigint)")
+    value = lambda c: F.when(c > 0, c - 1)
+    flag = F.pmod(middle, F.lit(3))
+    return {"first_seen": value(F.shiftright(high, 31)), "follower_count": value(F.pmod(high, F.lit(PACKED_COUNTS))),
+            "following_count": value(F.expr(f"({rest} div cast({PACKED_COUNTS} as decimal(10,0))) div 3")),
+            "verified": F.when(flag == 2, F.lit(True)).when(flag == 1, F.lit(False)), "account_creation": value(created)}
+
+
+def _earliest(profile: str) -> Column:
+    if profile == "packed":
+        return F.min(pack_profile()).alias("_p")
+    if profile == "struct":
+        return F.min(F.struct("first_seen", *PROFILE_FIELDS)).alias("_p")
+    raise ValueError(f"profile must be 'packed' or 'struct', not {profile!r}")
+
+
+def _fields(profile: str, names: list[str]) -> list[Column]:
+    found = unpack_profile("_p") if profile == "packed" else {c: F.col(f"_p.{c}") for c in names}
+    return [found[c].alias(c) for c in names]
+
+
 def _role_struct(df_role: str) -> Column:
     """One struct per (interaction, role) carrying everything the counts need."""
     r = df_role
@@ -91,7 +138,8 @@ def combined_counts(types=COMBINED_TYPES) -> dict[str, Column]:
 
 def build_user_index(interactions: DataFrame, cutoff_ts: int | None = None,
                      require_activity: str = "none", with_combined: bool = True,
-                     types=POST_TYPES, with_first_seen: bool = False, with_day_counts: bool = False) -> DataFrame:
+                     types=POST_TYPES, with_first_seen: bool = False, with_day_counts: bool = False,
+                     profile: str = "packed") -> DataFrame:
     """One row per user with profile and 40 typed counts.
 
     ``require_activity``: ``"none"`` keeps every user (layout independent);
@@ -99,19 +147,19 @@ def build_user_index(interactions: DataFrame, cutoff_ts: int | None = None,
     users with a day count (the inner day-join of the original acts as this
     semi-join).  Profile = values of the earliest row by (time, values);
     ``with_first_seen`` keeps that time so partial indexes merge exactly.
+    ``profile``: how that row is found, ``"packed"`` (``pack_profile``, no sort) or ``"struct"``
+    (any range of values, at the price of a sort).
     """
     src = before_cutoff(interactions, cutoff_ts) if cutoff_ts is not None else interactions
     rows = role_rows(src)
-    profile = F.min(F.struct("first_seen", *PROFILE_FIELDS)).alias("_p")
     active = F.count_if((F.col("role") == "a") | F.col("has_reply") | F.col("has_retweet")
                         | F.col("has_retweet_comment") | F.col("has_like")).alias("_active")
-    idx = rows.groupBy("user_id").agg(profile, active, *_count_exprs(types))
+    idx = rows.groupBy("user_id").agg(_earliest(profile), active, *_count_exprs(types))
     if require_activity == "global":
         idx = idx.filter(F.col("_active") > 0)
     elif require_activity != "none":
         raise ValueError(f"require_activity must be 'none' or 'global', not {require_activity!r}")
-    idx = idx.select("user_id", *([F.col("_p.first_seen").alias("first_seen")] if with_first_seen else []),
-                     *[F.col(f"_p.{c}").alias(c) for c in PROFILE_FIELDS],
+    idx = idx.select("user_id", *_fields(profile, [*(["first_seen"] if with_first_seen else []), *PROFILE_FIELDS]),
                      *[c for c in idx.columns if c.startswith("n_")])
     if with_combined:
         idx = idx.withColumns(combined_counts())
@@ -149,20 +197,21 @@ def merge_indexes(*indexes: DataFrame) -> DataFrame:
     return merge_partials(union, "_part")
 
 
-def merge_partials(union: DataFrame, part_col: str) -> DataFrame:
+def merge_partials(union: DataFrame, part_col: str, profile: str = "packed") -> DataFrame:
     """A6 over a long table of partial indexes tagged by ``part_col``."""
     counts = [c for c in union.columns if c.startswith("n_")]
     prof = [c for c in PROFILE_FIELDS if c in union.columns]
     has_seen = "first_seen" in union.columns
     aggs = [F.sum(F.coalesce(F.col(c), F.lit(0))).cast("bigint").alias(c) for c in counts]
     if prof and has_seen:
-        aggs.insert(0, F.min(F.struct("first_seen", *prof)).alias("_p"))
+        profile = profile if prof == PROFILE_FIELDS else "struct"
+        aggs.insert(0, _earliest(profile) if prof == PROFILE_FIELDS else F.min(F.struct("first_seen", *prof)).alias("_p"))
     elif prof:
         aggs.insert(0, F.min_by(F.struct(*prof), F.col(part_col)).alias("_p"))
     out = union.groupBy("user_id").agg(*aggs)
     if prof:
         keep = (["first_seen"] if has_seen else []) + prof
-        out = out.select("user_id", *[F.col(f"_p.{c}").alias(c) for c in keep], *counts)
+        out = out.select("user_id", *_fields(profile if has_seen else "struct", keep), *counts)
     return out
 
 

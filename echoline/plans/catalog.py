@@ -488,16 +488,60 @@ def stacked_scores(spark, sf):
 
 def noise_te(spark, sf):
     """Gaussian noise on every TE column of the training rows after the sentinel fill."""
+    from .jobs import build_training_table
     spec = _spec(noise_std=0.05, remove_user_counts=True)
-    tr, _ = _tables(spark, sf, spec)
-    return tr.select("tweet_id", "b_user_id", *[c for c in tr.columns if c.startswith("TE_")])
+    tr = build_training_table(_ix(spark, sf), spec, "train")
+    return _round_doubles(tr.select("tweet_id", "b_user_id", *[c for c in tr.columns if c.startswith("TE_")]))
 
 
 def random_scores(spark, sf):
     """Uniform random baseline scores for validation rows."""
     from ..operators.regularize import random_scores as rs
     va = clean.val_split(_ix(spark, sf), DEFAULT_SPLIT_TS).select("tweet_id", "b_user_id")
-    return rs(va, TARGETS, seed=7)
+    return _round_doubles(rs(va, TARGETS, seed=7, key=["tweet_id", "b_user_id"]))
+
+
+def balanced_class_weights(spark, sf):
+    """Class weights n / (2 n_c) of the training rows, one aggregate."""
+    from ..operators.models import balanced_weights
+    return _round_doubles(balanced_weights(clean.train_split(_labelled(spark, sf), DEFAULT_SPLIT_TS)))
+
+
+def weight_replicas(spark, sf):
+    """Training rows repeated by bin and class weight for the reply net: copies per bin and class."""
+    from ..operators.models import with_weights
+    from ..operators.regularize import replicate_by_weight
+    df = clean.train_split(_labelled(spark, sf), DEFAULT_SPLIT_TS).withColumn("bin", S.follower_bin("a_follower_count"))
+    rows = replicate_by_weight(with_weights(df, "reply"), "weight", ["tweet_id", "b_user_id", "ts"], scale=4.0, seed=3)
+    return rows.groupBy("bin", "has_reply").agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("tweet_id", "b_user_id", "ts").alias("n_rows"))
+
+
+def boosting_steps(spark, sf):
+    """L3: gradient and curvature sums per follower bin and target at the start margin, what the first tree is fit on."""
+    from ..operators.boosting import curvature, gradient
+    df = clean.train_split(_labelled(spark, sf), DEFAULT_SPLIT_TS).withColumn("bin", S.follower_bin("a_follower_count"))
+    share = df.agg(*[F.avg(F.col(f"has_{t}").cast("double")).alias(f"s_{t}") for t in TARGETS])
+    df = df.crossJoin(F.broadcast(share))  # one row
+    out = []
+    for t in TARGETS:
+        m = F.log(F.col(f"s_{t}") / (1 - F.col(f"s_{t}")))
+        out += [rnd(F.sum(gradient(F.col(f"has_{t}").cast("double"), m))).alias(f"g_{t}"), rnd(F.sum(curvature(m))).alias(f"h_{t}")]
+    return df.groupBy("bin").agg(*out)
+
+
+def continued_scores(spark, sf):
+    """L3 + L4 + F21: trees on the plain features, trained on batch by batch over the training rows (two
+    batches by hash), then validation rows scored."""
+    from ..operators.boosting import ContinuedModels
+    from ..operators.regularize import hash_split
+    from .jobs import build_training_table, feature_columns, language_dictionary
+    ix, spec = _ix(spark, sf), _spec(use_index=False)
+    codes = language_dictionary(ix)
+    tr, va = (build_training_table(ix, spec, mode, language_dict=codes) for mode in ("train", "val"))
+    parts = hash_split(tr, ["tweet_id", "b_user_id"], 0.5)
+    batches = [parts.filter(F.col("split") == s).drop("split") for s in ("train", "test")]
+    models = ContinuedModels(feature_columns(tr, "plain"), params={"depth": 3, "step": 0.3}).fit(batches, rounds_per_batch=2)
+    return models.transform(va).select("tweet_id", "b_user_id", *[f"score_{t}" for t in TARGETS])
 
 
 def streaming_user_index(spark, sf):
@@ -543,6 +587,17 @@ def enriched_skew_split(spark, sf):
     return _round_doubles(enrich.enrich(val, idx, keep_counts=True, skew="split", materialize="checkpoint"))
 
 
+def enriched_bucketed(spark, sf):
+    """J1/J2 against the index encodings as a bucketed table (must equal ``enriched_interactions``)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    ix, idx = _train_index(spark, sf)
+    name = f"encodings_{uuid.uuid4().hex}"
+    enrich.write_encodings(idx, name, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    val = clean.val_split(ix, DEFAULT_SPLIT_TS).select(*_ids(None))
+    return _round_doubles(enrich.enrich_from_table(val, name))
+
+
 def prior_baseline_metrics(spark, sf):
     """L6 + M5: the constant-prior model (train means) scored per bin on validation rows."""
     from ..operators import profiling
@@ -740,5 +795,10 @@ QUERIES = {
     "stacked_scores": stacked_scores,
     "noise_te": noise_te,
     "random_scores": random_scores,
+    "balanced_class_weights": balanced_class_weights,
+    "weight_replicas": weight_replicas,
+    "boosting_steps": boosting_steps,
+    "continued_scores": continued_scores,
+    "enriched_bucketed": enriched_bucketed,
 }
 QUERIES.update(roundtrips.QUERIES)

@@ -8,7 +8,7 @@ side; the arithmetic is restated in SQL, not shared.
 
 from __future__ import annotations
 
-from ..schema import (ACTIONS, BIN_THRESHOLDS_FINAL, COMBINED_TYPES, DEFAULT_SPLIT_TS, LABEL_COLS,
+from ..schema import (ACTIONS, BIN_THRESHOLDS_FINAL, BIN_WEIGHTS, CLASS_WEIGHTS, COMBINED_TYPES, DEFAULT_SPLIT_TS, LABEL_COLS,
                       POST_TYPES, PROFILE_FIELDS, ROLES, TARGETS, count_col)
 from ..sources.fixtures import interactions_cte
 
@@ -416,7 +416,7 @@ def _roundtrips(q: dict[str, str]) -> dict[str, str]:
     out = {
         "log_roundtrip": W + f"SELECT {', '.join(ALL_COLS)} FROM interactions",
         "user_columns_roundtrip": W + f"SELECT {', '.join(USER_CENTRIC_COLS)} FROM interactions",
-        "lines_roundtrip": W + f"SELECT tokens, {', '.join(map(text, ('hashtags', 'tweet_id', 'ts', 'a_is_verified', 'retweet_ts')))} FROM interactions",
+        "lines_roundtrip": W + f"SELECT {', '.join(map(text, ALL_COLS))} FROM interactions",
         "index_roundtrip": W + user_index_sql("interactions"),
         "predictions_roundtrip": interactions_cte(True) + "SELECT tweet_id, b_user_id AS user_id, " + ", ".join(f"score AS {t}" for t in TARGETS) + " FROM interactions",
         "dictionary_roundtrip": q["dict_language"],
@@ -430,10 +430,67 @@ def _roundtrips(q: dict[str, str]) -> dict[str, str]:
             f"row_number() OVER (ORDER BY ts, tweet_id, b_user_id, type) - 1 AS rn FROM interactions) x WHERE rn < {BATCH * FIRST}"),
     }
     out["training_table_train"] = _training_table_sql(train_pred())
+    out.update(_reproducible(q))
     return out
 
 
-def _training_table_sql(rows: str | None = None) -> str:
+def uniform_sql(key: list[str], j: int, seed: int) -> str:
+    """Uniform ``j`` of a row's counter-based generator: four to a block."""
+    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in key)
+    h = f"substr(md5(concat_ws('|', 'u{seed}.{j // 4}', {parts})), {8 * (j % 4) + 1}, 8)"
+    return f"((CAST(('0x' || {h})::UBIGINT AS DOUBLE) + 0.5) / 4294967296.0)"
+
+
+def normal_sql(key: list[str], j: int, seed: int) -> str:
+    """Standard normal ``j`` of a row by Box-Muller: a pair of uniforms gives a cosine and a sine."""
+    first = j - j % 2
+    turn = f"2 * pi() * {uniform_sql(key, first + 1, seed)}"
+    return f"(sqrt(-2.0 * ln({uniform_sql(key, first, seed)})) * {'sin' if j % 2 else 'cos'}({turn}))"
+
+
+def _reproducible(q: dict[str, str]) -> dict[str, str]:
+    """Oracles of noise, weights, boosting steps, lookups, versions, positions and streamed windows."""
+    from .roundtrips import MINI, MINI_BATCH, ROW, STREAM_LATE, STREAM_MIDDLE, lookup_ids
+    key = ["tweet_id", "b_user_id"]
+    L = _labelled_cte() + f", tr AS (SELECT *, {bin_sql('a_follower_count')} AS bin FROM interactions WHERE {train_pred()})\n"
+    row = ", ".join(ROW)
+    w = f"4.0 * ({bin_weight_sql('bin')}) * CASE WHEN has_reply THEN {CLASS_WEIGHTS['reply'][1]!r} ELSE {CLASS_WEIGHTS['reply'][0]!r} END"
+    steps = ", ".join(f"{R(f'sum(s_{t} - CAST(has_{t} AS INT))')} AS g_{t}, {R(f'sum(s_{t} * (1 - s_{t}))')} AS h_{t}" for t in TARGETS)
+    return {
+        "noise_te": _training_table_sql(train_pred(), noise=0.05),
+        "random_scores": W + f"SELECT {', '.join(key)}, " + ", ".join(f"{R(uniform_sql(key, i, 7))} AS score_{t}" for i, t in enumerate(TARGETS))
+            + f" FROM interactions WHERE {val_pred()}",
+        "balanced_class_weights": L + "SELECT " + ", ".join(
+            f"{R(f'count(*) / (2.0 * nullif(count_if({n}has_{t}), 0))')} AS w_{t}_{k}" for t in TARGETS for k, n in ((0, 'NOT '), (1, ''))) + " FROM tr",
+        "weight_replicas": L + (
+            f", wt AS (SELECT *, {w} AS w, {uniform_sql(['tweet_id', 'b_user_id', 'ts'], 0, 3)} AS u FROM tr), "
+            "c AS (SELECT *, CAST(floor(w) AS BIGINT) + CASE WHEN u < w - floor(w) THEN 1 ELSE 0 END AS k FROM wt)\n"
+            "SELECT bin, has_reply, CAST(sum(k) AS BIGINT) AS copies, CAST(count(DISTINCT (tweet_id, b_user_id, ts)) AS BIGINT) AS n_rows "
+            "FROM c WHERE k > 0 GROUP BY bin, has_reply"),
+        "boosting_steps": L + ", s AS (SELECT " + ", ".join(f"avg(CAST(has_{t} AS DOUBLE)) AS s_{t}" for t in TARGETS)
+            + f" FROM tr)\nSELECT bin, {steps} FROM tr CROSS JOIN s GROUP BY bin",
+        "enriched_bucketed": q["enriched_interactions"],
+        "user_point_lookup": f"SELECT * FROM ({q['user_index']}) x WHERE user_id IN (" + ", ".join(uid(f"'{u}'") for u in lookup_ids()) + ")",
+        "additive_features": W + (
+            f"SELECT CAST(row_number() OVER (ORDER BY {row}) AS BIGINT) AS row_id, tweet_id, {R('ln(abs(a_follower_count) + 1)')} AS a_followers, "
+            f"{R('ln(1 + len(string_split(tokens, chr(9))))')} AS bert_token_len, CAST(length(tokens) AS BIGINT) AS token_chars FROM interactions"),
+        "minibatch_ids": W + (
+            f"SELECT {row}, CAST(floor(rn / {MINI_BATCH}) AS BIGINT) AS batch_id, CAST(floor((rn % {MINI_BATCH}) / {MINI}) AS BIGINT) AS minibatch_id "
+            f"FROM (SELECT *, row_number() OVER (ORDER BY {row}) - 1 AS rn FROM interactions) x"),
+        # A row is late if its window had ended, two days back from the latest event, before its folder came in.
+        "stream_day_windows": (
+            f"WITH ev AS (SELECT user_id, floor(epoch(ts)) AS s, floor(epoch(ts) / 86400) * 86400 AS day, event_id % {STREAM_LATE} = 0 AS last_folder FROM events), "
+            "marks AS (SELECT max(s) FILTER (NOT last_folder) - 172800 AS before, max(s) - 172800 AS after FROM ev)\n"
+            "SELECT user_id, CAST(day AS BIGINT) AS day_start, CAST(count(*) AS BIGINT) AS n FROM ev CROSS JOIN marks "
+            "WHERE NOT (last_folder AND day + 86400 <= before) AND day + 86400 <= after GROUP BY user_id, day"),
+    }
+
+
+def bin_weight_sql(c: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {k} THEN {v!r}" for k, v in BIN_WEIGHTS.items()) + " END"
+
+
+def _training_table_sql(rows: str | None = None, noise: float | None = None) -> str:
     te_names = [f"TE_{slot(*s)}" for s in te_slots()]
     tcase = "CASE type WHEN 'Retweet' THEN 0 WHEN 'Quote' THEN 1 WHEN 'Reply' THEN 2 WHEN 'TopLevel' THEN 3 END"
     sel = ["v.tweet_id", "v.b_user_id", "a_follower_count", "a_following_count", "a_is_verified", "b_follower_count",
@@ -456,8 +513,12 @@ def _training_table_sql(rows: str | None = None) -> str:
             f"{R(ratio('b_follower_count', 'a_follower_count'))} AS b_a_follower_ratio",
             f"{R(ratio('a_following_count', 'b_following_count'))} AS a_b_following_ratio",
             f"{R(ratio('b_following_count', 'a_following_count'))} AS b_a_following_ratio"]
-    for side, al in (("A", "ta"), ("B", "tb")):
-        sel += [R(f"coalesce({al}.{c}, -10.0)") + f" AS {c}_{side}" for c in te_names]
+    if noise:
+        sel = sel[:2]
+    for k, (side, al) in enumerate((("A", "ta"), ("B", "tb"))):
+        for j, c in enumerate(te_names):
+            added = f" + {noise} * {normal_sql(['v.tweet_id', 'v.b_user_id'], k * len(te_names) + j, 0)}" if noise else ""
+            sel.append(R(f"coalesce({al}.{c}, -10.0){added}") + f" AS {c}_{side}")
     return (W + f", tr AS (SELECT * FROM interactions WHERE {train_pred()}),\n"
             f"idx AS ({user_index_sql('tr')}),\npr AS ({priors_sql('idx')}),\nte AS ({te_sql('idx', 'pr')}),\n"
             "d AS (SELECT language AS value, CAST(dense_rank() OVER (ORDER BY language) - 1 AS BIGINT) AS code "

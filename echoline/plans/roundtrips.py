@@ -3,6 +3,7 @@ sinks, below the shared checkpoint folder, and read them back with its readers."
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ def user_columns_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def lines_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """The log as untyped lines; a null field is an empty string."""
-    return readers.read_lines(spark, _log(spark, sf)).select("tokens", "hashtags", "tweet_id", "ts", "a_is_verified", "retweet_ts")
+    return readers.read_lines(spark, _log(spark, sf)).select(*ALL_COLS)
 
 
 def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,5 +86,61 @@ def first_batches_rows(spark: SparkSession, sf: str) -> DataFrame:
     return readers.first_batches(batched, FIRST)
 
 
+LOOKUP = ("1", "12", "123")
+MINI_BATCH, MINI = 4000, 256
+ROW = ["ts", "tweet_id", "b_user_id", "type"]
+STREAM_MIDDLE, STREAM_LATE = "2024-01-16 00:00:00", 10
+
+
+def lookup_ids() -> list[str]:
+    """Ids of three consumers of the view, known without reading it."""
+    return [hashlib.md5(k.encode()).hexdigest().upper() for k in LOOKUP]
+
+
+def user_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """the index rows of literal users, read from the sorted index with its Bloom filters."""
+    from .catalog import _index_out
+    path = _path(spark, "index")
+    sinks.write_index(user_index.build_user_index(interactions(spark, sf)), path)
+    return _index_out(readers.lookup_users(spark, path, lookup_ids()))
+
+
+def additive_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Log features published, then text features added as a version of their own, and read back together."""
+    from ..functions import scalar as S
+    from ..operators.ranking import global_row_index
+    from .catalog import rnd
+    df = global_row_index(interactions(spark, sf), ROW, "row_id", start=1)
+    out = sinks.VersionedOutput(spark, _path(spark, "features"), "row_id")
+    first = df.select("row_id", "tweet_id", rnd(S.save_log("a_follower_count")).alias("a_followers"))
+    out.publish(first)
+    out.add_columns(df.select("row_id", "tweet_id", rnd(S.token_len_log("tokens")).alias("bert_token_len"), S.text_length("tokens").alias("token_chars")))
+    return out.read()
+
+
+def minibatch_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches and minibatches by file position of interactions that were written in order."""
+    path = _path(spark, "ordered")
+    df = interactions(spark, sf).select(*ROW)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, *ROW).sortWithinPartitions(*ROW).write.parquet(path)
+    rows = readers.with_batches(readers.with_file_position(spark.read.parquet(path)), MINI_BATCH)
+    return readers.with_minibatches(rows, MINI).select(*ROW, "batch_id", "minibatch_id")
+
+
+def stream_day_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events come in as three folders (two by time, the last with late rows); one streaming run after each."""
+    from ..streaming.index_stream import run_windowed_counts
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts")
+    middle = F.lit(STREAM_MIDDLE).cast(events.schema["ts"].dataType)
+    late = F.pmod(F.col("event_id"), F.lit(STREAM_LATE)) == 0
+    base = _path(spark, "t3")
+    for k, rows in enumerate((~late & (F.col("ts") < middle), ~late & (F.col("ts") >= middle), late)):
+        events.where(rows).select("user_id", "ts").write.parquet(f"{base}/in/part{k}")
+        run_windowed_counts(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", events.select("user_id", "ts").schema)
+    return spark.read.parquet(f"{base}/out")
+
+
 QUERIES = {f.__name__: f for f in (log_roundtrip, user_columns_roundtrip, lines_roundtrip, index_roundtrip,
-                                   predictions_roundtrip, dictionary_roundtrip, stats_roundtrip, first_batches_rows)}
+                                   predictions_roundtrip, dictionary_roundtrip, stats_roundtrip, first_batches_rows,
+                                   user_point_lookup, additive_features, minibatch_ids, stream_day_windows)}

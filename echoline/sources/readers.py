@@ -48,11 +48,25 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+def lookup_users(spark: SparkSession, path: str, user_ids: list[str]) -> DataFrame:
+    """rows of an index of ``sinks.write_index`` for literal hex ids.  The keys are literals in the
+    filter, so Parquet skips files and row groups by their key range and Bloom filter."""
+    keys = [int(u[-16:], 16) for u in user_ids]
+    signed = [k - 2**64 if k >= 2**63 else k for k in keys]
+    return spark.read.parquet(path).where(F.col("user_id").isin(signed) if len(signed) != 1 else F.col("user_id") == signed[0])
+
+
 def with_source_file(df: DataFrame) -> DataFrame:
     """Attach the part-file name (``_metadata``) for file-level operators."""
     return df.withColumn("source_file", F.col("_metadata.file_name"))
 
 
+def with_file_position(df: DataFrame) -> DataFrame:
+    """``source_file`` and ``row_in_file`` of each row of a Parquet scan: a position that does not depend on
+    how the files are split into partitions."""
+    return df.withColumns({"source_file": F.col("_metadata.file_name"), "row_in_file": F.col("_metadata.row_index")})
+
+
 def file_order(df_with_file: DataFrame, seed: int | None = None) -> DataFrame:
     """Part files in name order, or a seeded random order (hash rank)."""
     files = df_with_file.select("source_file").distinct()
@@ -63,8 +77,11 @@ def file_order(df_with_file: DataFrame, seed: int | None = None) -> DataFrame:
 
 def with_batches(df: DataFrame, batch_size: int, order: list | None = None) -> DataFrame:
     """Batch id from a global row number (re-batching across file borders
-    without moving rows through one task)."""
+    without moving rows through one task).  Rows go by ``order``, else by their file
+    position (``with_file_position``), else by their place in the Spark partition."""
     from ..operators.ranking import global_row_index
+    if order is None:
+        order = _position(df)
     if order is None:
         df = df.withColumn("_row_in_file", F.monotonically_increasing_id())
         order = ([F.col("source_file")] if "source_file" in df.columns else []) + [F.col("_row_in_file")]
@@ -77,10 +94,16 @@ def first_batches(df_batched: DataFrame, n: int) -> DataFrame:
     return df_batched if n < 0 else df_batched.filter(F.col("batch_id") < n)
 
 
-def with_minibatches(df_batched: DataFrame, size: int) -> DataFrame:
-    """Second-level slice id inside each batch (by global row order)."""
+def _position(df: DataFrame) -> list | None:
+    return [F.col("source_file"), F.col("row_in_file")] if {"source_file", "row_in_file"} <= set(df.columns) else None
+
+
+def with_minibatches(df_batched: DataFrame, size: int, order: list | None = None) -> DataFrame:
+    """Second-level slice id inside each batch.  Rows go by ``order``, else by their file position
+    (the same ids under any partitioning), else by their place in the Spark partition."""
     from ..operators.ranking import global_row_index
-    r = global_row_index(df_batched, [F.col("batch_id"), F.monotonically_increasing_id()], "_rn")
+    order = order or _position(df_batched) or [F.monotonically_increasing_id()]
+    r = global_row_index(df_batched, [F.col("batch_id"), *order], "_rn")
     start = r.groupBy("batch_id").agg(F.min("_rn").alias("_start"))
     return r.join(start, "batch_id").withColumn("minibatch_id", F.floor((F.col("_rn") - F.col("_start")) / size).cast("bigint")) \
         .drop("_rn", "_start")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,11 @@ def write_columns(df: DataFrame, path: str, cols: list[str], mode: str = "errori
 
 def write_index(index: DataFrame, path: str, num_partitions: int | None = None, mode: str = "overwrite") -> None:
     """K3: user index range-partitioned and sorted by key, so readers can
-    merge-join or prune by ``user_id`` ranges."""
+    merge-join or prune by ``user_id`` ranges; a Bloom filter a row group answers
+    lookups of keys inside a range that are not there (``readers.lookup_users``)."""
     n = num_partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index.repartitionByRange(n, "user_id").sortWithinPartitions("user_id").write.mode(mode).parquet(path)
+    index.repartitionByRange(n, "user_id").sortWithinPartitions("user_id").write.mode(mode) \
+        .option("parquet.bloom.filter.enabled#user_id", "true").parquet(path)
 
 
 def write_index_bucketed(index: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
@@ -87,6 +90,92 @@ def versioned_path(base: str, version: str | None = None) -> str:
     return f"{base}/v={version or time.strftime('%Y%m%dT%H%M%S')}"
 
 
+class VersionedOutput:
+    """A folder of output versions and one small pointer file that names the current one.
+
+    ``publish`` writes a new version beside the old ones and then replaces the pointer by a rename,
+    so readers see the old output until the new one is whole, and a failed write changes nothing.
+    ``add_columns`` writes only columns that are not there yet; the pointer says which version has
+    which columns, and ``read`` joins them on the row key.  Old versions stay as the archive
+    (``versions``); files go through Hadoop's file system, so any store that Spark writes to will do."""
+
+    POINTER = "current.json"
+
+    def __init__(self, spark: SparkSession, base: str, key: str):
+        self.spark, self.base, self.key = spark, base.rstrip("/"), key
+
+    def _fs(self, path: str):
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf), p
+
+    def current(self) -> list[dict]:
+        """The current parts: ``path`` and ``columns`` of each; empty before the first ``publish``."""
+        fs, p = self._fs(f"{self.base}/{self.POINTER}")
+        if not fs.exists(p):
+            return []
+        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.base}/{self.POINTER}").collect()))
+
+    def versions(self) -> list[str]:
+        """All versions that were written whole, oldest first."""
+        fs, p = self._fs(self.base)
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted(n for n in names if n.startswith("v=") and self._whole(n))
+
+    def _whole(self, name: str) -> bool:
+        fs, p = self._fs(f"{self.base}/{name}/_SUCCESS")
+        return fs.exists(p)
+
+    def _write(self, df: DataFrame) -> str:
+        name = f"v={time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.base}/{name}")
+        return name
+
+    def _point(self, parts: list[dict]) -> None:
+        from pyspark.errors import PySparkRuntimeError
+        fs, new = self._fs(f"{self.base}/next-{uuid.uuid4().hex}.json")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
+        overwrite = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = overwrite
+        try:
+            context.rename(new, self._fs(f"{self.base}/{self.POINTER}")[1], options)
+        except Exception as error:
+            raise PySparkRuntimeError(f"the pointer of {self.base} could not be replaced; its old version stays current") from error
+
+    def publish(self, df: DataFrame) -> None:
+        """A new version of all columns; it becomes current once it is written."""
+        self._point([{"path": self._write(df), "columns": [c for c in df.columns if c != self.key]}])
+
+    def add_columns(self, df: DataFrame) -> list[str]:
+        """Write the columns of ``df`` (with the key) that no part has yet; returns their names."""
+        parts = self.current()
+        have = {c for part in parts for c in part["columns"]}
+        new = [c for c in df.columns if c != self.key and c not in have]
+        if new:
+            self._point([*parts, {"path": self._write(df.select(self.key, *new)), "columns": new}])
+        return new
+
+    def read(self, columns: list[str] | None = None) -> DataFrame:
+        """The current columns (or some of them), joined on the key; only the parts that are needed are read."""
+        parts = self.current()
+        if not parts:
+            raise FileNotFoundError(f"nothing was published below {self.base}")
+        wanted = columns or [c for part in parts for c in part["columns"]]
+        out = None
+        for part in parts:
+            names = [c for c in part["columns"] if c in wanted]
+            if names:
+                df = self.spark.read.parquet(f"{self.base}/{part['path']}").select(self.key, *names)
+                out = df if out is None else out.join(df, self.key)
+        return out.select(self.key, *wanted)
+
+
 def missing_columns(spark: SparkSession, path: str, wanted: list[str]) -> list[str]:
     """Columns not yet stored (additive mode skips the rest)."""
     try:

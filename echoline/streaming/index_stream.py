@@ -95,3 +95,17 @@ def windowed_day_counts(events: DataFrame, ts_col: str = "ts", user_col: str = "
     return (events.withColumn("_event_time", F.timestamp_seconds(secs)).withWatermark("_event_time", watermark)
             .groupBy(F.col(user_col), F.window("_event_time", "1 day")).agg(F.count(F.lit(1)).alias("n"))
             .select(user_col, F.unix_seconds(F.col("window.start")).alias("day_start"), F.col("n").cast("bigint")))
+
+
+def run_windowed_counts(spark: SparkSession, src_path: str, out_path: str, checkpoint: str, schema, ts_col: str = "ts",
+                        user_col: str = "user_id", watermark: str = "2 days") -> None:
+    """T3 on a stream: day windows over the files that have come in below ``src_path`` since the last run.
+
+    The state store holds open windows only: a window is written once the watermark (the latest
+    event time seen, less ``watermark``) has passed its end, and rows of windows that had closed
+    before the run are late and dropped.  Call it again when more files have come: the checkpoint
+    has the state and the watermark."""
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src_path)
+    query = (windowed_day_counts(events, ts_col, user_col, watermark).writeStream.outputMode("append").format("parquet")
+             .option("path", out_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()

@@ -26,4 +26,4 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(E.oracle_sql())
-    assert rows_only <= {"gbt_scores", "rf_importance", "stacked_scores", "noise_te", "random_scores"}
+    assert rows_only <= {"gbt_scores", "rf_importance", "stacked_scores", "continued_scores"}
