@@ -123,7 +123,8 @@ def _join(values: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """All columns of ``docs`` but text, and: n_tokens, ids (decimal, joined by commas), decoded (the text the ids stand for).
 
-    Null and empty texts have no ids.  Texts of any length are encoded whole; repeated rows each give a row.
+    Null and empty texts have no ids.  Texts of any length are encoded whole; repeated rows each give a
+    row, an empty table none.  Columns of ``docs`` that have one of these names are replaced.
     """
 
     def make():
@@ -139,7 +140,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         return work
 
-    return map_texts(docs, "text", make, "n_tokens long, ids string, decoded string")
+    return map_texts(docs.drop("n_tokens", "ids", "decoded"), "text", make, "n_tokens long, ids string, decoded string")
 
 
 def digest_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -158,4 +159,4 @@ def digest_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         return work
 
-    return map_texts(docs, "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs.drop("n_tokens", "ids_sha256", "decoded_sha256"), "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string")

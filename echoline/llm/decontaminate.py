@@ -140,6 +140,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def remove_overlapping(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without documents that overlap a benchmark item; rows with a null doc_id stay."""
-    found = find_overlaps(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without documents that overlap a benchmark item.
+
+    Each row is judged by its own text, whatever its doc_id: rows with a null doc_id go like others,
+    and of rows with one doc_id and unlike texts only those that overlap.  Copies share a verdict.
+    Null and empty texts stay.  Columns pass through as they are, whatever their names.
+    """
+    key = F.struct(F.xxhash64("text").alias("ra"), F.xxhash64(F.lit(1), F.col("text")).alias("rb"))
+    found = find_overlaps(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("_gone")).distinct()
+    keyed = docs.withColumn("_text_key", key)
+    return keyed.join(found, keyed["_text_key"] == found["_gone"], "left_anti").select(*docs.columns)

@@ -11,11 +11,13 @@ Sizes are taken in bands: a signature belongs to the band of the larger set,
 and a set is also entered in the next band if a larger partner can lie there.
 
 What follows needs no list of all pairs.  Equal sets are one class.  In a
-bucket (the classes with one signature) every class is compared with the first
-one only; components of these links come next; last, classes outside the first
-one's component are compared with those of other components.  So groups of
-near copies cost their size, and yet no link that could join two components is
-left out.  Before texts are compared, a bit sketch discards pairs that differ
+bucket (the classes with one signature) every class is compared with one pivot
+only, and components of these links come next.  Pivots differ from bucket to
+bucket (one of ``ORDERS`` orders of the classes gives them), and buckets that are
+not one component yet get new ones in ``ROUNDS`` rounds: a class of a group of near
+copies then misses its group only if it is unlike all of them.  What is apart even
+so is compared with the other components of its bucket.  So groups of near copies
+cost their size, and yet no link that could join two components is left out.  Before texts are compared, a bit sketch discards pairs that differ
 too much: a bit flips for each differing element, so it never discards a link.
 """
 
@@ -37,8 +39,11 @@ from echoline.llm.components import connected_components
 GROWTH = 1.25
 SKETCH_WORDS = 8
 SKETCH = [f"w{k}" for k in range(SKETCH_WORDS)]
+#: Orders of the classes that pivots are taken by in a round, and rounds.
+ORDERS, ROUNDS = 4, 3
 #: Documents whose sets are fetched by a broadcast of their ids; more are fetched by a shuffle.
 MAX_BROADCAST = 1_000_000
+LAST_ID = (1 << 63) - 1
 _SPLIT = bytes(range(9, 14)) + b" "
 
 
@@ -49,6 +54,11 @@ class Similarity:
     words: int = 5
     percent: int = 80
 
+    def __post_init__(self):
+        # A set is entered in its own band and the next: no partner may lie beyond that.
+        if not 100 >= self.percent >= 100 / GROWTH or self.words < 1:
+            raise ValueError(f"percent must lie between {100 / GROWTH:g} and 100 and words be 1 or more")
+
     def most_differing(self, total: int) -> int:
         """Most elements in which two sets with ``total`` elements together may differ."""
         return (100 - self.percent) * total // (100 + self.percent)
@@ -170,23 +180,28 @@ def _each_text(batches: Iterator[pa.RecordBatch], how: Similarity):
             yield ids[at], shingle_set(batch.column(1)[at].as_py(), how.words)
 
 
+def text_hashes() -> list[Column]:
+    """What tells a text from others: ra and rb."""
+    return [F.xxhash64("text").alias("ra"), F.xxhash64(F.lit(1), F.col("text")).alias("rb")]
+
+
 def text_sets(docs: DataFrame, how: Similarity) -> DataFrame:
-    """(doc_id, n_shingles, a, b, w0..): size, 128-bit hash and sketch of each document's set."""
+    """(doc_id, ra, rb, n_shingles, a, b, w0..): row key, size, 128-bit hash and sketch of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, hashes, sketches = [], [], np.zeros((batch.num_rows, SKETCH_WORDS), np.int64)
-            for k, text in enumerate(batch.column(1)):
+            for k, text in enumerate(batch.column(3)):
                 s = shingle_set(text.as_py(), how.words)
                 sizes.append(len(s))
                 hashes.append(set_hash(s) if len(s) else None)
                 sketches[k] = sketch(s)
             a = [None if h is None else int.from_bytes(h[:8], "little", signed=True) for h in hashes]
             b = [None if h is None else int.from_bytes(h[8:], "little", signed=True) for h in hashes]
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(x)) for x in sketches.T], ["doc_id", "n_shingles", "a", "b", *SKETCH])
+            columns = [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(x)) for x in sketches.T], ["doc_id", "ra", "rb", "n_shingles", "a", "b", *SKETCH])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, a long, b long, " + ", ".join(f"{w} long" for w in SKETCH))
+    return arrow_map(docs.select("doc_id", *text_hashes(), "text"), run, "doc_id long, ra long, rb long, n_shingles long, a long, b long, " + ", ".join(f"{w} long" for w in SKETCH))
 
 
 def _signature_rows(docs: DataFrame, how: Similarity) -> DataFrame:
@@ -221,8 +236,13 @@ def _signature_rows(docs: DataFrame, how: Similarity) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "sig long, a long")
 
 
+def _place(a: str, turn: int) -> Column:
+    """A class's place in the order that its bucket (sig) goes by in a round."""
+    return F.xxhash64(F.col(a), F.pmod(F.col("sig"), F.lit(ORDERS)) + ORDERS * turn)
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
-    """(sig, first, a): the buckets with two classes or more; first: the smallest class of the bucket.
+    """(sig, first, a): the buckets with two classes or more; first: the pivot, first of the bucket in its order.
     Rows are dealt by signature and sorted, then read once in passing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +276,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
             waiting = sizes[tail] == 1 and (tail > 0 or waiting)
             sig0, first0, last0 = s[-1], first[-1], x[-1]
 
-    return arrow_map(rows.repartition("sig").sortWithinPartitions("sig", "a"), run, "sig long, first long, a long")
+    return arrow_map(rows.repartition("sig").sortWithinPartitions("sig", _place("a", 0), "a"), run, "sig long, first long, a long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity, wide: bool) -> DataFrame:
@@ -321,9 +341,15 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
       linked to a row with one.
     * Columns besides doc_id and text are not looked at.  An empty table gives an empty result.
     """
+    return grouped_rows(docs, how).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped_rows(docs: DataFrame, how: Similarity) -> DataFrame:
+    """As ``similar_groups``, and each row's key (doc_id, ra, rb) and its group's first row: first.k
+    (the doc_id, null as ``LAST_ID``), first.ra, first.rb; null for rows without words."""
     rows = store(text_sets(docs, how), "sets")
     same = [F.max(w).alias(w) for w in SKETCH]
-    classes = store(rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), *same), "classes")
+    classes = store(rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.min(_row()).alias("row"), F.max("n_shingles").alias("n"), *same), "classes")
     # Buckets know classes by half of the hash; should two have that half in common (64 bits), one stands for both.
     brief = classes.groupBy("a").agg(F.min("rep").alias("doc_id"), F.max("n").alias("n"), *same)
     buckets = store(_buckets(_signature_rows(docs, how)), "buckets")
@@ -334,31 +360,51 @@ def similar_groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame
     links = _verified(docs, near, brief, how, "near")
 
     roots = connected_components(links)
-    labelled = buckets.join(roots, buckets["a"] == roots["node"], "left").select("sig", "first", "a", F.coalesce("root", "a").alias("root"))
-    heads = labelled.where("a = first").select("sig", F.col("root").alias("head")).distinct()
-    split = labelled.join(heads, "sig")
-    # Buckets that are not one component yet: what hangs elsewhere than the first class, against all.
-    apart = split.where("root <> head").select("sig").distinct()
-    members = store(split.join(apart, "sig").join(brief, "a").select("sig", "a", "root", "head", "n", *SKETCH), "open")
+    for turn in range(1, ROUNDS + 1):
+        labelled = buckets.join(roots, buckets["a"] == roots["node"], "left").select("sig", "a", F.coalesce("root", "a").alias("root"))
+        heads = labelled.groupBy("sig").agg(F.min(F.struct(_place("a", turn), "a", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
+        # Buckets that are not one component yet.
+        apart = heads.where("low < high").select("sig", F.col("p.a").alias("pivot"), F.col("p.root").alias("head"))
+        members = store(labelled.join(apart, "sig").join(brief, "a").select("sig", "a", "root", "pivot", "head", "n", *SKETCH), "open")
+        if turn == ROUNDS or members.isEmpty():
+            break
+        x = members.where("root <> head").alias("x")
+        again = x.join(brief.alias("y"), (F.col("y.a") == F.col("x.pivot")) & _may_link(how)).select(F.col("x.pivot").alias("a"), F.col("x.a").alias("b")).distinct()
+        links = store(links.unionByName(_verified(docs, again, brief, how, "again")), "links")
+        roots = connected_components(links)
+    # What hangs elsewhere than the pivot, against all other components of the bucket.
     x, y = members.where("root <> head").alias("x"), members.alias("y")
     cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & _may_link(how))
     cross = cross.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
     links = links.unionByName(_verified(docs, cross, brief, how, "cross"))
 
     roots = connected_components(links)
-    linked = classes.join(roots, classes["a"] == roots["node"], "left").select("a", "b", "rep", F.coalesce("root", "a").alias("root"))
+    linked = classes.join(roots, classes["a"] == roots["node"], "left").select("a", "b", "rep", "row", F.coalesce("root", "a").alias("root"))
     # A class that no link touches is its own group, by its whole hash.
     lone = F.when(F.col("root") == F.col("a"), F.col("b"))
     touched = roots.select("root").distinct().withColumnRenamed("root", "hub")
     linked = linked.join(touched, linked["root"] == touched["hub"], "left").withColumn("own", F.when(F.col("hub").isNull(), lone))
-    groups = linked.groupBy("root", "own").agg(F.min("rep").alias("component_id"))
-    named = linked.alias("l").join(groups.alias("g"), (F.col("l.root") == F.col("g.root")) & F.col("l.own").eqNullSafe(F.col("g.own"))).select("l.a", "l.b", "g.component_id")
-    full = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "a", "b").join(named, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    groups = linked.groupBy("root", "own").agg(F.min("rep").alias("component_id"), F.min("row").alias("first"))
+    named = linked.alias("l").join(groups.alias("g"), (F.col("l.root") == F.col("g.root")) & F.col("l.own").eqNullSafe(F.col("g.own"))).select("l.a", "l.b", "g.component_id", "g.first")
+    names = ["doc_id", "ra", "rb", "n_shingles", "component_id", "first"]
+    full = rows.where("n_shingles > 0").select("doc_id", "ra", "rb", "n_shingles", "a", "b").join(named, ["a", "b"]).select(*names)
+    none = F.lit(None).cast(full.schema["first"].dataType).alias("first")
+    empty = rows.where("n_shingles = 0").select("doc_id", "ra", "rb", "n_shingles", F.col("doc_id").alias("component_id"), none)
     return full.unionByName(empty)
 
 
+def _row() -> Column:
+    return F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), "ra", "rb")
+
+
 def keep_one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """``docs`` with the document with the smallest doc_id of each group; rows with a null doc_id stay."""
-    gone = similar_groups(docs, how).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with the first document of each group, by doc_id (null: last) and then by its text's hash.
+
+    Verdicts hold for rows, not for ids: of rows with one doc_id and unlike texts each is judged
+    by its own text, and rows with a null doc_id are judged like others.  Rows that have the
+    same doc_id and the same text are one document and stay or go together.  Documents without
+    words stay.  Columns pass through as they are, whatever their names.
+    """
+    gone = grouped_rows(docs, how).select(_row().alias("_row"), "first").where("_row <> first").select(F.col("_row").alias("_gone")).distinct()
+    keyed = docs.withColumn("_row", F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), *text_hashes()))
+    return keyed.join(gone, keyed["_row"] == gone["_gone"], "left_anti").select(*docs.columns)
