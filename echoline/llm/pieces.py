@@ -34,6 +34,10 @@ def load_tokenizer(path: str):
     return t
 
 
+#: Pieces that are handed to the tokenizer at once.
+BATCH = 2_000
+
+
 class Recent:
     """A mapping of bounded size: when the young half is full the old half is forgotten."""
 
@@ -74,7 +78,7 @@ class PieceEncoder:
         return cls._kept[key]
 
     def lookup(self, pieces: set[str]) -> dict:
-        """The values of all pieces; those not kept are encoded in one batch."""
+        """The values of all pieces; those not kept are encoded."""
         found, missing, get = {}, [], self.cache.get
         for p in pieces:
             v = get(p)
@@ -82,9 +86,10 @@ class PieceEncoder:
                 missing.append(p)
             else:
                 found[p] = v
-        if missing:
-            made = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            for p, v in zip(missing, self.finish([e.ids for e in made], self.tokenizer)):
+        for at in range(0, len(missing), BATCH):  # what the library makes of a batch is far larger than its ids
+            part = missing[at : at + BATCH]
+            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            for p, v in zip(part, self.finish([e.ids for e in made], self.tokenizer)):
                 found[p] = v
                 self.cache.put(p, v)
         return found
