@@ -450,7 +450,7 @@ def normal_sql(key: list[str], j: int, seed: int) -> str:
 
 def _reproducible(q: dict[str, str]) -> dict[str, str]:
     """Oracles of noise, weights, boosting steps, lookups, versions, positions and streamed windows."""
-    from .roundtrips import MINI, MINI_BATCH, ROW, STREAM_LATE, STREAM_MIDDLE, lookup_ids
+    from .roundtrips import MINI, MINI_BATCH, ROW, STREAM_LATE, STREAM_MIDDLE, VERSIONED, lookup_ids
     key = ["tweet_id", "b_user_id"]
     L = _labelled_cte() + f", tr AS (SELECT *, {bin_sql('a_follower_count')} AS bin FROM interactions WHERE {train_pred()})\n"
     row = ", ".join(ROW)
@@ -472,7 +472,7 @@ def _reproducible(q: dict[str, str]) -> dict[str, str]:
         "enriched_bucketed": q["enriched_interactions"],
         "user_point_lookup": f"SELECT * FROM ({q['user_index']}) x WHERE user_id IN (" + ", ".join(uid(f"'{u}'") for u in lookup_ids()) + ")",
         "additive_features": W + (
-            f"SELECT CAST(row_number() OVER (ORDER BY {row}) AS BIGINT) AS row_id, tweet_id, {R('ln(abs(a_follower_count) + 1)')} AS a_followers, "
+            f"SELECT CAST(row_number() OVER (ORDER BY {', '.join(VERSIONED)}) AS BIGINT) AS row_id, tweet_id, {R('ln(abs(a_follower_count) + 1)')} AS a_followers, "
             f"{R('ln(1 + len(string_split(tokens, chr(9))))')} AS bert_token_len, CAST(length(tokens) AS BIGINT) AS token_chars FROM interactions"),
         "minibatch_ids": W + (
             f"SELECT {row}, CAST(floor(rn / {MINI_BATCH}) AS BIGINT) AS batch_id, CAST(floor((rn % {MINI_BATCH}) / {MINI}) AS BIGINT) AS minibatch_id "

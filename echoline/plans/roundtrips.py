@@ -89,6 +89,7 @@ def first_batches_rows(spark: SparkSession, sf: str) -> DataFrame:
 LOOKUP = ("1", "12", "123")
 MINI_BATCH, MINI = 4000, 256
 ROW = ["ts", "tweet_id", "b_user_id", "type"]
+VERSIONED = [*ROW, "a_follower_count", "tokens"]  # rows that tie have equal features
 STREAM_MIDDLE, STREAM_LATE = "2024-01-16 00:00:00", 10
 
 
@@ -110,7 +111,7 @@ def additive_features(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions import scalar as S
     from ..operators.ranking import global_row_index
     from .catalog import rnd
-    df = global_row_index(interactions(spark, sf), ROW, "row_id", start=1)
+    df = global_row_index(interactions(spark, sf), VERSIONED, "row_id", start=1)
     out = sinks.VersionedOutput(spark, _path(spark, "features"), "row_id")
     first = df.select("row_id", "tweet_id", rnd(S.save_log("a_follower_count")).alias("a_followers"))
     out.publish(first)
