@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -543,16 +544,95 @@ def test_rejection_is_by_row(spark):
     assert sorted(got) == sorted((k or 0, t) for k, t, _ in clean)
 
 
-def test_probabilities_sum_to_one():
+def brute_kneser_ney(texts, width):
+    """Interpolated Kneser-Ney as in textbooks, with dictionaries: a function (context, symbol) -> probability."""
+    top = Counter()
+    for t in texts:
+        s = [0, 0, *language_id.symbols(t).tolist()]
+        top.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+    by = {4: top}
+    for n in (3, 2, 1):
+        by[n] = Counter(g[1:] for g in by[n + 1])
+    cut = {}
+    for n, c in by.items():
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        cut[n] = once / (once + 2 * twice) if once else 0.5
+
+    def p(context, symbol):
+        n = len(context) + 1
+        lower = p(context[1:], symbol) if n > 1 else 1 / width
+        after = [v for g, v in by[n].items() if g[:-1] == context]
+        if not after:
+            return lower
+        c = by[n].get((*context, symbol), 0)
+        return max(c - cut[n], 0) / sum(after) + cut[n] * len(after) / sum(after) * lower
+
+    return p
+
+
+def tables_of(texts, width):
     import pandas as pd
 
-    rng = np.random.default_rng(0)
-    s = rng.integers(0, 6, 3000).astype(np.uint32)
-    g, n = np.unique(language_id.grams(s, 4), return_counts=True)
-    m = language_id._kneser_ney(pd.DataFrame({"lang": "x", "gram": g, "n": n}), ["x"], "abcd")
-    for context in (0x000102, 0x050403, 0x010101):
-        p = np.exp(m.log_probabilities(np.array([(context << 8) | c for c in range(6)], np.uint32), 4))
-        assert abs(p.sum() - 1) < 1e-3
+    pdf = pd.concat(language_id._count(iter([pd.DataFrame({"lang": "x", "text": texts})])))
+    high, low = pdf["high"].to_numpy(np.uint64), pdf["low"].to_numpy(np.uint64)
+    columns = [(x >> np.uint64(k) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in (high, low) for k in (32, 0)]
+    return language_id.kneser_ney(columns, pdf["n"].to_numpy(), width)
+
+
+def test_probabilities_against_brute_force():
+    rng = random.Random(8)
+    learned = ["".join(rng.choice("abcd 日本") for _ in range(150)) for _ in range(8)]
+    letters = sorted({0} | {c for t in learned for c in language_id.symbols(t).tolist()})
+    width = len(letters) + 1
+    p = brute_kneser_ney(learned, width)
+    m = language_id.Model(["x"], [tables_of(learned, width)], width)
+    for text in [*learned[:2], "abba dacd", "日本日 ab 本", "zzz a", "é"]:
+        s = [0, 0, *language_id.symbols(text).tolist()]
+        want = [-np.log(p(tuple(s[i : i + 3]), s[i + 3])) for i in range(len(s) - 3)]
+        mean, variance, n = m.entropies([text])
+        assert n[0] == len(want) and np.isclose(mean[0, 0], np.mean(want)) and np.isclose(variance[0, 0], np.var(want))
+    # One probability mass over all letters seen and one that stands for all others.
+    for context in [(0, 0, 0), (ord("a"), ord("b"), 0), (ord("z"), ord("z"), ord("日"))]:
+        assert abs(sum(p(context, c) for c in [*letters, ord("z")]) - 1) < 1e-9
+
+
+def test_slices_add_up(monkeypatch):
+    texts = ["the cat sat on the mat " * 40, "", "a", "x y " * 30]
+    m = language_id.Model(["x"], [tables_of(texts, 20)], 20)
+    whole = m.entropies(texts)
+    monkeypatch.setattr(language_id, "SLICE", 7)
+    assert all(np.allclose(a, b) for a, b in zip(whole, m.entropies(texts)))
+
+
+def test_scripts_with_many_letters(spark):
+    """Two languages over thousands of letters each, of which a third are shared: no letter is folded."""
+    rng = random.Random(9)
+    letters = {"zh": range(0x4E00, 0x4E00 + 3000), "ja": range(0x4E00 + 2000, 0x4E00 + 5000)}
+    # Texts of single shared letters, told apart by which of them follow each other.
+    shared = [chr(c) for c in range(0x4E00 + 2000, 0x4E00 + 3000)]
+
+    def text(lang):
+        pairs = [a + b for a, b in zip(shared, shared[1:] if lang == "zh" else shared[7:])]
+        return "".join(rng.choice(pairs) if rng.random() < 0.8 else chr(rng.choice(letters[lang])) for _ in range(80))
+
+    rows = [(k, text(lang), lang) for k in range(900) for lang in [rng.choice(["zh", "ja"])]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.width > 3000
+    truth = {k: lang for k, _, lang in rows}
+    held = [r for r in language_id.identify(df, model).collect() if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+
+
+def test_sample_of_labelled_rows(spark):
+    rows = [(k, f"text {k}", "en" if k % 3 else "de") for k in range(900)] + [(5, "again", "en"), (None, "no id", "en"), (901, "unlabelled", None), (902, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.labelled_sample(df, 40).collect()
+    assert Counter(r.lang for r in got) == {"en": 40, "de": 40}
+    ranked = language_id._ranked(df).select("doc_id", "lang", "h").distinct().collect()
+    for lang in ("en", "de"):
+        want = sorted((r.h, r.doc_id) for r in ranked if r.lang == lang)[:40]
+        assert {r.doc_id for r in got if r.lang == lang} <= {k for _, k in want}
 
 
 # 9: id files
