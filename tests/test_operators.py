@@ -338,3 +338,20 @@ def test_index_with_day_counts(spark):
     a = str(int(HEX_A, 16) % 2**64)
     assert by[a][f"n_day_{day}"] == 3          # three posts by A on that day
     assert "n_day_1" not in user_index.drop_day_counts(idx).columns
+
+
+def test_ranks_fail_on_other_partitions(spark):
+    """Counts of other partitions than the rows' end the job; the same counts pass."""
+    rows = spark.createDataFrame([(p, i, "g", float(i)) for p in range(3) for i in range(4)], "_pid int, _local long, g string, v double")
+    good = spark.createDataFrame([(p, 4, 4 * p) for p in range(3)], "_pid int, _size long, _off long")
+    bad = spark.createDataFrame([(0, 3, 0), (1, 5, 3), (2, 4, 8)], "_pid int, _size long, _off long")
+    assert sorted(r.n for r in ranking._number(rows, good, "n", 1).collect()) == list(range(1, 13))
+    with pytest.raises(Exception, match="different partitions"):
+        ranking._number(rows, bad, "n", 1).collect()
+    offsets = [(p, size, "g", 6.0 * p) for p, size in enumerate((4, 4, 4))]
+    shape = "_p int, _size long, _g_g string, _o_v double"
+    run = ranking._running(rows.drop("_local"), spark.createDataFrame(offsets, shape), ["g"], F.col("v"), ["v"]).collect()
+    assert sorted(r.cum_v for r in run) == sorted(6.0 * p + s for p in range(3) for s in (0, 1, 3, 6))
+    for other in ([(0, 3, "g", 0.0), (1, 5, "g", 3.0), (2, 4, "g", 13.0)], offsets[:2]):
+        with pytest.raises(Exception, match="different partitions"):
+            ranking._running(rows.drop("_local"), spark.createDataFrame(other, shape), ["g"], F.col("v"), ["v"]).collect()
