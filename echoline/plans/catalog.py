@@ -580,6 +580,57 @@ def training_table_train(spark, sf):
     return _round_doubles(build_training_table(_ix(spark, sf), spec, "train"))
 
 
+def training_table_no_index(spark, sf):
+    """The loader without a user index and without named features, for rows with a like."""
+    from .jobs import PipelineSpec, build_training_table
+    spec = PipelineSpec(split_ts=DEFAULT_SPLIT_TS, use_index=False, drop_features=list(DROPPED_FEATURES))
+    liked = clean.drop_null_label(_ix(spark, sf), "like_ts")
+    return _round_doubles(build_training_table(liked, spec, "val", language_dict=_language_codes(spark, sf)))
+
+
+def _language_codes(spark, sf):
+    from .jobs import language_dictionary
+    return language_dictionary(_ix(spark, sf))
+
+
+DROPPED_FEATURES = ("gif_count", "a_follows_b", "hour_of_day")
+
+
+def index_without_counts(spark, sf):
+    """the wide index (with a column a day of the year) after dropping the day counts and, by prefix, the reply counts."""
+    idx = user_index.build_user_index(_ix(spark, sf), with_day_counts=True)
+    return _index_out(clean.drop_prefixed(user_index.drop_day_counts(idx), "n_reply"))
+
+
+def label_safe_features(spark, sf):
+    """A registry in which features come from labels, directly and through another feature; what is
+    left without them is applied to unlabelled rows (the whole registry would be refused)."""
+    from ..functions import registry as reg
+    specs = {
+        "a_followers": reg.default_features()["a_followers"],
+        "day_of_week": reg.default_features()["day_of_week"],
+        "bin": reg.default_features()["bin"],
+        **reg.default_targets(),
+        "liked_bin": reg.FeatureSpec(("bin", "has_like"), lambda: F.when(F.col("has_like"), F.col("bin")), "int"),
+        "liked_bin_squared": reg.FeatureSpec(("liked_bin",), lambda: F.col("liked_bin") * F.col("liked_bin"), "int"),
+        "bin_squared": reg.FeatureSpec(("bin",), lambda: F.col("bin") * F.col("bin"), "int"),
+    }
+    leaking = reg.label_derived(specs)
+    rows = _ix(spark, sf).drop(*LABEL_COLS)
+    safe = {k: v for k, v in specs.items() if k not in leaking}
+    return _round_doubles(reg.apply_registry(rows, safe, "test").select("tweet_id", "b_user_id", "ts", *safe))
+
+
+def widened_counts(spark, sf):
+    """unsigned counts and ids that came as signed integers of their width, stored in the next wider type, and
+    summed by language: no sum wraps around."""
+    wide = clean.widen_unsigned(_ix(spark, sf).select("language", F.col("a_follower_count").cast("int"), F.col("b_follower_count").cast("int"),
+                                                      F.col("ts")), ["a_follower_count", "b_follower_count"], 32)
+    wide = clean.widen_unsigned(wide, ["ts"], 64)
+    return wide.groupBy("language").agg(F.sum("a_follower_count").alias("a_total"), F.sum("b_follower_count").alias("b_total"),
+                                        F.sum("ts").cast("string").alias("ts_total"))
+
+
 def enriched_skew_split(spark, sf):
     """J1/J2 through the hot-key split join (must equal ``enriched_interactions``)."""
     ix, idx = _train_index(spark, sf)
@@ -802,3 +853,4 @@ QUERIES = {
     "enriched_bucketed": enriched_bucketed,
 }
 QUERIES.update(roundtrips.QUERIES)
+QUERIES.update({f.__name__: f for f in (training_table_no_index, index_without_counts, label_safe_features, widened_counts)})

@@ -431,9 +431,37 @@ def _roundtrips(q: dict[str, str]) -> dict[str, str]:
     }
     out["training_table_train"] = _training_table_sql(train_pred())
     out.update(_reproducible(q))
+    out.update(_helpers(q, out))
     return out
 
 
+def _helpers(q: dict[str, str], done: dict[str, str]) -> dict[str, str]:
+    """Oracles of reading, writing and column helpers."""
+    from ..schema import ALL_COLS, FEATURE_COLS
+    from .catalog import DROPPED_FEATURES
+    from .roundtrips import EXTENSION_PARTS, VERSIONED
+    read = ", ".join(f"'{t}'" for part in EXTENSION_PARTS[:2] for t in part)
+    left_out = ", ".join(f"'{c}'" for c in DROPPED_FEATURES)
+    dow = f"CAST(isodow({epoch_date('ts')}) - 1 AS INTEGER)"
+    return {
+        "unlabelled_roundtrip": W + f"SELECT {', '.join(FEATURE_COLS)} FROM interactions",
+        "extension_listing": W + f"SELECT {', '.join(ALL_COLS)} FROM interactions WHERE type IN ({read})",
+        "coloaded_features": W + (
+            f"SELECT CAST(row_number() OVER (ORDER BY {', '.join(VERSIONED)}) - 1 AS BIGINT) AS idx, {R('ln(abs(a_follower_count) + 1)')} AS a_followers, "
+            "CAST((ts // 3600) % 24 AS INTEGER) AS hour, tweet_id, b_user_id, ts FROM interactions"),
+        "run_log_ranked": "SELECT target AS method, accuracy, CAST(row_number() OVER (ORDER BY accuracy DESC NULLS LAST, target) AS BIGINT) AS rank "
+            f"FROM ({q['balanced_accuracy']}) x",
+        "manifest_columns": done["index_roundtrip"],
+        "training_table_no_index": f"SELECT COLUMNS(lambda c: NOT starts_with(c, 'TE_') AND c NOT IN ({left_out})) FROM ({_training_table_sql(val_pred() + ' AND like_ts IS NOT NULL')}) x",
+        "index_without_counts": f"SELECT COLUMNS(lambda c: NOT starts_with(c, 'n_reply')) FROM ({q['user_index']}) x",
+        "label_safe_features": W + (
+            f"SELECT tweet_id, b_user_id, ts, {R('ln(abs(a_follower_count) + 1)')} AS a_followers, {dow} AS day_of_week, b AS bin, CAST(b * b AS INTEGER) AS bin_squared "
+            f"FROM (SELECT *, {bin_sql('a_follower_count')} AS b FROM interactions) x"),
+        "widened_counts": W + "SELECT language, CAST(sum(a_follower_count) AS BIGINT) AS a_total, CAST(sum(b_follower_count) AS BIGINT) AS b_total, "
+            "CAST(sum(ts) AS VARCHAR) AS ts_total FROM interactions GROUP BY language",
+    }
+
+
 def uniform_sql(key: list[str], j: int, seed: int) -> str:
     """Uniform ``j`` of a row's counter-based generator: four to a block."""
     parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in key)

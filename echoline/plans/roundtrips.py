@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, encoding, user_index
-from ..schema import ALL_COLS, DEFAULT_SPLIT_TS, TARGETS
+from ..schema import ALL_COLS, DEFAULT_SPLIT_TS, FEATURE_COLS, TARGETS
 from ..session import ensure_checkpoint_dir
 from ..sources import readers, sinks
 from ..sources.fixtures import interactions
 
 BATCH, FIRST = 1000, 3
+EXTENSION_PARTS = (["Retweet", "Quote"], ["Reply"], ["TopLevel"])
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -142,6 +143,63 @@ def stream_day_windows(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+def unlabelled_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A log without engagement columns, read as a submission reads it."""
+    path = _path(spark, "unlabelled")
+    rows = interactions(spark, sf).select(*FEATURE_COLS)
+    rows.write.option("sep", readers.SEP).option("header", "false").option("quote", "").csv(path)
+    return readers.read_interactions(spark, path, "test")
+
+
+def extension_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder with rows in ``.csv``, ``.tsv`` and ``.bak`` files; the last are not read."""
+    path = _path(spark, "mixed")
+    rows = interactions(spark, sf).select(*ALL_COLS)
+    for kind, part in zip(("csv", "tsv", "bak"), EXTENSION_PARTS):
+        rows.where(F.col("type").isin(part)).write.mode("append").option("extension", kind).option("sep", readers.SEP).option("quote", "").csv(path)
+    return readers.read_interactions(spark, path)
+
+
+def coloaded_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Derived columns dumped by row id without the rows they come from, and loaded beside them."""
+    from ..functions import scalar as S
+    from ..operators.ranking import global_row_index
+    from .catalog import rnd
+    old, new = _path(spark, "rows"), _path(spark, "derived")
+    rows = global_row_index(interactions(spark, sf).select(*VERSIONED), VERSIONED, "idx")
+    sinks.write_columns(rows, old, ["idx", "tweet_id", "b_user_id", "ts"])
+    derived = rows.withColumns({"a_followers": rnd(S.save_log("a_follower_count")), "hour": S.hour_of_day("ts").cast("int"), "unused": F.lit(1)})
+    sinks.write_columns(derived, new, ["idx", "a_followers", "hour"])
+    return readers.coload(readers.read_parquet(spark, new), readers.read_parquet(spark, old))
+
+
+def run_log_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """One logged run a target, appended to one log, read back and ordered by accuracy."""
+    from ..operators.metrics import rank_runs
+    from .catalog import balanced_accuracy
+    scores, log = _path(spark, "scores"), _path(spark, "runs")
+    sinks.write_columns(balanced_accuracy(spark, sf), scores, ["target", "accuracy", "precision"])
+    rows = readers.read_parquet(spark, scores)
+    for t in TARGETS:
+        sinks.append_run_log(spark, rows.where(F.col("target") == t).drop("target"), log, run_name=t)
+    back = readers.read_results(spark, log, header=True, schema="method string, accuracy double, precision double")
+    return rank_runs(back.withColumn("method", F.regexp_replace("method", "^[^_]*_", "")), "accuracy")
+
+
+def manifest_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """K7: the user index written with a manifest beside it; the index is read with the columns and types
+    that the manifest names."""
+    from pyspark.sql.types import StructType
+    from .catalog import _index_out
+    index, manifest = _path(spark, "index"), _path(spark, "manifest")
+    df = user_index.build_user_index(interactions(spark, sf))
+    sinks.write_index(df, index)
+    sinks.write_manifest(spark, manifest, df, {"index_cutoff_ts": None})
+    told = sinks.read_manifest(spark, manifest)
+    return _index_out(spark.read.schema(StructType.fromJson(told["schema"])).parquet(index).select(*told["columns"]))
+
+
 QUERIES = {f.__name__: f for f in (log_roundtrip, user_columns_roundtrip, lines_roundtrip, index_roundtrip,
                                    predictions_roundtrip, dictionary_roundtrip, stats_roundtrip, first_batches_rows,
-                                   user_point_lookup, additive_features, minibatch_ids, stream_day_windows)}
+                                   user_point_lookup, additive_features, minibatch_ids, stream_day_windows,
+                                   unlabelled_roundtrip, extension_listing, coloaded_features, run_log_ranked, manifest_columns)}
