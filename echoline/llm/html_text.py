@@ -7,6 +7,11 @@ from pages that mark their article themselves; priors stand for what those
 pages may not show.  Sum-product messages go from the leaves to the
 root and back, which gives each element's marginal over the whole tree.  The
 text is that of the blocks whose element is content.
+
+What is said of a tag or name beforehand counts like so many elements seen, so
+pages that show otherwise overrule it.  The labels come from where a page's
+article begins and ends and not from those lists: elements inside an article that the
+lists call boilerplate have no label and teach nothing.
 """
 
 from __future__ import annotations
@@ -41,8 +46,10 @@ PRIOR_CONTENT, CONTENT_WORDS = 2.0, "article articlebody body content entry main
 PRIOR_BOILERPLATE, BOILERPLATE_WORDS = -8.0, "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright discussion disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar tracking widget".split()
 #: Weight of the features' overall frequency in that of either state: no feature decides alone.
 BLUR = 0.1
-#: Learned weights count half: an element's features go along with each other.
+#: Learned weights of an element's form count half: they go along with each other.
 TEMPER = 0.5
+#: What is known beforehand of a tag or name counts like so many elements; of others it is even odds and less.
+PRIOR_SEEN, EVEN_SEEN = 20.0, 4.0
 #: A part of an article may be no content, also where the labelled pages have none such.
 MOST_ALIKE = 0.9
 
@@ -199,16 +206,18 @@ TOP = {"html", "body"}
 FREE = ((0.5, 0.5), (0.5, 0.5))
 
 
-def own_labels(page: Page) -> list[bool] | None:
-    """Which elements are content by the page's own marking; None if it marks no article.  Inside an
-    article, elements of kinds and names that the priors call boilerplate are not content."""
-    inside, found = [False] * len(page.nodes), False
-    bad = set(BOILERPLATE_WORDS)
+def own_labels(page: Page) -> list[bool | None] | None:
+    """Which elements are content by the page's own marking: those inside its article and those that hold
+    it.  None if it marks no article, and None for elements (with all inside them) that stand in an article
+    but whose kind or name the priors call boilerplate: whether they are content isn't known."""
+    inside: list[bool | None] = [False] * len(page.nodes)
+    found, bad = False, set(BOILERPLATE_WORDS)
     for k, n in enumerate(page.nodes):
         marked = n.tag in MARKED or "articlebody" in n.words
         found |= marked
-        rejected = PRIOR_TAGS.get(n.tag, 0) < 0 or any(w in bad for w in n.words)
-        inside[k] = marked or (n.parent >= 0 and inside[n.parent] and not rejected)
+        above = inside[n.parent] if n.parent >= 0 else False
+        doubtful = PRIOR_TAGS.get(n.tag, 0) < 0 or any(w in bad for w in n.words)
+        inside[k] = True if marked else None if above is None or (above and doubtful) else above
     if not found:
         return None
     # What holds an article passes for content, or messages from above would hide it.
@@ -273,6 +282,20 @@ class Model:
         return "\n\n".join(t for k, t in page.blocks if p[k] >= threshold)
 
 
+def count_labels(source: str) -> Counter:
+    """(feature, content) and (what the parent is, content) of a page's labelled elements; nothing if it marks no article."""
+    page = parse(source)
+    labels, c = own_labels(page), Counter()
+    for x, y in zip(page.nodes, labels or []):
+        if y is None:
+            continue
+        c.update((f, y) for f in features(x))
+        c[("state", y)] += 1
+        if x.parent >= 0 and labels[x.parent] is not None and page.nodes[x.parent].tag not in TOP:
+            c[("child of content" if labels[x.parent] else "child of boilerplate", y)] += 1
+    return c
+
+
 def fit(pages: DataFrame, max_pages: int = 3000) -> Model:
     """Learn from at most ``max_pages`` pages that mark their article, taken by the hash of page_id.
 
@@ -286,15 +309,7 @@ def fit(pages: DataFrame, max_pages: int = 3000) -> Model:
         for pdf in batches:
             c: Counter = Counter()
             for source in pdf["html"]:
-                page = parse(source or "")
-                labels = own_labels(page)
-                if labels is None:
-                    continue
-                for x, y in zip(page.nodes, labels):
-                    c.update((f, y) for f in features(x))
-                    c[("state", y)] += 1
-                    if x.parent >= 0 and page.nodes[x.parent].tag not in TOP:
-                        c[("child of content" if labels[x.parent] else "child of boilerplate", y)] += 1
+                c.update(count_labels(source or ""))
             yield pd.DataFrame([(f, y, n) for (f, y), n in c.items()], columns=["feature", "content", "n"])
 
     sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").select("html")
@@ -306,16 +321,22 @@ def model_of(counts: dict[tuple[str, bool], int]) -> Model:
     """Weights from counts of (feature, content) and the priors."""
     total = {y: counts.get(("state", y), 0) for y in (True, False)}
     both = max(sum(total.values()), 1)
-    weights = {}
-    for f in {f for f, _ in counts if "=" in f}:
-        good, bad = counts.get((f, True), 0), counts.get((f, False), 0)
-        common = BLUR * (good + bad + 1) / both
-        odds = ((1 - BLUR) * good / max(total[True], 1) + common) / ((1 - BLUR) * bad / max(total[False], 1) + common)
-        weights[f] = TEMPER * math.log(odds)
     priors = {f"tag={t}": w for t, w in PRIOR_TAGS.items()}
     priors |= {f"word={w}": PRIOR_CONTENT for w in CONTENT_WORDS} | {f"word={w}": PRIOR_BOILERPLATE for w in BOILERPLATE_WORDS}
-    for f, w in priors.items():
-        weights[f] = weights.get(f, 0.0) + w
+    weights = {}
+    for f in {f for f, _ in counts if "=" in f} | set(priors):
+        good, bad = counts.get((f, True), 0), counts.get((f, False), 0)
+        if f in priors or f.startswith("word="):
+            # As if so many elements of an even mix of both states had been seen, in these shares.
+            seen = PRIOR_SEEN if f in priors else EVEN_SEEN
+            share = 1 / (1 + math.exp(-priors.get(f, 0.0)))
+            even = both / 2
+            good, bad = good * even / max(total[True], 1), bad * even / max(total[False], 1)
+            weights[f] = math.log((good + seen * share) / (bad + seen * (1 - share)))
+        else:
+            common = BLUR * (good + bad + 1) / both
+            odds = ((1 - BLUR) * good / max(total[True], 1) + common) / ((1 - BLUR) * bad / max(total[False], 1) + common)
+            weights[f] = TEMPER * math.log(odds)
     # Children take after their parents, in boilerplate more than in content; pseudo-counts stand for pages not seen.
     share = {}
     for p, (good, bad) in {"content": (15, 5), "boilerplate": (1, 50)}.items():

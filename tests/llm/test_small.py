@@ -487,6 +487,47 @@ def test_html(spark):
     assert "Menu" not in alone.text(page) and "Second" in alone.text(page)
 
 
+def test_names_are_learned(spark):
+    """Nonsense names, with text that looks alike on both sides: only pages that mark their article tell them apart."""
+    rng = random.Random(10)
+
+    def words():
+        return prose(rng, 40) + ", and so on."
+
+    def page(article, mark):
+        junk = "".join(f"<div class={c}><p>{words()}</p></div>" for c in ("zrk", "plonk"))
+        return f"<body>{junk}<{mark} class=qqx><div class=vuum><p>{article}</p></div></{mark}><div class='zrk wibb'><p>{words()}</p></div></body>"
+
+    rows = [(k, "u", page(words(), "article")) for k in range(80)]
+    texts = {k: " ".join(words().split()) for k in range(100, 120)}
+    rows += [(k, "u", page(t, "div")) for k, t in texts.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df, html_text.fit(df)).collect()}
+    assert all(got[k] == t for k, t in texts.items())
+    untrained = html_text.model_of({})
+    assert all(untrained.text(html) != texts[k] for k, _, html in rows if k in texts)
+
+
+def test_pages_overrule_priors():
+    """A name that the lists call boilerplate is the article's on these pages, and the other way round."""
+    body = "Words go on, and on. " * 12
+    text = "\n\n".join([body.strip()] * 3)
+    marked = f"<body><div class=story><p>{body}</p></div><div class=teaser><article>{f'<p>{body}</p>' * 3}</article></div></body>"
+    asked = f"<body><div class=story><p>Not this. {body}</p></div><div class=teaser>{f'<p>{body}</p>' * 3}</div></body>"
+    counts = Counter()
+    for _ in range(200):
+        counts.update(html_text.count_labels(marked))
+    assert html_text.model_of(counts).text(asked) == text
+    assert html_text.model_of({}).text(asked) == f"Not this. {body}".strip()
+
+
+def test_labels_do_not_follow_the_lists():
+    page = html_text.parse("<body><div class=ad>x</div><article><p>a</p><div class=ad><p>b</p></div><form>c</form></article><div class=content>d</div></body>")
+    labels = html_text.own_labels(page)
+    by = [(n.tag, n.words, y) for n, y in zip(page.nodes, labels)]
+    assert by[2:] == [("div", ("ad",), False), ("article", (), True), ("p", (), True), ("div", ("ad",), None), ("p", (), None), ("form", (), None), ("div", ("content",), False)]
+
+
 def test_messages_equal_enumeration():
     import itertools
 
