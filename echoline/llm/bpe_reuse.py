@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from echoline.llm.common import map_texts
-from echoline.llm.pieces import SAFE_CUT, PieceEncoder, Recent, split_pieces
+from echoline.llm.pieces import SAFE_CUT, PieceEncoder, Recent, check_decoding, split_pieces
 
 MEAN_CHUNK, MIN_CHUNK = 256, 64
 KEPT_CHUNKS = 20_000
@@ -53,6 +53,7 @@ def piece_values(ids: list[list[int]], tokenizer) -> list[tuple[int, bytes, byte
 class ChunkEncoder:
     def __init__(self, path: str, kept: int = KEPT_CHUNKS):
         self.encoder = PieceEncoder.shared(path, piece_values)
+        check_decoding(self.encoder.tokenizer)
         self.chunks = Recent(kept)
         self.reused = self.encoded = 0
 
@@ -124,7 +125,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """All columns of ``docs`` but text, and: n_tokens, ids (decimal, joined by commas), decoded (the text the ids stand for).
 
     Null and empty texts have no ids.  Texts of any length are encoded whole; repeated rows each give a
-    row, an empty table none.  Columns of ``docs`` that have one of these names are replaced.
+    row, an empty table none.  Columns of ``docs`` that have one of these names are replaced.  A tokenizer
+    whose pieces can't be encoded and decoded one by one ends the job (``pieces.UnknownTokenizer``).
     """
 
     def make():

@@ -2,11 +2,13 @@
 
 A text may be cut wherever a character that is no white space is followed by
 blank, tab or line end: the pre-tokenizers used here match no run across such a
-place, so the ids of a text are those of its pieces, one after the other.
+place, so the ids of a text are those of its pieces, one after the other.  Tokenizers
+for which this isn't known are refused when they are loaded.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 # A piece is white space and what follows up to the next white space ...
@@ -22,6 +24,63 @@ def split_pieces(text: str) -> list[str]:
     return PIECE.findall(text)
 
 
+# Patterns of pre-tokenizers none of whose matches has white space after another character.
+SAFE_SPLITS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"])
+
+
+class UnknownTokenizer(ValueError):
+    """Texts can't be encoded piece by piece with this tokenizer."""
+
+
+def _parts(part, inner: str) -> list[dict]:
+    """Settings of a normalizer or pre-tokenizer, those of a sequence one after the other."""
+    if part is None:
+        return []
+    state = json.loads(part.__getstate__())
+    return state[inner] if state["type"] == "Sequence" else [state]
+
+
+def _refuse_unless(holds: bool, why: str) -> None:
+    if not holds:
+        raise UnknownTokenizer(f"this tokenizer can't be used piece by piece: {why}")
+
+
+def drops_space(tokenizer) -> bool:
+    """Whether white space gives no ids."""
+    return any(x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] for x in _parts(tokenizer.pre_tokenizer, "pretokenizers"))
+
+
+def check_cuts(tokenizer) -> None:
+    """Raise an error unless the ids of a text are known to be those of its pieces."""
+    cuts = False
+    for x in _parts(tokenizer.pre_tokenizer, "pretokenizers"):
+        if x["type"] == "ByteLevel":
+            _refuse_unless(not x["add_prefix_space"], "it puts a blank before each text")
+            cuts |= x["use_regex"]
+        else:
+            _refuse_unless(x["type"] == "Split" and x["pattern"].get("Regex") in SAFE_SPLITS, f"pre-tokenizer {x['type']} may match across a cut")
+            cuts = True
+    _refuse_unless(cuts, "no pre-tokenizer cuts at white space")
+    for x in _parts(tokenizer.normalizer, "normalizers"):
+        one_blank = x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " and drops_space(tokenizer)
+        _refuse_unless(one_blank or x["type"] in ("NFC", "Lowercase"), f"normalizer {x['type']} may depend on what is beyond a cut")
+    for x in tokenizer.get_added_tokens_decoder().values():
+        _refuse_unless(not (x.lstrip or x.rstrip or x.single_word or re.search(r"\s", x.content)), f"added token {x.content!r} takes in white space or looks at its neighbours")
+    _refuse_unless(not getattr(tokenizer.model, "dropout", None), "merges are dropped at random")
+
+
+def check_decoding(tokenizer) -> None:
+    """Raise an error unless decoding pieces one by one gives the whole's text."""
+    decoder = json.loads(tokenizer.decoder.__getstate__())["type"] if tokenizer.decoder is not None else None
+    _refuse_unless(decoder == "ByteLevel", f"decoder {decoder} may treat a text's start or its words' borders apart")
+
+
+def check_lowering(tokenizer) -> None:
+    """Raise an error unless words may be lower-cased and white space left out before encoding."""
+    lowers = any(x["type"] == "Lowercase" for x in _parts(tokenizer.normalizer, "normalizers"))
+    _refuse_unless(lowers and drops_space(tokenizer), "it doesn't lower-case, or white space gives ids")
+
+
 def load_tokenizer(path: str):
     import os
 
@@ -31,6 +90,7 @@ def load_tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    check_cuts(t)
     return t
 
 

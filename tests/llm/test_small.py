@@ -676,6 +676,43 @@ def test_sample_of_labelled_rows(spark):
         assert {r.doc_id for r in got if r.lang == lang} <= {k for _, k in want}
 
 
+# 2 and 9: tokenizers
+def test_tokenizers_are_checked(tmp_path):
+    import json
+
+    from echoline.llm import pieces
+
+    byte, word = (json.load(open(public_tokenizers.path(f"{n}.json"))) for n in ("byte_bpe_50k", "word_bpe_49k"))
+
+    def load(base, **changed):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps({**base, **changed}))
+        return pieces.load_tokenizer(str(path))
+
+    pieces.check_decoding(load(byte))
+    pieces.check_lowering(load(word))
+    level = byte["pre_tokenizer"]
+    swallows = {"type": "Split", "pattern": {"Regex": r" ?[^\s\p{L}\p{N}]+[\r\n]*|\s+|\S+"}, "behavior": "Isolated", "invert": False}
+    bad = [
+        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [swallows, {**level, "use_regex": False}]}},
+        {"pre_tokenizer": {**level, "add_prefix_space": True}},
+        {"pre_tokenizer": {**level, "use_regex": False}},
+        {"pre_tokenizer": None},
+        {"normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}},
+        {"normalizer": word["normalizer"]},
+        {"added_tokens": [{**byte["added_tokens"][0], "lstrip": True}]},
+        {"added_tokens": [{**byte["added_tokens"][0], "content": "two words", "special": True}]},
+        {"model": {**byte["model"], "dropout": 0.1}},
+    ]
+    for change in bad:
+        with pytest.raises(pieces.UnknownTokenizer):
+            load(byte, **change)
+    with pytest.raises(pieces.UnknownTokenizer):
+        pieces.check_decoding(load(word))
+    with pytest.raises(pieces.UnknownTokenizer):
+        pieces.check_lowering(load(byte))
+
+
 # 9: id files
 def test_id_files(spark, docs, odd, empty, texts, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
