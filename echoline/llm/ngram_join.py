@@ -5,7 +5,10 @@ elements, where k follows from their sizes.  The feature domain is cut into n1
 parts; over all of them at most k elements differ, so in one part at most
 k2 = 1 does.  That part is cut into n2 = 3 smaller ones, of which two must then
 be equal.  A signature is a part's number and two of its three smaller parts:
-similar sets share one, sets of texts that merely have words in common don't.
+similar sets share one, sets of texts that merely have words in common don't.  With
+``spare`` parts more than that, similar sets share a signature in one part and in
+as many others.  So each set may leave its ``spare`` most common signatures out:
+of those that two similar sets share, the least common one stays with both.
 
 Sizes are taken in bands: a signature belongs to the band of the larger set,
 and a set is also entered in the next band if a larger partner can lie there.
@@ -17,8 +20,9 @@ bucket (one of ``ORDERS`` orders of the classes gives them), and buckets that ar
 not one component yet get new ones in ``ROUNDS`` rounds: a class of a group of near
 copies then misses its group only if it is unlike all of them.  What is apart even
 so is compared with the other components of its bucket.  So groups of near copies
-cost their size, and yet no link that could join two components is left out.  Before texts are compared, a bit sketch discards pairs that differ
-too much: a bit flips for each differing element, so it never discards a link.
+cost their size, and yet no link that could join two components is left out.  Before texts
+are compared, a bit sketch discards pairs that differ too much: a bit flips for each
+differing element, so it never discards a link.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoline.llm.common import arrow_map, store
@@ -44,6 +48,10 @@ ORDERS, ROUNDS = 4, 3
 #: Documents whose sets are fetched by a broadcast of their ids; more are fetched by a shuffle.
 MAX_BROADCAST = 1_000_000
 LAST_ID = (1 << 63) - 1
+#: One part in so many is spare.
+SPARE = 8
+#: The low bits of a signature are the number of its band.
+BAND_BITS = 7
 _SPLIT = bytes(range(9, 14)) + b" "
 
 
@@ -73,6 +81,12 @@ class Similarity:
                 return out
             low = high + 1
 
+    def parts(self, largest: int) -> tuple[int, int]:
+        """How many parts sets of up to ``largest`` elements are cut into, and how many of these are spare."""
+        needed = self.most_differing(2 * largest) // 2 + 1  # in so many parts two differing elements each would be too many
+        spare = needed // SPARE
+        return needed + spare, spare
+
 
 _TABLE = bytes.maketrans(_SPLIT, b" " * len(_SPLIT))
 _WORDS: dict[bytes, int] = {}
@@ -151,8 +165,7 @@ def signatures(s: np.ndarray, how: Similarity) -> np.ndarray:
         entered.append((len(bands) + 1, max(above, int(above * GROWTH))))
     mixed = _mix(s)
     for band, largest in entered:
-        most = how.most_differing(2 * largest)
-        n1 = most // 2 + 1  # n1 parts with two differing elements each would make more than ``most``
+        n1, _ = how.parts(largest)
         place = ((s >> np.uint64(20)) % np.uint64(3 * n1)).astype(np.int64)
         # A smaller part's hash is the sum of its mixed elements.
         sums = np.zeros(3 * n1, np.uint64)
@@ -160,16 +173,18 @@ def signatures(s: np.ndarray, how: Similarity) -> np.ndarray:
         full = (np.bincount(place, minlength=3 * n1) > 0).reshape(n1, 3)
         sums = sums.reshape(n1, 3)
         tag = _mix(np.arange(n1, dtype=np.uint64) * np.uint64(8) + np.uint64(band << 40))
+        made = []
         for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
             told = full[:, a] | full[:, b]
-            out.append(_mix(_mix(sums[told, a] + tag[told] + np.uint64(k)) + sums[told, b]))
+            made.append(_mix(_mix(sums[told, a] + tag[told] + np.uint64(k)) + sums[told, b]))
         # At most one of the three is not empty: the part's whole content, and that without each element.
         sparse = full.sum(axis=1) <= 1
         whole = sums.sum(axis=1, dtype=np.uint64)
-        out.append(_mix(whole[sparse] + tag[sparse] + np.uint64(3)))
+        made.append(_mix(whole[sparse] + tag[sparse] + np.uint64(3)))
         part = place // 3
         own = sparse[part]
-        out.append(_mix(whole[part[own]] - mixed[own] + tag[part[own]] + np.uint64(3)))
+        made.append(_mix(whole[part[own]] - mixed[own] + tag[part[own]] + np.uint64(3)))
+        out.append(np.concatenate(made) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(band))
     return np.unique(np.concatenate(out))
 
 
@@ -238,7 +253,7 @@ def _signature_rows(docs: DataFrame, how: Similarity) -> DataFrame:
 
 def _place(a: str, turn: int) -> Column:
     """A class's place in the order that its bucket (sig) goes by in a round."""
-    return F.xxhash64(F.col(a), F.pmod(F.col("sig"), F.lit(ORDERS)) + ORDERS * turn)
+    return F.xxhash64(F.col(a), F.pmod(F.shiftright("sig", BAND_BITS), F.lit(ORDERS)) + ORDERS * turn)
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -279,6 +294,18 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.repartition("sig").sortWithinPartitions("sig", _place("a", 0), "a"), run, "sig long, first long, a long")
 
 
+def _without_largest(buckets: DataFrame, how: Similarity) -> DataFrame:
+    """The rows of ``buckets`` but for each class's ``spare`` largest buckets in a band.
+
+    Sizes order all buckets alike (ties: by signature).  Two similar sets share more than ``spare`` of a
+    band, so the smallest that they share is among the spare largest of neither."""
+    spares = F.array(*[F.lit(how.parts(high)[1]) for _, high in how.bands(1 << 40)])
+    band = F.col("sig").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    sized = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("size")), "sig").withColumn("band", band)
+    largest_first = Window.partitionBy("a", "band").orderBy(F.col("size").desc(), "sig")  # no more rows than the text has signatures
+    return sized.withColumn("nth", F.row_number().over(largest_first)).where(F.col("nth") > F.element_at(spares, F.col("band"))).select("sig", "first", "a")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity, wide: bool) -> DataFrame:
     """(a, s, t) of the wanted documents, by the set's hash: the set (and nothing), or its wide sketches."""
 
@@ -352,7 +379,7 @@ def grouped_rows(docs: DataFrame, how: Similarity) -> DataFrame:
     classes = store(rows.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.min(_row()).alias("row"), F.max("n_shingles").alias("n"), *same), "classes")
     # Buckets know classes by half of the hash; should two have that half in common (64 bits), one stands for both.
     brief = classes.groupBy("a").agg(F.min("rep").alias("doc_id"), F.max("n").alias("n"), *same)
-    buckets = store(_buckets(_signature_rows(docs, how)), "buckets")
+    buckets = store(_without_largest(store(_buckets(_signature_rows(docs, how)), "shared"), how), "buckets")
 
     pairs = buckets.where("a <> first").select(F.col("first").alias("a"), F.col("a").alias("b")).distinct()
     may = pairs.join(brief.alias("x"), F.col("x.a") == pairs["a"]).join(brief.alias("y"), F.col("y.a") == pairs["b"])

@@ -261,13 +261,52 @@ def test_signatures_miss_nothing():
             y = np.unique(np.concatenate((y, rng.integers(0, 2**63, int(rng.integers(0, more + 1)), dtype=np.uint64))))
             common = len(np.intersect1d(x, y))
             if 100 * common >= percent * (len(x) + len(y) - common):
-                assert set(ngram_join.signatures(x, how)) & set(ngram_join.signatures(y, how))
+                shared = set(ngram_join.signatures(x, how)) & set(ngram_join.signatures(y, how))
+                bands = how.bands(max(len(x), len(y)))
+                own = [v for v in shared if int(v) & 127 == len(bands)]
+                assert len(own) > how.parts(bands[-1][1])[1]
                 bits = np.unpackbits((ngram_join.sketch(x) ^ ngram_join.sketch(y)).view(np.uint8)).sum()
                 assert bits <= how.most_differing(len(x) + len(y))
                 wide = [(p, q) for p in ngram_join.wide_sketches(x) for q in ngram_join.wide_sketches(y) if len(p) == len(q)]
                 assert wide and all(np.unpackbits((p ^ q).view(np.uint8)).sum() <= how.most_differing(len(x) + len(y)) for p, q in wide)
 
 
+def test_bands_fit_their_bits():
+    for percent in (80, 90, 100):
+        assert len(ngram_join.Similarity(3, percent).bands(1 << 40)) < 1 << ngram_join.BAND_BITS
+
+
+def test_links_survive_common_passages(spark):
+    """Texts made of a few passages fill the same buckets; those that are similar must still be found."""
+    rng = np.random.default_rng(3)
+    how = ngram_join.Similarity(3, 80)
+    passages = [[f"p{k}w{i}" for i in rng.integers(0, 10**6, 130)] for k in range(4)]
+    texts = {}
+    for d in range(60):
+        words = [w for k in rng.permutation(4)[:2] for w in passages[k]] + [f"d{d // 3}w{i}" for i in range(120)]
+        for at in rng.integers(0, len(words), int(rng.integers(0, 13))):
+            words[at] = f"new{d}x{at}"
+        texts[d] = " ".join(words)
+    sets = {d: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for d, t in texts.items()}
+    root = {d: d for d in texts}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d in texts:
+        for e in range(d):
+            if 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e]):
+                low, high = sorted((find(d), find(e)))
+                root[high] = low
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    buckets = ngram_join._buckets(ngram_join._signature_rows(docs, how))
+    assert 0 < ngram_join._without_largest(buckets, how).count() < buckets.count()
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs, how).collect()}
+    assert got == {d: find(d) for d in texts} and 1 < len(set(got.values())) < 60
+
+
 def test_similar_groups_odd(odd, empty, texts):
     rows = ngram_join.similar_groups(odd).collect()
     assert len(rows) == len(texts) + 2
