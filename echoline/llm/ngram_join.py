@@ -401,7 +401,8 @@ def grouped_rows(docs: DataFrame, how: Similarity) -> DataFrame:
         roots = connected_components(links)
     # What hangs elsewhere than the pivot, against all other components of the bucket.
     x, y = members.where("root <> head").alias("x"), members.alias("y")
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & _may_link(how))
+    once = (F.col("y.root") == F.col("y.head")) | (F.col("x.a") < F.col("y.a"))  # two that both hang elsewhere meet once
+    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & once & _may_link(how))
     cross = cross.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
     links = links.unionByName(_verified(docs, cross, brief, how, "cross"))
 
