@@ -16,6 +16,8 @@ from ..sources import readers, sinks
 from ..sources.fixtures import interactions
 
 BATCH, FIRST = 1000, 3
+#: How logs are written: as the readers expect them, compressed (a file holds one task's rows).
+LOG = {"sep": readers.SEP, "header": "false", "quote": "", "compression": "gzip"}
 EXTENSION_PARTS = (["Retweet", "Quote"], ["Reply"], ["TopLevel"])
 
 
@@ -26,7 +28,7 @@ def _path(spark: SparkSession, name: str) -> str:
 def _log(spark: SparkSession, sf: str) -> str:
     path = _path(spark, "log")
     rows = interactions(spark, sf).select(*ALL_COLS)
-    rows.write.option("sep", readers.SEP).option("header", "false").option("quote", "").csv(path)
+    rows.write.options(**LOG).csv(path)
     return path
 
 
@@ -147,7 +149,7 @@ def unlabelled_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """A log without engagement columns, read as a submission reads it."""
     path = _path(spark, "unlabelled")
     rows = interactions(spark, sf).select(*FEATURE_COLS)
-    rows.write.option("sep", readers.SEP).option("header", "false").option("quote", "").csv(path)
+    rows.write.options(**LOG).csv(path)
     return readers.read_interactions(spark, path, "test")
 
 
@@ -156,7 +158,7 @@ def extension_listing(spark: SparkSession, sf: str) -> DataFrame:
     path = _path(spark, "mixed")
     rows = interactions(spark, sf).select(*ALL_COLS)
     for kind, part in zip(("csv", "tsv", "bak"), EXTENSION_PARTS):
-        rows.where(F.col("type").isin(part)).write.mode("append").option("extension", kind).option("sep", readers.SEP).option("quote", "").csv(path)
+        rows.where(F.col("type").isin(part)).write.mode("append").option("extension", kind).options(**LOG).csv(path)
     return readers.read_interactions(spark, path)
 
 

@@ -9,6 +9,7 @@ and the oracle CTE are defined by the same text.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _TS = "({epoch_orderdate} + l.l_partkey % 86400)"
 _G = "o.o_custkey % 13 <> 0"
@@ -88,15 +89,24 @@ def interactions_cte(with_score: bool = False) -> str:
     return f"WITH interactions AS (\n{interactions_sql('duckdb', with_score)}\n)\n"
 
 
-# Spark-side placement: per-dimension expressions are evaluated on the small
-# dimension tables before the join (same values, far fewer md5 calls).
-_DIM_OVERRIDES = {
-    "b_user_id": "c.c_hex",
-    "language": "c.c_lang",
-    "links": "CASE WHEN l.l_partkey % 4 = 0 THEN NULL ELSE p.p_links END",
+# Spark-side placement: what a single table decides is computed on its rows, narrow and before
+# the joins (same values); ids of rows and users are hashed after them, so no join moves them.
+_PLACED = {
+    "l.l_tax >= 0.07": "l.l_replied",
+    "l.l_discount >= 0.09": "l.l_retweeted",
+    "l.l_linestatus = 'F'": "l.l_follows",
+    "substr(o.o_orderpriority, 1, 1)": "o.o_first",
+    "upper(md5(CAST(c.c_nationkey AS STRING)))": "c.c_lang",
+    "upper(md5(CAST(l.l_partkey % 50 AS STRING)))": "p.p_links",
 }
 
 
+def _placed(expr: str) -> str:
+    for old, new in _PLACED.items():
+        expr = expr.replace(old, new)
+    return _render(expr, "spark_pre")
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names=("lineitem", "orders", "customer", "part")) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
@@ -104,21 +114,22 @@ def load_tables(spark: SparkSession, sf_dir: str, names=("lineitem", "orders", "
 def interactions(spark: SparkSession, sf_dir: str, with_score: bool = False) -> DataFrame:
     """The interactions DataFrame.  Joins are shuffled on their keys (or
     broadcast by AQE from measured sizes); unused columns are pruned at the
-    Parquet scan because the projection below is declarative."""
+    Parquet scan because the projection below is declarative.  Orders meet
+    customers before line items: line items are moved twice, by order and by part."""
     t = load_tables(spark, sf_dir)
-    c = t["customer"].selectExpr("c_custkey", "c_acctbal", "upper(md5(CAST(c_custkey AS STRING))) AS c_hex",
-                                 "upper(md5(CAST(c_nationkey AS STRING))) AS c_lang").alias("c")
+    c = t["customer"].selectExpr("c_custkey", "c_acctbal", "upper(md5(CAST(c_nationkey AS STRING))) AS c_lang").alias("c")
     p = t["part"].selectExpr("p_partkey", "p_name", "p_size", "p_brand",
                              "upper(md5(CAST(p_partkey % 50 AS STRING))) AS p_links").alias("p")
     # post-time base per order, computed once per order (zone-free for NTZ)
-    o = t["orders"].selectExpr("o_orderkey", "o_custkey", "o_orderpriority",
+    o = t["orders"].selectExpr("o_orderkey", "o_custkey", "substr(o_orderpriority, 1, 1) AS o_first",
                                "unix_date(to_date(o_orderdate)) * 86400 + hour(o_orderdate) * 3600 "
                                "+ minute(o_orderdate) * 60 + CAST(second(o_orderdate) AS BIGINT) AS o_epoch").alias("o")
-    l = t["lineitem"].alias("l")
-    joined = (l.join(o, l["l_orderkey"] == o["o_orderkey"])
-               .join(c, o["o_custkey"] == c["c_custkey"])
-               .join(p, l["l_partkey"] == p["p_partkey"]))
-    exprs = [f"{_render(_DIM_OVERRIDES.get(n, e), 'spark_pre')} AS {n}" for n, e in _COLUMNS]
+    l = t["lineitem"].selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax >= 0.07 AS l_replied",
+                                 "l_discount >= 0.09 AS l_retweeted", "l_linestatus = 'F' AS l_follows").alias("l")
+    oc = o.join(c, F.col("o.o_custkey") == F.col("c.c_custkey"))
+    joined = (l.join(oc, F.col("l.l_orderkey") == F.col("o.o_orderkey"))
+               .join(p, F.col("l.l_partkey") == F.col("p.p_partkey")))
+    exprs = [f"{_placed(e)} AS {n}" for n, e in _COLUMNS]
     if with_score:
         exprs.append(f"CAST({_SCORE} AS DOUBLE) AS score")
     return joined.selectExpr(*exprs)

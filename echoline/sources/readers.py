@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from ..schema import ALL_COLS, FEATURE_COLS, LABEL_COLS, USER_CENTRIC_COLS, schema_for
 
 SEP = "\u0001"
+#: Files of a log; Spark decompresses ``.gz`` by the name.
+LOG_FILES = "*.{csv,tsv,csv.gz,tsv.gz}"
 
 
 def read_interactions(spark: SparkSession, path: str, mode: str = "train", columns: list[str] | None = None,
-                      glob: str | None = "*.{csv,tsv}", recursive: bool = False) -> DataFrame:
+                      glob: str | None = LOG_FILES, recursive: bool = False) -> DataFrame:
     """Typed scan of the delimited log (labelled unless ``mode='test'``).
     A malformed line fails the job: read as nulls it would count as "no engagement"."""
     reader = (spark.read.schema(schema_for(mode)).option("sep", SEP).option("header", "false")
@@ -30,7 +32,7 @@ def read_interactions(spark: SparkSession, path: str, mode: str = "train", colum
     return df.select(*columns) if columns else df
 
 
-def read_user_columns(spark: SparkSession, path: str, glob: str | None = "*.{csv,tsv}") -> DataFrame:
+def read_user_columns(spark: SparkSession, path: str, glob: str | None = LOG_FILES) -> DataFrame:
     """S3: the 16 user-centric columns only (pruned at the scan)."""
     return read_interactions(spark, path, "train", USER_CENTRIC_COLS, glob)
 
