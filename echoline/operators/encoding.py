@@ -78,11 +78,13 @@ def user_target_encodings(index: DataFrame, prior_row: DataFrame | None = None,
 
 def group_stats(df: DataFrame, category: str | list[str], target: str) -> DataFrame:
     """A10 statistics: per category ``count``, ``mean`` of the target and the
-    global ``total_mean`` (one-row aggregate, cross-joined by broadcast)."""
+    global ``total_mean`` (one-row aggregate of the categories' sums, cross-joined by
+    broadcast): ``df`` is read once."""
     cats = [category] if isinstance(category, str) else list(category)
     y = F.col(target).cast("double")
-    stats = df.groupBy(*cats).agg(F.count(F.lit(1)).cast("bigint").alias("count"), F.avg(y).alias("mean"))
-    total = df.agg(F.avg(y).alias("total_mean"))  # A12
+    sums = df.groupBy(*cats).agg(F.count(F.lit(1)).cast("bigint").alias("count"), F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    total = sums.agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("total_mean"))  # A12
+    stats = sums.select(*cats, "count", F.try_divide("_s", "_n").alias("mean"))
     return stats.crossJoin(F.broadcast(total))
 
 
@@ -91,12 +93,28 @@ def apply_group_encoding(df: DataFrame, stats: DataFrame, category: str | list[s
     """A10/A11 apply: ``(count * mean + w * total_mean) / (count + w)`` joined on
     the category (J8); unseen categories get ``fill`` in the new column only.
 
-    The statistics have one row per category; AQE decides from measured bytes
-    whether they are broadcast (a hot category then costs nothing) or shuffled."""
+    The statistics have one row per category.  Those of hot categories (1 % of the counted
+    rows, so 100 at most) reach their rows by a bounded broadcast, the others by a shuffled
+    join: no task gets all rows of a hot category."""
     cats = [category] if isinstance(category, str) else list(category)
     enc = stats.select(*cats, ((F.col("count") * F.col("mean") + F.lit(float(weight)) * F.col("total_mean"))
                                / (F.col("count") + F.lit(float(weight)))).alias(name))
-    return df.join(enc, cats, "left").withColumn(name, F.coalesce(F.col(name), F.lit(fill)))
+    return _by_key(df, enc, stats, "count", cats).withColumn(name, F.coalesce(F.col(name), F.lit(fill)))
+
+
+def _by_key(df: DataFrame, values: DataFrame, counted: DataFrame, count: str, keys: list[str], hot_share: float = 0.01) -> DataFrame:
+    """Left join of ``values`` on ``keys`` (a null in one matches nothing); keys with at least ``hot_share``
+    of all that ``counted`` counts go through the split join."""
+    from .enrich import skew_split_left_join
+    whole = F.lit(True)
+    for c in keys:
+        whole = whole & F.col(c).isNotNull()
+    key = F.when(whole, F.struct(*keys)).alias("_key")
+    added = [c for c in values.columns if c not in keys]
+    total = counted.agg(F.sum(count).alias("_total"))
+    hot = counted.crossJoin(F.broadcast(total)).where(F.col(count) >= F.col("_total") * F.lit(hot_share)).select(key).where("_key IS NOT NULL")
+    out = skew_split_left_join(df.select("*", key), values.select(key, *added).where("_key IS NOT NULL"), "_key", hot)
+    return out.select(*keys, *[c for c in df.columns if c not in keys], *added)
 
 
 def group_target_encoding(df: DataFrame, category: str | list[str], target: str, name: str | None = None,
@@ -137,5 +155,5 @@ def out_of_fold_encoding(df: DataFrame, category: str | list[str], target: str,
     enc = (per.join(tot, cats).join(F.broadcast(prior), "_fold")
            .select(*cats, "_fold", F.try_divide((F.col("_cat_s") - F.col("_s")) + w * F.col("_pm"),
                                                 (F.col("_cat_n") - F.col("_n")) + w).alias(name)))
-    out = rows.join(enc, [*cats, "_fold"], "left")
+    out = _by_key(rows, enc, per, "_n", [*cats, "_fold"])
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(fill))).drop("_fold")

@@ -37,13 +37,16 @@ def skew_split_left_join(big: DataFrame, small: DataFrame, key: str, hot: DataFr
 
     ``small`` is unique on ``key`` and ``hot`` has at most ``1 / hot_share`` rows.  For the
     shuffled join a hot key is replaced by null (which matches nothing) and a salt of the
-    row's own columns, so hot rows spread over all tasks."""
+    row's own columns, so hot rows, and rows without a key, spread over all tasks."""
     values = [c for c in small.columns if c != key]
     hot_small = small.join(F.broadcast(hot), key, "left_semi").select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot"))
     flagged = big.join(F.broadcast(hot.select(F.col(key).alias("_flag"))), F.col(key) == F.col("_flag"), "left")
-    salt = F.when(F.col("_flag").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*big.columns), F.lit(1 << 16)).cast("int"))
+    salt = F.when(F.col("_flag").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*big.columns), F.lit(1 << 16)).cast("int"))
     flagged = flagged.withColumns({"_cold": F.when(F.col("_flag").isNull(), F.col(key)), "_salt": salt})
-    cold = small.select(F.col(key).alias("_ck"), F.lit(0).alias("_zero"), F.struct(*values).alias("_val"))
+    # Zero, but no literal: against one the optimizer makes a filter of the salt's equation, and the
+    # rows without a cold key would be dealt out by null alone, to one task.
+    zero = F.pmod(F.hash(key), F.lit(1)).alias("_zero")
+    cold = small.select(F.col(key).alias("_ck"), zero, F.struct(*values).alias("_val"))
     out = flagged.join(cold, (F.col("_cold") == F.col("_ck")) & (F.col("_salt") == F.col("_zero")), "left")
     out = out.join(F.broadcast(hot_small), F.col("_flag") == F.col("_hk"), "left")
     both = F.coalesce("_hot", "_val")

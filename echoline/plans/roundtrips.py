@@ -114,11 +114,16 @@ def additive_features(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions import scalar as S
     from ..operators.ranking import global_row_index
     from .catalog import rnd
-    df = global_row_index(interactions(spark, sf), VERSIONED, "row_id", start=1)
-    out = sinks.VersionedOutput(spark, _path(spark, "features"), "row_id")
-    first = df.select("row_id", "tweet_id", rnd(S.save_log("a_follower_count")).alias("a_followers"))
-    out.publish(first)
-    out.add_columns(df.select("row_id", "tweet_id", rnd(S.token_len_log("tokens")).alias("bert_token_len"), S.text_length("tokens").alias("token_chars")))
+    df = global_row_index(interactions(spark, sf).select(*VERSIONED), VERSIONED, "row_id", start=1)
+    # Both versions come from one ranking; a lost block is computed anew.
+    df = df.select("row_id", "tweet_id", rnd(S.save_log("a_follower_count")).alias("a_followers"),
+                   rnd(S.token_len_log("tokens")).alias("bert_token_len"), S.text_length("tokens").alias("token_chars")).persist()
+    try:
+        out = sinks.VersionedOutput(spark, _path(spark, "features"), "row_id")
+        out.publish(df.select("row_id", "tweet_id", "a_followers"))
+        out.add_columns(df.select("row_id", "tweet_id", "bert_token_len", "token_chars"))
+    finally:
+        df.unpersist()
     return out.read()
 
 
@@ -169,9 +174,14 @@ def coloaded_features(spark: SparkSession, sf: str) -> DataFrame:
     from .catalog import rnd
     old, new = _path(spark, "rows"), _path(spark, "derived")
     rows = global_row_index(interactions(spark, sf).select(*VERSIONED), VERSIONED, "idx")
-    sinks.write_columns(rows, old, ["idx", "tweet_id", "b_user_id", "ts"])
-    derived = rows.withColumns({"a_followers": rnd(S.save_log("a_follower_count")), "hour": S.hour_of_day("ts").cast("int"), "unused": F.lit(1)})
-    sinks.write_columns(derived, new, ["idx", "a_followers", "hour"])
+    # Both dumps come from one ranking; a lost block is computed anew.
+    rows = rows.select("idx", "tweet_id", "b_user_id", "ts", "a_follower_count").persist()
+    try:
+        sinks.write_columns(rows, old, ["idx", "tweet_id", "b_user_id", "ts"])
+        derived = rows.withColumns({"a_followers": rnd(S.save_log("a_follower_count")), "hour": S.hour_of_day("ts").cast("int"), "unused": F.lit(1)})
+        sinks.write_columns(derived, new, ["idx", "a_followers", "hour"])
+    finally:
+        rows.unpersist()
     return readers.coload(readers.read_parquet(spark, new), readers.read_parquet(spark, old))
 
 
