@@ -93,8 +93,8 @@ def apply_group_encoding(df: DataFrame, stats: DataFrame, category: str | list[s
     """A10/A11 apply: ``(count * mean + w * total_mean) / (count + w)`` joined on
     the category (J8); unseen categories get ``fill`` in the new column only.
 
-    The statistics have one row per category.  Those of hot categories (1 % of the counted
-    rows, so 100 at most) reach their rows by a bounded broadcast, the others by a shuffled
+    The statistics have one row per category.  Those of hot categories (0.1 % of the counted
+    rows, so 1000 at most) reach their rows by a bounded broadcast, the others by a shuffled
     join: no task gets all rows of a hot category."""
     cats = [category] if isinstance(category, str) else list(category)
     enc = stats.select(*cats, ((F.col("count") * F.col("mean") + F.lit(float(weight)) * F.col("total_mean"))
@@ -102,9 +102,10 @@ def apply_group_encoding(df: DataFrame, stats: DataFrame, category: str | list[s
     return _by_key(df, enc, stats, "count", cats).withColumn(name, F.coalesce(F.col(name), F.lit(fill)))
 
 
-def _by_key(df: DataFrame, values: DataFrame, counted: DataFrame, count: str, keys: list[str], hot_share: float = 0.01) -> DataFrame:
-    """Left join of ``values`` on ``keys`` (a null in one matches nothing); keys with at least ``hot_share``
-    of all that ``counted`` counts go through the split join."""
+def _by_key(df: DataFrame, values: DataFrame, counted: DataFrame, count: str, keys: list[str], hot_share: float = 0.001) -> DataFrame:
+    """Left join of ``values`` on ``keys`` (a null in one matches nothing).  Rows of keys with at least
+    ``hot_share`` of all that ``counted`` counts meet them in a bounded broadcast and are not moved;
+    the others, and rows without a key, go through the split join."""
     from .enrich import skew_split_left_join
     whole = F.lit(True)
     for c in keys:
@@ -113,8 +114,12 @@ def _by_key(df: DataFrame, values: DataFrame, counted: DataFrame, count: str, ke
     added = [c for c in values.columns if c not in keys]
     total = counted.agg(F.sum(count).alias("_total"))
     hot = counted.crossJoin(F.broadcast(total)).where(F.col(count) >= F.col("_total") * F.lit(hot_share)).select(key).where("_key IS NOT NULL")
-    out = skew_split_left_join(df.select("*", key), values.select(key, *added).where("_key IS NOT NULL"), "_key", hot)
-    return out.select(*keys, *[c for c in df.columns if c not in keys], *added)
+    keyed = values.select(key, *added).where("_key IS NOT NULL")
+    near_values = keyed.join(F.broadcast(hot), "_key", "left_semi").select(F.col("_key").alias("_near"), F.struct(*added).alias("_values"))
+    marked = df.select("*", key).join(F.broadcast(near_values), F.col("_key") == F.col("_near"), "left")
+    near = marked.where("_near IS NOT NULL").select(*df.columns, *[F.col("_values")[c].alias(c) for c in added])
+    far = skew_split_left_join(marked.where("_near IS NULL").select(*df.columns, "_key"), keyed, "_key", hot).drop("_key")
+    return near.unionByName(far).select(*keys, *[c for c in df.columns if c not in keys], *added)
 
 
 def group_target_encoding(df: DataFrame, category: str | list[str], target: str, name: str | None = None,
