@@ -133,7 +133,7 @@ def minibatch_ids(spark: SparkSession, sf: str) -> DataFrame:
     df = interactions(spark, sf).select(*ROW)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartitionByRange(n, *ROW).sortWithinPartitions(*ROW).write.parquet(path)
-    rows = readers.with_batches(readers.with_file_position(spark.read.parquet(path)), MINI_BATCH)
+    rows = readers.with_batches(readers.with_file_position(spark.read.parquet(path)), MINI_BATCH, whole_files=True)
     return readers.with_minibatches(rows, MINI).select(*ROW, "batch_id", "minibatch_id")
 
 

@@ -8,7 +8,7 @@ prunes unread columns (S3, S7).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import ALL_COLS, FEATURE_COLS, LABEL_COLS, USER_CENTRIC_COLS, schema_for
@@ -77,11 +77,18 @@ def file_order(df_with_file: DataFrame, seed: int | None = None) -> DataFrame:
     return global_row_index(files, [key, F.col("source_file")], "file_rank")
 
 
-def with_batches(df: DataFrame, batch_size: int, order: list | None = None) -> DataFrame:
+def with_batches(df: DataFrame, batch_size: int, order: list | None = None, whole_files: bool = False) -> DataFrame:
     """Batch id from a global row number (re-batching across file borders
     without moving rows through one task).  Rows go by ``order``, else by their file
-    position (``with_file_position``), else by their place in the Spark partition."""
+    position (``with_file_position``), else by their place in the Spark partition.
+
+    ``whole_files``: ``df`` has file positions and all rows of its files (checked: a missing row fails
+    the job), so the rows before a file are counted and no row is moved.  ``row_in_batch`` is kept
+    then, for ``with_minibatches``."""
     from ..operators.ranking import global_row_index
+    if whole_files:
+        numbered = _numbered_by_file(df).withColumn("batch_id", F.floor(F.col("_rn") / batch_size).cast("bigint"))
+        return numbered.withColumn("row_in_batch", F.col("_rn") - F.col("batch_id") * batch_size).drop("_rn")
     if order is None:
         order = _position(df)
     if order is None:
@@ -96,14 +103,26 @@ def first_batches(df_batched: DataFrame, n: int) -> DataFrame:
     return df_batched if n < 0 else df_batched.filter(F.col("batch_id") < n)
 
 
+def _numbered_by_file(df: DataFrame) -> DataFrame:
+    """``_rn``: rows of the files before (by name) plus ``row_in_file``; a row a file is broadcast."""
+    files = df.groupBy("source_file").agg(F.count(F.lit(1)).alias("_n"), (F.max("row_in_file") + 1).alias("_end"))
+    before = F.sum("_n").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.when(F.col("_n") == F.col("_end"), F.coalesce(before, F.lit(0).cast("bigint")))
+    files = files.select("source_file", whole.otherwise(F.raise_error(F.lit("whole_files: rows of a file are missing")).cast("bigint")).alias("_before"))
+    return df.join(F.broadcast(files), "source_file").withColumn("_rn", F.col("_before") + F.col("row_in_file")).drop("_before")
+
+
 def _position(df: DataFrame) -> list | None:
     return [F.col("source_file"), F.col("row_in_file")] if {"source_file", "row_in_file"} <= set(df.columns) else None
 
 
 def with_minibatches(df_batched: DataFrame, size: int, order: list | None = None) -> DataFrame:
     """Second-level slice id inside each batch.  Rows go by ``order``, else by their file position
-    (the same ids under any partitioning), else by their place in the Spark partition."""
+    (the same ids under any partitioning), else by their place in the Spark partition.  Rows with
+    ``row_in_batch`` (``with_batches(..., whole_files=True)``) are not moved."""
     from ..operators.ranking import global_row_index
+    if order is None and "row_in_batch" in df_batched.columns:
+        return df_batched.withColumn("minibatch_id", F.floor(F.col("row_in_batch") / size).cast("bigint")).drop("row_in_batch")
     order = order or _position(df_batched) or [F.monotonically_increasing_id()]
     r = global_row_index(df_batched, [F.col("batch_id"), *order], "_rn")
     start = r.groupBy("batch_id").agg(F.min("_rn").alias("_start"))
