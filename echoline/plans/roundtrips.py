@@ -162,8 +162,7 @@ def extension_listing(spark: SparkSession, sf: str) -> DataFrame:
     """A folder with rows in ``.csv``, ``.tsv`` and ``.bak`` files; the last are not read."""
     path = _path(spark, "mixed")
     rows = interactions(spark, sf).select(*ALL_COLS)
-    for kind, part in zip(("csv", "tsv", "bak"), EXTENSION_PARTS):
-        rows.where(F.col("type").isin(part)).write.mode("append").option("extension", kind).options(**LOG).csv(path)
+    sinks.write_by_extension(rows, path, {kind: F.col("type").isin(part) for kind, part in zip(("csv", "tsv", "bak"), EXTENSION_PARTS)}, **LOG)
     return readers.read_interactions(spark, path)
 
 

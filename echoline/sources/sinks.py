@@ -7,7 +7,7 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -85,6 +85,24 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("header", str(header).lower()).csv(path)
 
 
+def write_by_extension(df: DataFrame, path: str, extensions: dict[str, Column], **options: str) -> None:
+    """One folder of delimited files, the rows of each condition in files of its extension (the first
+    condition that holds counts; rows of none are left out).  The rows are computed and written once, into
+    a hidden folder; then its files are moved by name, which moves no data on the driver."""
+    kind = F.coalesce(*[F.when(rows, F.lit(k)) for k, rows in extensions.items()])
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    df.withColumn("_kind", kind).where("_kind IS NOT NULL").write.partitionBy("_kind").options(**options).csv(staged)
+    spark, hadoop = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in extensions:
+        folder = hadoop(f"{staged}/_kind={k}")
+        for f in fs.listStatus(folder) if fs.exists(folder) else []:
+            name = f.getPath().getName()
+            if name.startswith("part-") and not fs.rename(f.getPath(), hadoop(f"{path}/{name.replace('.csv', f'.{k}', 1)}")):
+                raise OSError(f"{name} could not be moved to {path}")
+    fs.delete(hadoop(staged), True)
+
+
 def versioned_path(base: str, version: str | None = None) -> str:
     """A fresh output location instead of moving old output away."""
     return f"{base}/v={version or time.strftime('%Y%m%dT%H%M%S')}"
