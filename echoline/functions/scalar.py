@@ -209,6 +209,16 @@ def nonzero(x) -> Column:
     return F.coalesce(_c(x), F.lit(0)) != 0
 
 
+def round_half_up(x, digits: int = 6) -> Column:
+    """``round`` of a double.  It makes two big decimals of each value; here a value that is no tie for sure
+    goes by its nearest integer of ``10^digits`` parts, which gives the same double, and only the others
+    (near a tie, large, NaN) by ``round``."""
+    c, scale = _c(x).cast("double"), F.lit(float(10**digits))
+    scaled = c * scale
+    plain = (F.abs(scaled) < 1e12) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    return F.when(plain, F.floor(scaled + 0.5) / scale).otherwise(F.round(c, digits))
+
+
 def round_decision(p) -> Column:
     """Half-to-even rounding of a probability to 0/1."""
     return F.bround(_c(p), 0).cast("int")

@@ -20,14 +20,23 @@ R = 6
 
 
 def rnd(c, digits: int = R):
-    return F.round(c.cast("double") if not isinstance(c, str) else F.col(c).cast("double"), digits)
+    return S.round_half_up(c if not isinstance(c, str) else F.col(c), digits)
 
 
 def _ix(spark, sf, score=False):
     return interactions(spark, sf, with_score=score)
 
 
+#: Up to 100 columns Spark compiles a projection into one method; with more doubles than this it is too large for the JVM to compile.
+MANY_DOUBLES = 24
+
+
 def _round_doubles(df: DataFrame) -> DataFrame:
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if len(doubles) > MANY_DOUBLES and len(df.columns) <= 100:
+        at = {c: i for i, c in enumerate(doubles)}
+        rounded = df.withColumn("_rounded", F.transform(F.array(*[F.col(c).cast("double") for c in doubles]), lambda x: rnd(x)))
+        return rounded.select(*[F.col("_rounded")[at[c]].alias(c) if c in at else F.col(c) for c in df.columns])
     return df.select(*[rnd(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
                        else F.col(f.name) for f in df.schema.fields])
 
