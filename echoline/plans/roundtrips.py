@@ -13,7 +13,7 @@ from ..operators import clean, encoding, user_index
 from ..schema import ALL_COLS, DEFAULT_SPLIT_TS, FEATURE_COLS, TARGETS
 from ..session import ensure_checkpoint_dir
 from ..sources import readers, sinks
-from ..sources.fixtures import interactions
+from ..sources.fixtures import interactions, raw_interactions
 
 BATCH, FIRST = 1000, 3
 #: How logs are written: as the readers expect them, compressed (a file holds one task's rows).
@@ -114,17 +114,18 @@ def additive_features(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions import scalar as S
     from ..operators.ranking import global_row_index
     from .catalog import rnd
-    df = global_row_index(interactions(spark, sf).select(*VERSIONED), VERSIONED, "row_id", start=1)
-    # Both versions come from one ranking; a lost block is computed anew.
-    df = df.select("row_id", "tweet_id", rnd(S.save_log("a_follower_count")).alias("a_followers"),
-                   rnd(S.token_len_log("tokens")).alias("bert_token_len"), S.text_length("tokens").alias("token_chars")).persist()
+    rows, of = raw_interactions(spark, sf, VERSIONED, made=("ts",))
+    df = global_row_index(rows, [of[c] for c in VERSIONED], "row_id", start=1)
+    # Both versions come from one ranking; a lost block is computed anew.  Ids are kept as bytes.
+    df = df.select("row_id", F.unhex(of["tweet_id"]).alias("tweet_id"), rnd(S.save_log(of["a_follower_count"])).alias("a_followers"),
+                   rnd(S.token_len_log(of["tokens"])).alias("bert_token_len"), S.text_length(of["tokens"]).alias("token_chars")).persist()
     try:
         out = sinks.VersionedOutput(spark, _path(spark, "features"), "row_id")
         out.publish(df.select("row_id", "tweet_id", "a_followers"))
         out.add_columns(df.select("row_id", "tweet_id", "bert_token_len", "token_chars"))
     finally:
         df.unpersist()
-    return out.read()
+    return out.read().withColumn("tweet_id", F.hex("tweet_id"))
 
 
 def minibatch_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,9 @@ and the oracle CTE are defined by the same text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TS = "({epoch_orderdate} + l.l_partkey % 86400)"
@@ -111,8 +113,8 @@ def load_tables(spark: SparkSession, sf_dir: str, names=("lineitem", "orders", "
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
-def interactions(spark: SparkSession, sf_dir: str, with_score: bool = False) -> DataFrame:
-    """The interactions DataFrame.  Joins are shuffled on their keys (or
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' columns side by side.  Joins are shuffled on their keys (or
     broadcast by AQE from measured sizes); unused columns are pruned at the
     Parquet scan because the projection below is declarative.  Orders meet
     customers before line items: line items are moved twice, by order and by part."""
@@ -127,9 +129,23 @@ def interactions(spark: SparkSession, sf_dir: str, with_score: bool = False) ->
     l = t["lineitem"].selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax >= 0.07 AS l_replied",
                                  "l_discount >= 0.09 AS l_retweeted", "l_linestatus = 'F' AS l_follows").alias("l")
     oc = o.join(c, F.col("o.o_custkey") == F.col("c.c_custkey"))
-    joined = (l.join(oc, F.col("l.l_orderkey") == F.col("o.o_orderkey"))
-               .join(p, F.col("l.l_partkey") == F.col("p.p_partkey")))
+    return (l.join(oc, F.col("l.l_orderkey") == F.col("o.o_orderkey"))
+             .join(p, F.col("l.l_partkey") == F.col("p.p_partkey")))
+
+
+def interactions(spark: SparkSession, sf_dir: str, with_score: bool = False) -> DataFrame:
+    """The interactions DataFrame."""
     exprs = [f"{_placed(e)} AS {n}" for n, e in _COLUMNS]
     if with_score:
         exprs.append(f"CAST({_SCORE} AS DOUBLE) AS score")
-    return joined.selectExpr(*exprs)
+    return _joined(spark, sf_dir).selectExpr(*exprs)
+
+
+def raw_interactions(spark: SparkSession, sf_dir: str, names: list[str], made: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, Column]]:
+    """The interactions before their columns are made: the raw columns that ``names`` come from, and for each name
+    its expression over them.  Columns in ``made`` are made already.  A query that moves, sorts or groups
+    rows moves these instead of ids and token lists, which are several times as wide."""
+    exprs = {n: re.sub(r"\b[locp]\.(?=[locp]_)", "", _placed(e)) for n, e in _COLUMNS if n in names}
+    raw = sorted({c for n, e in exprs.items() if n not in made for c in re.findall(r"\b[locp]_\w+", e)})
+    rows = _joined(spark, sf_dir).selectExpr(*[f"{exprs[n]} AS {n}" for n in exprs if n in made], *raw)
+    return rows, {n: F.col(n) if n in made else F.expr(e) for n, e in exprs.items()}

@@ -69,3 +69,59 @@ def test_rows_of_near_codes_are_not_moved(spark, monkeypatch):
         out = encode_column(df, "v", "c", codes, null_code=None)
         assert [r.c for r in sorted(out.collect(), key=lambda r: r.i)] == want
         assert out.columns == ["v", "i", "c"]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _tables(spark, path: str) -> str:
+    """Orders with line items that tie in all but the tokens, a supplier and a customer with the same key, keys that repeat or are null."""
+    spark.sql("SELECT * FROM VALUES (1L, 1L, 7L, 3), (1L, 1L, 7L, 1), (1L, 1L, 7L, 2), (1L, 2L, 8L, 1), (2L, 1L, NULL, 1), (3L, 2L, 9L, 4), (3L, 2L, 9L, 4), (NULL, 1L, 7L, 1) "
+              "AS t(l_orderkey, l_partkey, l_suppkey, l_linenumber)").selectExpr(
+        "*", "1.0D AS l_quantity", "0.0D AS l_tax", "0.0D AS l_discount", "'F' AS l_linestatus").write.parquet(f"{path}/lineitem.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 7L, '2-HIGH'), (2L, 5L, '1-URGENT'), (3L, 7L, NULL), (3L, 5L, '4-LOW') AS t(o_orderkey, o_custkey, o_orderpriority)").selectExpr(
+        "*", "TIMESTAMP_NTZ'2024-01-15 03:04:05' AS o_orderdate").write.parquet(f"{path}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES (7L, 1.0D, 1), (5L, 2.0D, NULL) AS t(c_custkey, c_acctbal, c_nationkey)").write.parquet(f"{path}/customer.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 'red blue', 1, 'b'), (2L, NULL, 2, 'b') AS t(p_partkey, p_name, p_size, p_brand)").write.parquet(f"{path}/part.parquet")
+    return path
+
+
+def test_raw_interactions_make_the_same_columns(spark, scratch):
+    from echoline.sources.fixtures import INTERACTION_COLS, interactions, raw_interactions
+    sf = _tables(spark, scratch)
+    rows, of = raw_interactions(spark, sf, INTERACTION_COLS, made=("ts", "type"))
+    rows = rows.select(*[of[c].alias(c) for c in INTERACTION_COLS])
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, interactions(spark, sf).collect()))
+
+
+def test_ranking_moves_no_ids(spark, scratch, monkeypatch):
+    """Versions and dumps are ranked by raw columns, ties in the order of their tokens, and read back with ids as written before."""
+    import itertools
+    from echoline.operators import ranking
+    from echoline.plans import roundtrips
+    from echoline.sources.fixtures import interactions
+    seen, index = [], ranking.global_row_index
+
+    def ranked(df, *args, **kwargs):
+        seen.append(df.dtypes)
+        return index(df, *args, **kwargs)
+
+    sf = _tables(spark, scratch)
+    rows = interactions(spark, sf).select(*roundtrips.VERSIONED).collect()
+    least = lambda v: (v is not None, v if v is not None else 0)
+    rows.sort(key=lambda r: [least(v) for v in r])
+    monkeypatch.setattr(ranking, "global_row_index", ranked)
+    made = sorted(map(tuple, roundtrips.additive_features(spark, sf).collect()))
+    assert [(r[0], r[1], r[4]) for r in made] == [(k, r.tweet_id, None if r.tokens is None else len(r.tokens)) for k, r in zip(itertools.count(1), rows)]
+    dumped = sorted(roundtrips.coloaded_features(spark, sf).select("idx", "tweet_id", "b_user_id", "ts").collect())
+    assert [tuple(r) for r in dumped] == [(k, r.tweet_id, r.b_user_id, r.ts) for k, r in enumerate(rows)]
+    assert len(seen) == 2 and not any({"tweet_id", "b_user_id", "tokens"} & dict(d).keys() for d in seen)
+
+
+def test_sizes_of_ranges_need_no_sort(spark):
+    from echoline.operators.ranking import global_row_index
+    df = spark.range(0, 1000, 1, 5).selectExpr("id % 7 AS a", "id")
+    out = global_row_index(df, ["a"], "rn")
+    assert _plan(out).split("== Initial Plan ==")[0].count(" Sort [a") <= 1
+    assert sorted((r.rn, r.a) for r in out.collect()) == list(enumerate(sorted(i % 7 for i in range(1000))))
