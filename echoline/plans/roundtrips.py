@@ -173,16 +173,19 @@ def coloaded_features(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.ranking import global_row_index
     from .catalog import rnd
     old, new = _path(spark, "rows"), _path(spark, "derived")
-    rows = global_row_index(interactions(spark, sf).select(*VERSIONED), VERSIONED, "idx")
-    # Both dumps come from one ranking; a lost block is computed anew.
-    rows = rows.select("idx", "tweet_id", "b_user_id", "ts", "a_follower_count").persist()
+    order = VERSIONED[:-1]  # no dumped column comes from the tokens, so rows that tie but for them are equal
+    rows, of = raw_interactions(spark, sf, order, made=("ts",))
+    rows = global_row_index(rows, [of[c] for c in order], "idx")
+    # Both dumps come from one ranking; a lost block is computed anew.  Ids are kept as bytes.
+    rows = rows.select("idx", *[F.unhex(of[c]).alias(c) for c in ("tweet_id", "b_user_id")], "ts", of["a_follower_count"].alias("a_follower_count")).persist()
     try:
         sinks.write_columns(rows, old, ["idx", "tweet_id", "b_user_id", "ts"])
         derived = rows.withColumns({"a_followers": rnd(S.save_log("a_follower_count")), "hour": S.hour_of_day("ts").cast("int"), "unused": F.lit(1)})
         sinks.write_columns(derived, new, ["idx", "a_followers", "hour"])
     finally:
         rows.unpersist()
-    return readers.coload(readers.read_parquet(spark, new), readers.read_parquet(spark, old))
+    both = readers.coload(readers.read_parquet(spark, new), readers.read_parquet(spark, old))
+    return both.withColumns({c: F.hex(c) for c in ("tweet_id", "b_user_id")})
 
 
 def run_log_ranked(spark: SparkSession, sf: str) -> DataFrame:
