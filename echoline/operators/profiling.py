@@ -6,7 +6,9 @@ rather than an unpartitioned window, so no single task sees every user.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import follower_bin
@@ -112,9 +114,18 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
-def distinct_users(df: DataFrame) -> DataFrame:
-    """Users over both roles."""
-    return df.select(F.col("a_user_id").alias("user_id")).union(df.select(F.col("b_user_id").alias("user_id"))).distinct()
+def distinct_users(df: DataFrame, roles: dict[str, Column] | None = None) -> DataFrame:
+    """Users over both roles, from one pass over the rows.
+
+    ``roles``: integer columns that ids are made from, each with its id's expression; these are
+    grouped in the ids' place, a fraction as wide, and only distinct ones are made ids."""
+    if roles is None:
+        return df.select(F.explode(F.array("a_user_id", "b_user_id")).alias("user_id")).distinct()
+    pairs = [F.struct(F.lit(k).alias("_role"), F.col(c).cast("bigint").alias("_key")) for k, c in enumerate(roles)]
+    keys = df.select(F.inline(F.array(*pairs))).distinct()
+    # One frame a role: ids made from all keys at once would be grouped alone, without the keys' own grouping before.
+    ids = [keys.where(F.col("_role") == k).select(F.col("_key").alias(c)).select(e.alias("user_id")) for k, (c, e) in enumerate(roles.items())]
+    return functools.reduce(DataFrame.union, ids).distinct()
 
 
 def distinct_list_items(df: DataFrame, col: str, sep: str = "\t") -> DataFrame:

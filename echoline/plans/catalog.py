@@ -263,7 +263,9 @@ def dict_language(spark, sf):
 def dict_users(spark, sf):
     from ..operators import profiling
     from ..operators.dictionary import build_dictionary
-    return build_dictionary(profiling.distinct_users(_ix(spark, sf)), "user_id", null_code=None)
+    from ..sources.fixtures import raw_interactions
+    rows, of = raw_interactions(spark, sf, ["a_user_id", "b_user_id"])
+    return build_dictionary(profiling.distinct_users(rows, {"l_suppkey": of["a_user_id"], "o_custkey": of["b_user_id"]}), "user_id", null_code=None)
 
 
 def distinct_hashtags(spark, sf):

@@ -125,3 +125,16 @@ def test_sizes_of_ranges_need_no_sort(spark):
     out = global_row_index(df, ["a"], "rn")
     assert _plan(out).split("== Initial Plan ==")[0].count(" Sort [a") <= 1
     assert sorted((r.rn, r.a) for r in out.collect()) == list(enumerate(sorted(i % 7 for i in range(1000))))
+
+
+def test_distinct_users_group_raw_keys(spark, scratch):
+    from echoline.operators import profiling
+    from echoline.plans.catalog import dict_users
+    from echoline.sources.fixtures import interactions
+    sf = _tables(spark, scratch)
+    ix = interactions(spark, sf)
+    want = sorted({x for r in ix.select("a_user_id", "b_user_id").collect() for x in r if x is not None})
+    assert sorted(r.user_id for r in profiling.distinct_users(ix).where("user_id IS NOT NULL").collect()) == want
+    out = dict_users(spark, sf)
+    assert sorted((r.code, r.value) for r in out.collect()) == list(enumerate(want))
+    assert "HashAggregate(keys=[_role" in _plan(out)
