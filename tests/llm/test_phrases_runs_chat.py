@@ -239,3 +239,28 @@ def test_no_texts_no_phrases(spark):
     df = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert collocations.best_of_each(collocations.mine_phrases(df)).count() == 0
     assert spark.createDataFrame([("x",)], "a string").select(F.lit(1)).count() == 1
+
+
+def test_shards_hand_on_arrays(spark, monkeypatch):
+    """What passes over the texts give off is a row an array, not one a shard and phrase."""
+    rng = random.Random(3)
+    rows = [("en", " ".join(rng.choice("abcdefghijklmnop") for _ in range(400))) for _ in range(80)]
+    made, arrow_map = {}, collocations.arrow_map
+
+    def counting(df, fn, schema):
+        seen = made.setdefault(schema, spark.sparkContext.accumulator(0))
+
+        def run(batches):
+            for batch in fn(batches):
+                seen.add(batch.num_rows)
+                yield batch
+
+        return arrow_map(df, run, schema)
+
+    monkeypatch.setattr(collocations, "arrow_map", counting)
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 2000)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(8)
+    got = collocations.mine_phrases(df, least=6, longest=2).collect()
+    assert {r.phrase: r.a for r in got} == Counter(f"{a} {b}" for _, text in rows for a, b in zip(text.split(), text.split()[1:]))
+    assert made["w1 int, w2 int"].value == 256 and made["w1 int, w2 int, f long"].value == 256  # each phrase once, though every shard has all
+    assert not any(schema.endswith(", n long") and "w2" in schema for schema in made)
