@@ -89,21 +89,6 @@ class Similarity:
 
 
 _TABLE = bytes.maketrans(_SPLIT, b" " * len(_SPLIT))
-_WORDS: dict[bytes, int] = {}
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; those of recent words are kept."""
-    if len(_WORDS) > 150_000:
-        _WORDS.clear()
-    get = _WORDS.get
-    out = [get(w) for w in words]
-    if None in out:
-        for k, v in enumerate(out):
-            if v is None:
-                v = out[k] = int.from_bytes(hashlib.blake2b(words[k], digest_size=8).digest(), "little")
-                _WORDS[words[k]] = v
-    return np.array(out, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,13 +97,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_hashes(words: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text that has no white space but blanks: sums of mixed (place in the word, byte)."""
+    text = np.frombuffer(words, np.uint8)
+    inside = text != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = np.flatnonzero(begins[inside])
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    text = text[inside].astype(np.uint64)
+    place = np.arange(len(text)) - np.repeat(first, np.diff(first, append=len(text)))
+    return np.add.reduceat(_mix(text + (place.astype(np.uint64) + np.uint64(1) << np.uint64(8))), first)
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's n-word shingles, A-Z as a-z; a text of fewer words is one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().translate(_TABLE).split(b" ")
-    words = [w for w in words if w]
-    if not words:
+    h = _word_hashes((text or "").encode("utf-8", "surrogatepass").lower().translate(_TABLE))
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = _word_hashes(words)
     n = min(n, len(h))
     out = np.full(len(h) - n + 1, len(h) if n == len(h) else 0, np.uint64)
     for k in range(n):
