@@ -801,3 +801,15 @@ def test_joined_crc():
     assert id_files.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
     assert id_files.crc_joined(0, zlib.crc32(b), len(b)) == zlib.crc32(b)
     assert hashlib.sha256(a).digest() != hashlib.sha256(b).digest()
+
+
+def test_words_of_a_text_are_hashed_at_once():
+    texts = ["", "  ", "ab", "ab ba  ab abab a\x00 a a\x00\x00 ", " " + " ".join(str(k) for k in range(5000)), "é é\x85 x" + "y" * 300]
+    known = {}
+    for text in texts:
+        words = [w for w in text.encode().split(b" ") if w]
+        hashes = ngram_join._word_hashes(text.encode()).tolist()
+        assert len(hashes) == len(words)
+        for w, h in zip(words, hashes):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
