@@ -47,12 +47,12 @@ def cut_points(text: str, mean: int = MEAN_CHUNK, least: int = MIN_CHUNK) -> lis
 def piece_values(ids: list[list[int]], tokenizer) -> list[tuple[int, bytes, bytes]]:
     """(number of ids, their decimal form with a comma before each, decoded bytes)."""
     texts = tokenizer.decode_batch(ids, skip_special_tokens=False)
-    return [(len(i), "".join([f",{x}" for x in i]).encode(), t.encode("utf-8")) for i, t in zip(ids, texts)]
+    return [(len(i), f",{','.join(map(str, i))}".encode() if i else b"", t.encode("utf-8")) for i, t in zip(ids, texts)]
 
 
 class ChunkEncoder:
     def __init__(self, path: str, kept: int = KEPT_CHUNKS):
-        self.encoder = PieceEncoder.shared(path, piece_values)
+        self.encoder = PieceEncoder.shared(path, piece_values, _join)
         check_decoding(self.encoder.tokenizer)
         self.chunks = Recent(kept)
         self.reused = self.encoded = 0
@@ -118,7 +118,8 @@ def _last_cut(chunk: str) -> int:
 
 
 def _join(values: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-    return sum(v[0] for v in values), b"".join([v[1] for v in values]), b"".join([v[2] for v in values])
+    numbers, ids, decoded = zip(*values) if values else ((), (), ())
+    return sum(numbers), b"".join(ids), b"".join(decoded)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:

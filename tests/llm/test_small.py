@@ -813,3 +813,36 @@ def test_words_of_a_text_are_hashed_at_once():
         for w, h in zip(words, hashes):
             assert known.setdefault(w, h) == h
     assert len(set(known.values())) == len(known)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_go_to_the_model(name):
+    """What the model alone makes of a word, and of a word and its tail, is what the tokenizer makes of the piece."""
+    from echoline.llm import pieces
+
+    rng = random.Random(3)
+    letters, tails = "aeinrstthouAEINR" + "ßàéêñöüÿÀÉÊÑÖÜÞ", pieces.TAIL
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(800)] + ["the", "s", "ll", "d", "re", "x" * 700, "É" * 300]
+    made = [rng.choice(["", " "]) + w + "".join(rng.choice(tails) for _ in range(rng.choice([0, 0, 1, 3]))) for w in words]
+    odd = ["don't", "a's.", "  a", "\na", "(a", "a1", "a,b", "éa", "İ", "ª", "×a", "a÷", "a'", ".", "", "<|endoftext|>", "a<|endoftext|>", " a "]
+    encoder = pieces.PieceEncoder(public_tokenizers.path(name), lambda ids, _: [tuple(x) for x in ids], lambda parts: sum(parts, ()), 100)
+    whole, seen = encoder._whole, set()
+    encoder._whole = lambda part: seen.update(part) or whole(part)
+    for _ in range(2):
+        got = encoder.lookup({*made, *odd})
+        for p in {*made, *odd}:
+            assert got[p] == tuple(encoder.tokenizer.encode(p, add_special_tokens=False).ids), p
+    direct = {p for p in made if not p.startswith(" ") or name.startswith("byte")}
+    assert not seen & {p for p in direct if p[-1] not in tails} and len(direct) > 300
+    assert len({p for p in seen - set(odd) if len(p) > 3} & direct) == 0
+
+
+def test_added_tokens_of_letters_need_the_whole_tokenizer():
+    from tokenizers import AddedToken
+
+    from echoline.llm import pieces
+
+    t = pieces.load_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert pieces.direct_pieces(t)
+    t.add_tokens([AddedToken("hea", normalized=False)])
+    assert pieces.direct_pieces(t) is None
