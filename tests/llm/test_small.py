@@ -846,3 +846,23 @@ def test_added_tokens_of_letters_need_the_whole_tokenizer():
     assert pieces.direct_pieces(t)
     t.add_tokens([AddedToken("hea", normalized=False)])
     assert pieces.direct_pieces(t) is None
+
+
+def test_blocks_are_decoded_a_wave_at_a_time(spark, docs, texts, tmp_path):
+    """However many blocks a batch of the files has, a task holds a wave's; sums are made where they are decoded."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    id_files.write_ids(docs, path, f"{tmp_path}/w", block_ids=50)
+    want = {(r.part, r.number, r.block, r.at): (r.doc_id, r.n, r.last, zlib.crc32(r.ids)) for r in id_files.read_ids(spark, f"{tmp_path}/w").collect()}
+
+    def make(ids):
+        import inspect
+
+        decoded = inspect.currentframe().f_back.f_back.f_locals["decoded"]
+        assert len(decoded) <= 3
+        return zlib.crc32(ids)
+
+    got = id_files._read_pieces(spark, f"{tmp_path}/w", make, id_files.pa.int64(), "crc long", wave=3).collect()
+    assert {(r.part, r.number, r.block, r.at): (r.doc_id, r.n, r.last, r.crc) for r in got} == want
+    assert len(want) > 100
+    plan = id_files.document_sums(spark, f"{tmp_path}/w")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1
