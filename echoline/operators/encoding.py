@@ -32,8 +32,13 @@ def _slot_name(t: str, r: str, ty: str | None) -> str:
     return f"{t}_{r}" + (f"_{ty}" if ty else "")
 
 
-def _rate(t: str, r: str, ty: str | None) -> Column:
-    return F.try_divide(F.col(count_col(t, r, ty)), F.col(count_col("present", r, ty)))
+def _rate(t: str, r: str, ty: str | None, side: str = "") -> Column:
+    return F.try_divide(F.col(count_col(t, r, ty) + side), F.col(count_col("present", r, ty) + side))
+
+
+def slot_counts(types=COMBINED_TYPES) -> list[str]:
+    """The count columns that the encodings come from."""
+    return list(dict.fromkeys(count_col(a, r, ty) for t, r, ty in te_slots(types) for a in ("present", t)))
 
 
 def priors(index: DataFrame, undefined: str = "zero", types=COMBINED_TYPES) -> DataFrame:
@@ -60,18 +65,23 @@ def user_target_encodings(index: DataFrame, prior_row: DataFrame | None = None,
 
     Output: ``user_id``, the columns in ``keep`` and 32 ``TE_{slot}`` columns.
     """
-    if not isinstance(smoothing, dict):
-        smoothing = {t: smoothing for t in TARGETS}
     pr = prior_row if prior_row is not None else priors(index, undefined, types)
     joined = index.crossJoin(F.broadcast(pr))  # one-row side: bounded
-    cols = [F.col("user_id")] + [F.col(c) for c in (keep or [])]
+    return joined.select("user_id", *(keep or []), *encoding_columns(smoothing, types))
+
+
+def encoding_columns(smoothing: dict[str, float] | float = DEFAULT_SMOOTHING, types=COMBINED_TYPES, side: str = "") -> list[Column]:
+    """``TE_{slot}{side}`` from count columns that end in ``side`` and the columns of ``priors``."""
+    if not isinstance(smoothing, dict):
+        smoothing = {t: smoothing for t in TARGETS}
+    cols = []
     for t, r, ty in te_slots(types):
-        n = F.col(count_col("present", r, ty)).cast("double")
-        rate = F.coalesce(_rate(t, r, ty), F.lit(0.0))
+        n = F.col(count_col("present", r, ty) + side).cast("double")
+        rate = F.coalesce(_rate(t, r, ty, side), F.lit(0.0))
         s = F.lit(float(smoothing[t]))
         prior = F.col(f"prior_{_slot_name(t, r, ty)}")
-        cols.append(F.try_divide(n * rate + s * prior, s + n).alias(f"TE_{_slot_name(t, r, ty)}"))
-    return joined.select(*cols)
+        cols.append(F.try_divide(n * rate + s * prior, s + n).alias(f"TE_{_slot_name(t, r, ty)}{side}"))
+    return cols
 
 
 # ---------------------------------------------------------------- group flavour

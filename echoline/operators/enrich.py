@@ -5,6 +5,8 @@ its exposed user (suffix ``_B``) through two left equi-joins on the 64-bit
 user key.  The index side has one row per user, so:
 
 * the index is shuffled once and its exchange is reused by both joins;
+* what is moved is narrow: the index side carries its counts, packed to bytes, and the
+  encodings are computed where both joins have ended; ids go as two longs;
 * a hot key (an author holding a third of all rows) only skews the
   interaction side: AQE's skew-join splits that partition at run time, or
   ``skew="split"`` takes the rows of the few hot keys from a broadcast whose
@@ -13,20 +15,24 @@ user key.  The index side has one row per user, so:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import id_key64
 from ..schema import SENTINEL
+from ..session import stored
 from .clean import sentinel_fill
-from .encoding import priors, user_target_encodings
+from .encoding import encoding_columns, priors, slot_counts, user_target_encodings
 
 
 def hot_keys(df: DataFrame, key: str, hot_share: float = 0.01) -> DataFrame:
     """Keys holding at least ``hot_share`` of the rows: at most 1/hot_share of
     them exist, so the result has a proven size bound."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
     return (counts.crossJoin(F.broadcast(total))
             .filter(F.col("_n") >= F.col("_total") * F.lit(hot_share)).select(key))
 
@@ -59,7 +65,61 @@ def suffixed(index: DataFrame, side: str, key: str) -> DataFrame:
                         *[F.col(c).alias(f"{c}_{side}") for c in index.columns if c != "user_id"])
 
 
-def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_share: float = 0.01) -> DataFrame:
+#: Columns that may hold an id of 32 hex digits.
+ID_COLS = ["tweet_id", "a_user_id", "b_user_id"]
+#: Counts below this go as two bytes.
+NARROW = 1 << 16
+
+
+def _digits(start: int, c: str) -> Column:
+    """Sixteen hex digits of an id as a long."""
+    return F.conv(F.substring(c, start, 16), 16, -10).cast("bigint")
+
+
+def pack_ids(df: DataFrame, keys: dict[str, str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its ids of 32 hex digits (upper case) as two longs, and its columns as they were, to be
+    selected after the joins.  ``keys``: id -> column that holds its last sixteen digits already.  Other ids
+    stay as they are, in a column that is null for packed ones."""
+    ids = [c for c in ID_COLS if c in df.columns and df.schema[c].dataType == T.StringType()]
+    moved, back = {}, {}
+    for c in ids:
+        whole = F.coalesce(F.col(c).rlike(r"\A[0-9A-F]{32}\z"), F.lit(False))
+        moved[f"_{c}_high"] = F.when(whole, _digits(1, c))
+        if c not in keys:
+            moved[f"_{c}_low"] = F.when(whole, _digits(17, c))
+        moved[f"_{c}_text"] = F.when(~whole, F.col(c))
+        halves = [F.lpad(F.hex(x), 16, "0") for x in (f"_{c}_high", keys.get(c, f"_{c}_low"))]
+        back[c] = F.when(F.col(f"_{c}_high").isNotNull(), F.concat(*halves)).otherwise(F.col(f"_{c}_text")).alias(c)
+    return df.withColumns(moved).drop(*ids), [back.get(c, F.col(c)) for c in df.columns if c not in keys.values()]
+
+
+def pack_counts(index: DataFrame, counts: list[str]) -> DataFrame:
+    """``user_id`` and its counts, eight to a long: ``_p0`` .. have their low bytes, then their second bytes, which
+    are mostly zeros and vanish in a compressed shuffle.  ``_wide`` has the counts themselves where one is null or
+    doesn't fit, else null.  Counts that are no integers stay beside them."""
+    whole = [c for c in counts if isinstance(index.schema[c].dataType, T.IntegralType)]
+    longs = [F.col(c).cast("bigint") for c in whole]
+    packed = [reduce(Column.bitwiseOR, [F.shiftleft(F.shiftright(x, shift).bitwiseAND(F.lit(255)), 8 * i) for i, x in enumerate(longs[at:at + 8])])
+              for shift in (0, 8) for at in range(0, len(longs), 8)]
+    out = [p.alias(f"_p{i}") for i, p in enumerate(packed)]
+    if whole:
+        fits = reduce(Column.__and__, [F.coalesce((x >= 0) & (x < NARROW), F.lit(False)) for x in longs])
+        out.append(F.when(~fits, F.array(*longs)).alias("_wide"))
+    return index.select("user_id", *out, *[c for c in counts if c not in whole])
+
+
+def unpack_counts(index: DataFrame, counts: list[str], side: str) -> list[Column]:
+    """The counts of ``pack_counts`` as ``{count}_{side}``, from its columns with the same ending; null for unknown users."""
+    whole = [c for c in counts if isinstance(index.schema[c].dataType, T.IntegralType)]
+    n, out = -(-len(whole) // 8), {}
+    for k, c in enumerate(whole):
+        low, high = (F.shiftright(F.col(f"_p{at + k // 8}_{side}"), 8 * (k % 8)).bitwiseAND(F.lit(255)) for at in (0, n))
+        wide = F.col(f"_wide_{side}")
+        out[c] = F.when(wide.isNotNull(), wide[k]).otherwise(low + F.shiftleft(high, 8)).cast(index.schema[c].dataType).alias(f"{c}_{side}")
+    return [out.get(c, F.col(f"{c}_{side}")) for c in counts]
+
+
+def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_share: float = 0.01, materialize: str = "none") -> DataFrame:
     """J1 + J2 (+ J3: returns ``df`` untouched when there is no index): joins
     with AQE skew handling (and AQE's broadcast from measured bytes), or the
     explicit hot-key split."""
@@ -67,14 +127,15 @@ def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_sh
         return df
     out = df.withColumns({"_a_key": id_key64(F.col("a_user_id")), "_b_key": id_key64(F.col("b_user_id"))})
     ia, ib = suffixed(index, "A", "_a_key"), suffixed(index, "B", "_b_key")
+    hot = [hot_keys(out.select(k), k, hot_share) for k in ("_a_key", "_b_key")] if skew == "split" else []
+    out, columns = pack_ids(out, {"a_user_id": "_a_key", "b_user_id": "_b_key"})
     if skew == "split":
         # Both hot sets come from the narrow key columns, before any join.
-        hot_a, hot_b = (hot_keys(out.select(k), k, hot_share) for k in ("_a_key", "_b_key"))
-        out = skew_split_left_join(out, ia, "_a_key", hot_a)
-        out = skew_split_left_join(out, ib, "_b_key", hot_b)
+        out = skew_split_left_join(out, ia, "_a_key", hot[0])
+        out = skew_split_left_join(out, ib, "_b_key", hot[1])
     else:
         out = out.join(ia, "_a_key", "left").join(ib, "_b_key", "left")
-    return out.drop("_a_key", "_b_key")
+    return out.select(*columns, *[c for side in (ia, ib) for c in side.columns[1:]])
 
 
 def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undefined: str = "zero",
@@ -87,19 +148,28 @@ def enrich(interactions: DataFrame, index: DataFrame | None, smoothing=20, undef
     (R3; also on sentinel values, as the original does), reproducible by row with ``noise_key``.
     ``materialize``: the index feeds the priors and the per-user encodings.
     ``"none"`` (default) leaves that to Spark's exchange reuse; ``"checkpoint"``
-    writes the index to the shared checkpoint folder first, for an index that is
-    dear to build.  Nothing is persisted in executor storage.
+    writes the index (and the hot keys of the split join) to the shared checkpoint
+    folder first, for an index that is dear to build: the shuffle files that made it
+    are gone before rows are joined.  Nothing is persisted in executor storage.
     """
     if index is None:
         return interactions
     if materialize == "checkpoint":
-        from ..session import cut_lineage
-        index = cut_lineage(index)
+        index = stored(index, "index")[0]
     counts = [c for c in index.columns if c.startswith("n_")]
-    te = user_target_encodings(index, priors(index, undefined), smoothing, keep=counts if keep_counts else [])
-    out = join_index(interactions, te, skew=skew)
-    joined_cols = [c for c in out.columns if c.endswith(("_A", "_B")) and (c.startswith("TE_") or c.startswith("n_"))]
-    out = sentinel_fill(out, sentinel, subset=joined_cols)
+    moved = counts if keep_counts else [c for c in counts if c in slot_counts()]
+    pr = priors(index, undefined)
+    out = join_index(interactions, pack_counts(index, moved), skew=skew, materialize=materialize).crossJoin(F.broadcast(pr))  # one row
+    # The encodings of both users are computed from their counts here, not moved.
+    out = out.select(*interactions.columns, *pr.columns, *[c for side in "AB" for c in unpack_counts(index, moved, side)])
+    kept = {side: [f"{c}_{side}" for c in counts] if keep_counts else [] for side in "AB"}
+    out = out.select(*interactions.columns, *[c for side in "AB" for c in (*kept[side], *encoding_columns(smoothing, side=f"_{side}"))])
+    added = [c for c in out.columns if c.endswith(("_A", "_B"))]
+    te, rest = [c for c in added if c.startswith("TE_")], [c for c in added if c.startswith("n_")]
+    out = sentinel_fill(out, sentinel, subset=rest) if rest else out
+    # Twice in its expression: Spark leaves an encoding's projection by itself then, and doesn't put its
+    # formula into what reads it (noise, rounding), which is evaluated without generated code.
+    out = out.withColumns({c: F.when(F.col(c).isNull() | F.isnan(c), F.lit(float(sentinel))).otherwise(F.col(c)) for c in te})
     if noise_std > 0:
         from .regularize import gaussian_noise
         out = gaussian_noise(out, [c for c in out.columns if c.startswith("TE_")], noise_std, noise_seed, noise_key)

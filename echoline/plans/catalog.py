@@ -14,6 +14,7 @@ from ..functions import scalar as S
 from ..operators import clean, encoding, enrich, user_index
 from ..schema import DEFAULT_SPLIT_TS, LABEL_COLS, TARGETS
 from . import roundtrips
+from ..session import stored
 from ..sources.fixtures import interactions
 
 R = 6
@@ -456,6 +457,11 @@ def _spec(**kw):
     return PipelineSpec(**base)
 
 
+def _stored_index(ix, spec):
+    """The user index as a table: made once for priors and joins, and its shuffle files are gone before these."""
+    return stored(user_index.build_user_index(ix, spec.index_cutoff_ts), "index")[0]
+
+
 def _tables(spark, sf, spec):
     from .jobs import build_training_table
     ix = _ix(spark, sf)
@@ -588,7 +594,8 @@ def training_table_train(spark, sf):
     """The same for the training rows: what models are fit on."""
     from .jobs import PipelineSpec, build_training_table
     spec = PipelineSpec(split_ts=DEFAULT_SPLIT_TS, index_cutoff_ts=DEFAULT_SPLIT_TS)
-    return _round_doubles(build_training_table(_ix(spark, sf), spec, "train"))
+    ix = _ix(spark, sf)
+    return _round_doubles(build_training_table(ix, spec, "train", _stored_index(ix, spec)))
 
 
 def training_table_no_index(spark, sf):
