@@ -37,6 +37,17 @@ def hot_keys(df: DataFrame, key: str, hot_share: float = 0.01) -> DataFrame:
             .filter(F.col("_n") >= F.col("_total") * F.lit(hot_share)).select(key))
 
 
+def hot_key_sets(df: DataFrame, keys: list[str], hot_share: float = 0.01, materialize: str = "none") -> list[DataFrame]:
+    """``hot_keys`` of several columns, found in one pass over ``df`` (and, with ``"checkpoint"``, once for all uses)."""
+    narrow = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_of"), F.col(k).alias("_key")) for i, k in enumerate(keys)])))
+    counts = narrow.groupBy("_of", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.groupBy("_of").agg(F.sum("_n").alias("_total"))
+    hot = counts.join(F.broadcast(total), "_of").filter(F.col("_n") >= F.col("_total") * F.lit(hot_share)).select("_of", "_key")
+    if materialize == "checkpoint":
+        hot = stored(hot, "hot-keys")[0]
+    return [hot.filter(F.col("_of") == i).select(F.col("_key").alias(k)) for i, k in enumerate(keys)]
+
+
 def skew_split_left_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Exact left join on ``key`` that takes the rows of ``hot`` keys from a bounded
     broadcast and all others from the shuffled join, in one pass over ``big``.
@@ -127,7 +138,7 @@ def join_index(df: DataFrame, index: DataFrame | None, skew: str = "aqe", hot_sh
         return df
     out = df.withColumns({"_a_key": id_key64(F.col("a_user_id")), "_b_key": id_key64(F.col("b_user_id"))})
     ia, ib = suffixed(index, "A", "_a_key"), suffixed(index, "B", "_b_key")
-    hot = [hot_keys(out.select(k), k, hot_share) for k in ("_a_key", "_b_key")] if skew == "split" else []
+    hot = hot_key_sets(out, ["_a_key", "_b_key"], hot_share, materialize) if skew == "split" else []
     out, columns = pack_ids(out, {"a_user_id": "_a_key", "b_user_id": "_b_key"})
     if skew == "split":
         # Both hot sets come from the narrow key columns, before any join.

@@ -101,3 +101,11 @@ def test_stored_rows_leave_no_shuffle_files(spark):
     assert sorted(map(tuple, df.collect())) == [(g, 143 if g < 6 else 142) for g in range(7)]
     drop_stored(spark, path)
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_hot_keys_of_several_columns_in_one_pass(spark):
+    df = spark.createDataFrame([(1 if i < 60 else None if i < 80 else i, i % 4 if i % 4 else None) for i in range(100)], "a long, b long")
+    for how in ("none", "checkpoint"):
+        a, b = enrich.hot_key_sets(df, ["a", "b"], 0.2, how)
+        assert sorted(map(str, a.collect())) == ["Row(a=1)", "Row(a=None)"] and sorted(str(r.b) for r in b.collect()) == ["1", "2", "3", "None"]
+        assert enrich.hot_keys(df, "a", 0.2).count() == 2 and enrich.hot_key_sets(df.limit(0), ["a"], 0.2, how)[0].count() == 0
