@@ -109,3 +109,38 @@ def test_hot_keys_of_several_columns_in_one_pass(spark):
         a, b = enrich.hot_key_sets(df, ["a", "b"], 0.2, how)
         assert sorted(map(str, a.collect())) == ["Row(a=1)", "Row(a=None)"] and sorted(str(r.b) for r in b.collect()) == ["1", "2", "3", "None"]
         assert enrich.hot_keys(df, "a", 0.2).count() == 2 and enrich.hot_key_sets(df.limit(0), ["a"], 0.2, how)[0].count() == 0
+
+
+def _labelled(spark, n=300):
+    return spark.range(n).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("int").alias("z"),
+                                 *[(F.col("id") % k == 0).alias(f"has_{t}") for t, k in (("like", 2), ("reply", 3))])
+
+
+def _read_by(learners, name, monkeypatch):
+    """The frames that learners of this name are given, as plans."""
+    seen, fit = [], getattr(learners, name).fit
+
+    def spy(self, df, *more):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(getattr(learners, name), "fit", spy)
+    return seen
+
+
+def test_learners_read_a_table(spark, monkeypatch):
+    """The loader runs once a fit, and not at all where its rows are a table already."""
+    import os
+    from echoline.operators import models
+    from echoline.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    df = _labelled(spark).repartition(3, "z")
+    table, path = stored(df)
+    before = set(os.listdir(folder))
+    seen = _read_by(models, "DecisionTreeClassifier", monkeypatch)
+    runs = [models.TargetModels(["x", "z"], "tree", ["like", "reply"]).fit(rows, table=same) for rows, same in ((df, False), (table, True))]
+    assert len(seen) == 4 and all("parquet" in p and "Range" not in p for p in seen)
+    assert set(os.listdir(folder)) == before
+    a, b = (sorted(map(str, m.transform(df).select("x", "z", "score_like", "score_reply").collect())) for m in runs)
+    assert a == b
+    drop_stored(spark, path)
