@@ -128,6 +128,27 @@ def _read_by(learners, name, monkeypatch):
     return seen
 
 
+def test_batches_are_read_from_a_table(spark, monkeypatch):
+    """Nothing of a batch is kept in executor storage; its table is gone afterwards; trees as from one batch after the other."""
+    import os
+    from echoline.operators import boosting
+    from echoline.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before, df = set(os.listdir(folder)), _labelled(spark)
+    seen = _read_by(boosting, "DecisionTreeRegressor", monkeypatch)
+    batches = [df.filter("x < 4"), df.filter("x >= 4")]
+    both = boosting.ContinuedModels(["x", "z"], ["like", "reply"], {"depth": 2}).fit(batches, 2)
+    assert len(seen) == 8 and not any("InMemory" in p for p in seen) and all("parquet" in p for p in seen)
+    assert set(os.listdir(folder)) == before
+    for t in ("like", "reply"):
+        alone = boosting.BoostedTrees(["x", "z"], f"has_{t}", depth=2)
+        for b in batches:
+            alone.fit(b, 2)
+        rounded = lambda m: re.sub(r"-?\d+\.\d+(e-\d+)?", lambda x: f"{float(x[0]):.9f}", m.to_json())  # noqa: E731, sums in another order
+        assert rounded(alone) == rounded(both.models[t])
+    assert set(os.listdir(folder)) == before
+
+
 def test_learners_read_a_table(spark, monkeypatch):
     """The loader runs once a fit, and not at all where its rows are a table already."""
     import os
