@@ -165,3 +165,20 @@ def test_learners_read_a_table(spark, monkeypatch):
     a, b = (sorted(map(str, m.transform(df).select("x", "z", "score_like", "score_reply").collect())) for m in runs)
     assert a == b
     drop_stored(spark, path)
+
+
+def test_repeats_are_settled_before_texts_meet_verdicts(spark):
+    """op5: the last join reads two stored tables; no entries of a former phase hang on it, and its verdicts are whole."""
+    from echoline.llm import suffix_dedup
+    long = "".join(chr(97 + i * i % 23) for i in range(300))
+    texts = ["one " + long, "two " + long + " and more", "a text of its own", None, "three " + long[100:220] + "!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = suffix_dedup._judged(docs, 1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("parquet") == 2, plan
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    strings = lambda t: {t[i:i + 50] for i in range(len(t) - 49)}
+    for k, t in enumerate(texts):
+        t, earlier = t or "", set().union(*(strings(x or "") for x in texts[:k]))
+        gone = {j for i in range(len(t) - 49) if t[i:i + 50] in earlier for j in range(i, i + 50)}
+        assert (rows[k].n_bytes, rows[k].n_removed) == (len(t), len(gone)), k
+        assert bytes(rows[k].kept).decode() == "".join(c for j, c in enumerate(t) if j not in gone)
